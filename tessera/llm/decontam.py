@@ -28,17 +28,22 @@ def item_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return w.select("item_id", "size", F.array_join(F.slice("w", F.col("i"), F.col("size")), " ").alias("gram")).distinct()
 
 
-def _hits(w: Column, sizes: dict[int, tuple[list[int], list[str]]]) -> Column:
-    """Windows of the word array that are benchmark windows: array of (start, size, gram). A window is
-    first looked up by its hash in a set, then its words are compared."""
-    return F.concat(*[_hits_of_size(w, size, hashes, grams) for size, (hashes, grams) in sorted(sizes.items())])
+def _hits(sizes: dict[int, tuple[list[int], list[str]]]) -> Column:
+    """Windows of the word array `_w` that are benchmark windows: array of (start, size, gram). A window is
+    first looked up by its hash in a set, then its words are compared. Written as SQL text, since thousands
+    of literals are parsed much faster than they are handed over one by one; words hold no quotes."""
+    found = []
+    for size, (hashes, grams) in sorted(sizes.items()):
+        starts = f"CASE WHEN size(_w) >= {size} THEN sequence(1, size(_w) - {size - 1}) ELSE cast(array() AS array<int>) END"
+        near = f"filter({starts}, i -> xxhash64(slice(_w, i, {size})) IN ({', '.join(f'{h}L' for h in hashes)}))"
+        told = f"transform({near}, i -> struct(i AS start, {size} AS size, array_join(slice(_w, i, {size}), ' ') AS gram))"
+        found.append(f"filter({told}, h -> h.gram IN ({', '.join(f"'{g}'" for g in grams)}))")
+    return F.expr(f"concat({', '.join(found)})")
 
 
-def _hits_of_size(w: Column, size: int, hashes: list[int], grams: list[str]) -> Column:
-    starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    near = F.filter(starts, lambda i: F.xxhash64(_window(w, i, size)).isin(hashes))
-    told = F.transform(near, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.array_join(_window(w, i, size), " ").alias("gram")))
-    return F.filter(told, lambda h: h["gram"].isin(grams))
+def once(rows: DataFrame, column: Column, name: str) -> DataFrame:
+    """Add a column that is computed once a row: the optimizer copies a plain expression into each of its uses."""
+    return rows.select("*", F.explode(F.array(column)).alias(name))
 
 
 def _covered(hits: Column) -> Column:
@@ -65,7 +70,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_s
     names = ["_w", "hits", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_key"]
     docs = docs.drop(*names)
     grams = item_windows(benchmark, n)
-    rows = docs.withColumn("_w", words(F.col("text")))
+    rows = once(docs, words(F.col("text")), "_w")
     small = grams.select("size", "gram").distinct().limit(max_set + 1)
     held = small.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).collect()  # at most max_set + 1 short rows
     if len(held) <= max_set:
@@ -75,7 +80,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_s
             hashes.append(r["h"])
             texts.append(r["gram"])
         none = F.array().cast("array<struct<start:int,size:int,gram:string>>")
-        rows = rows.withColumn("hits", _hits(F.col("_w"), sizes) if sizes else none)
+        rows = once(rows, _hits(sizes) if sizes else none, "hits")
     else:
         rows = _hits_by_join(rows, grams)
     rows = rows.withColumn("n_words", F.size("_w").cast("long")).drop("_w")
