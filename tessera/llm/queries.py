@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sharding, tokens
-from .common import read
+from . import decontam, embdup, html, langid, neardup, packing, sharding, tokens, toxicity
+from .common import checkpoint, crc_mod, read
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,16 +25,55 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.link_near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     out = tokens.count_tokens(docs, tokenizer_file("piece_bpe_32k.model"))
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = checkpoint(packing.cut_pieces(docs, tokenizer_file("byte_bpe_50k.json")))
+    return packing.pack_pieces(pieces)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
+    "op4_language": op4_language,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_near_vectors": op6_near_vectors,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_pack": op9_pack,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES = {
