@@ -121,22 +121,19 @@ def _hits_by_join(rows: DataFrame, grams: DataFrame) -> DataFrame:
     return rows.join(hit, "_id", "left").withColumn("hits", F.coalesce("hits", none)).drop("_id")
 
 
-def remove_hits(rows: DataFrame) -> DataFrame:
-    """Documents with the words of every hit cut out of the text (the text between kept words stays).
+#: Where a word begins after what separates words, in a text as it is (A-Z are letters of words).
+WORD_START = r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
-    Expects the columns of find_contamination. The text is cut at word boundaries; a document left without
-    words keeps an empty text. Clean documents pass unchanged."""
-    lowered = F.translate("text", UPPER, LOWER)
-    # word k of the text with what follows it; what precedes the first word belongs to word 1
-    spaced = F.split(lowered, r"(?<=[^\x00-\x2F\x3A-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x60\x7B-\x7F])", -1)
-    gone = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("kept"), F.lit(1).alias("k"))
 
-    def step(acc, part):
-        size = F.char_length(part)
-        keep = ~F.array_contains(gone, acc["k"])
-        piece = F.substring(F.col("text"), acc["at"], size)
-        return F.struct((acc["at"] + size).alias("at"), F.when(keep, F.concat(acc["kept"], F.array(piece))).otherwise(acc["kept"]).alias("kept"), (acc["k"] + 1).alias("k"))
+def remove_hits(rows: DataFrame) -> DataFrame:
+    """Documents with the words of every hit cut out of the text, each with what separates it from the next.
 
-    cut = F.array_join(F.aggregate(spaced, start, step)["kept"], "")
-    return rows.withColumn("text", F.when(F.size("hits") > 0, cut).otherwise(F.col("text")))
+    Expects the columns of find_contamination. A document left without words keeps what stood before its
+    first word; clean documents, and null texts, pass unchanged."""
+    parts = F.split("text", WORD_START, -1)  # a word and what follows it; what precedes the first stands alone
+    lead = F.when(F.col("text").rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(0)).otherwise(F.lit(1))
+    gone = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
+    dirty = once(once(rows.where("contaminated"), gone, "_gone"), lead, "_lead")
+    cut = F.array_join(F.filter(parts, lambda part, i: ~F.array_contains("_gone", i + F.col("_lead"))), "")
+    clean = rows.where("not contaminated")
+    return dirty.withColumn("text", cut).select(*rows.columns).unionByName(clean)

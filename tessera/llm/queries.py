@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embdup, html, langid, neardup, packing, sharding, tokens, toxicity
+from . import decontam, embdup, html, langid, neardup, packing, sharding, suffix, tokens, toxicity
 from .common import checkpoint, crc_mod, read
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     found = decontam.find_contamination(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -65,6 +69,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
     "op4_language": op4_language,
