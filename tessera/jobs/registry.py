@@ -1,4 +1,11 @@
 """Every query of the library outside the llm subpackage, with its oracle SQL."""
 
+from __future__ import annotations
+
+from . import ratings
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (ratings,):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
