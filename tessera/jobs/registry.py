@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ratings
+from . import bayes, ratings, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (ratings,):
+for _module in (ratings, text, bayes):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
