@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bayes, models, ratings, text
+from . import bayes, models, ratings, search, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (ratings, text, bayes, models):
+for _module in (ratings, text, bayes, models, search):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
