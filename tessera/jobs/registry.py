@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bayes, models, ratings, search, text
+from . import bayes, groups, models, plans, ratings, search, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (ratings, text, bayes, models, search):
+for _module in (ratings, text, bayes, models, search, groups, plans):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

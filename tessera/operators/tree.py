@@ -41,8 +41,9 @@ def split_gains(cells: DataFrame, at: DataFrame) -> DataFrame:
     names = per.select("label").distinct()
     null = F.col("num").isNull() & F.col("word").isNull()
     values = per.where(~null).select("node", "col", "num", "word").distinct().crossJoin(F.broadcast(names))
-    full = values.join(per.withColumnRenamed("c", "here"), (values.node == per.node) & (values.col == per.col) & values.num.eqNullSafe(per.num) & values.word.eqNullSafe(per.word) & values.label.eqNullSafe(per.label), "left")
-    full = full.select(values.node, values.col, values.num, values.word, values.label, F.coalesce("here", F.lit(0)).alias("here"))
+    here = per.select(F.col("node").alias("n2"), F.col("col").alias("c2"), F.col("num").alias("x2"), F.col("word").alias("w2"), F.col("label").alias("l2"), F.col("c").alias("here"))
+    same = (F.col("node") == F.col("n2")) & (F.col("col") == F.col("c2")) & F.col("num").eqNullSafe(F.col("x2")) & F.col("word").eqNullSafe(F.col("w2")) & F.col("label").eqNullSafe(F.col("l2"))
+    full = values.join(here, same, "left").select("node", "col", "num", "word", "label", F.coalesce("here", F.lit(0)).alias("here"))
     missing = per.where(null).select("node", "col", "label", F.col("c").alias("nulls"))
     from_here = Window.partitionBy("node", "col", "label").orderBy(F.desc("num")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.sum("here").over(Window.partitionBy("node", "col", "label"))
