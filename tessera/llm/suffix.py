@@ -69,10 +69,11 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - n)], h[width - n :]) if width > n else h
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (document, first window, number of windows, anchor hash of 48 bits).
-    Windows never cross documents."""
-    docs, firsts, sizes, anchors = [], [], [], []
+def runs(data: np.ndarray, offsets: np.ndarray, span: int, known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: (document, first window, number of windows, anchor hash of 48 bits, place
+    of the anchor). Windows never cross documents. With `known`, sorted hashes, only runs with one of those
+    anchors; without, places are not looked for and are those of the first windows."""
+    docs, firsts, sizes, anchors, places = [], [], [], [], []
     i, n = 0, len(offsets) - 1
     while i < n:
         j = i + 1
@@ -80,7 +81,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray,
             j += 1
         a, b = int(offsets[i]), int(offsets[j])
         if b - a >= span:
-            least = _sliding_min(_gram_hashes(data[a:b]), span - GRAM + 1)
+            hashes = _gram_hashes(data[a:b])
+            least = _sliding_min(hashes, span - GRAM + 1)
             ends = offsets[i + 1 : j + 1] - a
             new = np.ones(len(least), bool)
             new[1:] = least[1:] != least[:-1]
@@ -94,15 +96,26 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray,
             size = np.diff(np.append(first, len(least)))
             doc = np.searchsorted(ends, first, side="right")
             good = first + span <= ends[doc]
-            docs.append(doc[good] + i)
-            firsts.append(first[good] + a)
-            sizes.append(size[good])
-            anchors.append(least[first[good]] >> np.uint64(16))
+            doc, first, size = doc[good], first[good], size[good]
+            anchor = least[first] >> np.uint64(16)
+            place = first
+            if known is not None:
+                keep = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+                doc, first, size, anchor = doc[keep], first[keep], size[keep], anchor[keep]
+                place, open_ = first.copy(), np.arange(len(first))
+                while len(open_):  # step on until the gram is the anchor, 30 steps at most
+                    open_ = open_[hashes[place[open_]] != least[first[open_]]]
+                    place[open_] += 1
+            docs.append(doc + i)
+            firsts.append(first + a)
+            sizes.append(size)
+            anchors.append(anchor)
+            places.append(place + a)
         i = j
     if not docs:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
-    return np.concatenate(docs), np.concatenate(firsts), np.concatenate(sizes), np.concatenate(anchors)
+        return none, none, none, none.astype(np.uint64), none
+    return np.concatenate(docs), np.concatenate(firsts), np.concatenate(sizes), np.concatenate(anchors), np.concatenate(places)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -135,80 +148,83 @@ def _split(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def multikey_sort(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of strings of a byte pool, and the number of each one's class of equal strings, in that order.
+    """Order of strings of a byte pool, by length and then by bytes, and the number of each one's class of equal
+    strings, in that order.
 
-    Multikey quicksort with 8 bytes as a letter: strings are sorted by one letter, and only those still equal
-    to a neighbour go on to the next. `pool` is followed by 8 spare bytes."""
+    Multikey quicksort with a few bytes as a letter, and the length as the first: strings are sorted by one
+    letter, and only those still equal to a neighbour go on to the next. The sort key of a round is the place
+    of a string's group, which keeps groups apart, before the letter; so a round is one quicksort of whole
+    numbers. `pool` is followed by 16 spare bytes."""
     n = len(start)
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)  # of each place in order; equal as long as all letters so far are
-    live = np.arange(n) if n > 1 else np.zeros(0, np.int64)
-    letter, longest = 0, int(length.max(initial=0))
-    shifts = np.arange(8)
+    order = np.argsort(length, kind="stable")
+    group = np.zeros(n, np.int64)
+    live = np.arange(n)
+    if n:
+        new = np.append(True, np.diff(length[order]) != 0)
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, n))
+        group = np.repeat(first, count)  # a group is named by its first place
+        live = live[np.repeat(count > 1, count)]
+    size = (63 - int(n).bit_length()) // 8  # bytes of a letter
+    bits = np.uint64(8 * size)
+    words = np.ndarray(max(len(pool) - 7, 0), ">u8", pool, 0, (1,))  # the 8 bytes from each place on
+    at = 0
     while len(live):
-        done = 8 * letter >= longest
-        if done:  # all bytes are equal: the shorter string goes first
-            word = length[order[live]].astype(np.uint64)
-        else:
-            at = start[order[live]] + 8 * letter
-            left = np.clip(length[order[live]] - 8 * letter, 0, 8)
-            word = pool[np.minimum(at, len(pool) - 8)[:, None] + shifts].reshape(-1).view(">u8").astype(np.uint64)
-            part = (left > 0) & (left < 8)
-            word[part] &= ~((np.uint64(1) << (8 * (8 - left[part])).astype(np.uint64)) - np.uint64(1))
-            word[left == 0] = 0
-        by = np.lexsort((word, group[live]))
-        order[live] = order[live][by]
-        word, g = word[by], group[live]
-        new = np.ones(len(live), bool)
-        new[1:] = (g[1:] != g[:-1]) | (word[1:] != word[:-1])
-        group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]  # a group is named by its first place
-        if done:
-            break
-        size = np.diff(np.append(np.flatnonzero(new), len(live)))
-        live = live[np.repeat(size > 1, size)]
-        letter += 1
+        who = order[live]
+        letter = words[np.minimum(start[who] + at, len(words) - 1)].astype(np.uint64) >> (np.uint64(64) - bits)
+        left = length[who] - at
+        if int(left.min()) < size:
+            part = left < size
+            letter[part] &= ~((np.uint64(1) << (8 * (size - left[part])).astype(np.uint64)) - np.uint64(1))
+        key = (group[live].astype(np.uint64) << bits) | letter
+        by = np.argsort(key)
+        order[live] = who[by]
+        key = key[by]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(first, len(live)))
+        group[live] = np.repeat(live[first], count)
+        at += size
+        live = live[np.repeat(count > 1, count) & (length[order[live]] > at)]
     return order, np.cumsum(np.append(True, group[1:] != group[:-1])[:n]) - 1
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of whole numbers: the run of each number, and the numbers."""
+    of = np.repeat(np.arange(len(first)), count)
+    return of, np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
 def _bucket_matches(doc: np.ndarray, anchor: np.ndarray, pool: np.ndarray, start: np.ndarray, windows: np.ndarray, span: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(string, first window, number of windows) of the windows of a bucket that a smaller document has too."""
     order, klass = multikey_sort(pool, start, windows + span - 1)
-    n = len(order)
     edge = np.flatnonzero(np.append(True, klass[1:] != klass[:-1]))
     low = np.minimum.reduceat(doc[order], edge)
     later = doc[order] > low[klass]  # the same string stands in a smaller document
     out = [(order[later], np.zeros(int(later.sum()), np.int64), windows[order[later]])]
-    # one string of each class for the windows; classes alone under their anchor have no other partner
-    place = np.lexsort((np.arange(n), doc[order], klass))
-    rep = order[place[edge]]
-    a = anchor[rep]
-    _, back, count = np.unique(a, return_inverse=True, return_counts=True)
-    rep_class = np.arange(len(rep))[count[back] > 1]
-    rep = rep[count[back] > 1]
+    # one string of each class, from its smallest document, stands for its windows
+    same = np.flatnonzero(~later)
+    first = np.searchsorted(klass[same], np.arange(len(edge)))
+    count = np.diff(np.append(first, len(same)))
+    rep = order[same[first]]
+    # classes alone under their anchor have no partner
+    _, back, shared = np.unique(anchor[rep], return_inverse=True, return_counts=True)
+    some = shared[back] > 1
+    rep, first, count = rep[some], first[some], count[some]
     if len(rep):
-        size = windows[rep]
-        owner = np.repeat(np.arange(len(rep)), size)
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        owner, inner = _spread(np.zeros(len(rep), np.int64), windows[rep])
         worder, wclass = multikey_sort(pool, start[rep][owner] + inner, np.full(len(owner), span, np.int64))
-        wdoc = doc[rep][owner]
-        wedge = np.flatnonzero(np.append(True, wclass[1:] != wclass[:-1]))
-        wlow = np.minimum.reduceat(wdoc[worder], wedge)
+        wdoc = doc[rep][owner][worder]
+        wlow = np.minimum.reduceat(wdoc, np.flatnonzero(np.append(True, wclass[1:] != wclass[:-1])))
         hit = np.zeros(len(owner), bool)
-        hit[worder] = wlow[wclass] < wdoc[worder]
+        hit[worder] = wlow[wclass] < wdoc
         flagged = np.flatnonzero(hit)
         if len(flagged):
             cut = np.flatnonzero(np.append(True, (np.diff(flagged) != 1) | (owner[flagged][1:] != owner[flagged][:-1])))
             run = np.diff(np.append(cut, len(flagged)))
             at = flagged[cut]
-            # every string of the class that stands in its smallest document gets the representative's windows
-            members = [np.zeros(0, np.int64)] * len(rep)
-            same = np.flatnonzero(~later)
-            k = klass[same]
-            lo, hi = np.searchsorted(k, rep_class), np.searchsorted(k, rep_class, side="right")
-            for i in np.unique(owner[at]):
-                members[i] = order[same[lo[i] : hi[i]]]
-            who = [members[i] for i in owner[at]]
-            out.append((np.concatenate(who), np.repeat(inner[at], [len(w) for w in who]), np.repeat(run, [len(w) for w in who])))
+            # whatever of the class stands in its smallest document has the same windows
+            of, members = _spread(first[owner[at]], count[owner[at]])
+            out.append((order[same[members]], inner[at][of], run[of]))
     return out
 
 
@@ -250,10 +266,11 @@ def _splitters(docs: DataFrame, n: int, groups: int, s: Settings) -> np.ndarray:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            _, first, _, anchor = runs(data, offsets, s.span)
-            some = np.random.default_rng(0).permutation(len(first))[: 20 * batch.num_rows]
-            grams = _anchor_bytes(data, first[some], anchor[some], s.span)
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(g) for g in grams], pa.binary())], ["gram"])
+            anchor = np.unique(runs(data, offsets, s.span)[3])
+            anchor = anchor[np.random.default_rng(0).permutation(len(anchor))[: 20 * batch.num_rows]]
+            place = runs(data, offsets, s.span, np.sort(anchor))[4] if len(anchor) else anchor
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[p : p + GRAM] for p in place], pa.binary())], ["gram"])
 
     share = min(1.0, s.sample_docs / max(n, 1))
     rows = docs.where((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1) & (F.octet_length("text") < 200_000)).select("text").limit(s.sample_docs)
@@ -264,27 +281,13 @@ def _splitters(docs: DataFrame, n: int, groups: int, s: Settings) -> np.ndarray:
     return np.unique(np.array([grams[i] for i in at], f"S{GRAM}"))
 
 
-def _anchor_bytes(data: np.ndarray, first: np.ndarray, anchor: np.ndarray, span: int) -> np.ndarray:
-    """The anchor gram of each run, found again in its first window."""
-    out = np.zeros(len(first), f"S{GRAM}")
-    places = np.arange(span - GRAM + 1)
-    for at in range(0, len(first), 4096):
-        f = first[at : at + 4096]
-        window = data[f[:, None] + np.arange(span)]
-        h = np.stack([_gram_hashes(window[:, k : k + GRAM].reshape(-1))[:: GRAM] for k in places], axis=1) >> np.uint64(16)
-        where = (h == anchor[at : at + 4096, None]).argmax(axis=1)
-        grams = np.take_along_axis(window, where[:, None] + np.arange(GRAM), axis=1)
-        out[at : at + 4096] = np.ascontiguousarray(grams).view(f"S{GRAM}").reshape(-1)
-    return out
-
-
 def _shared(dealt: DataFrame, groups: int, s: Settings) -> DataFrame:
     """(_q, anchors): for each group of documents the anchors in it that two documents or more hold."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            doc, _, _, anchor = runs(data, offsets, s.span)
+            doc, _, _, anchor, _ = runs(data, offsets, s.span)
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
             q = batch.column(2).to_numpy()
             order = np.argsort(anchor, kind="stable")
@@ -338,10 +341,7 @@ def _found(dealt: DataFrame, shared: DataFrame, splitters, groups: int, s: Setti
             q = docs["_q"][0].as_py()
             _, ids, data, offsets = _ordered(docs)
             known = np.unique(np.concatenate([np.cumsum(_unsqueeze(x, np.uint64)[0], dtype=np.uint64) for x in told["anchors"].to_pylist()]))
-            doc, first, size, anchor = runs(data, offsets, s.span)
-            at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-            keep = known[at] == anchor
-            doc, first, size, anchor = doc[keep], first[keep], size[keep], anchor[keep]
+            doc, first, size, anchor, place = runs(data, offsets, s.span, known)
             # equal strings: the smallest document's is sent, those of larger ones repeat it
             raw = data.tobytes()
             low: dict[bytes, int] = {}
@@ -355,9 +355,10 @@ def _found(dealt: DataFrame, shared: DataFrame, splitters, groups: int, s: Setti
                 bs.append(groups + q)
                 qs.append(q)
                 blobs.append(_squeeze(doc[local].astype(np.int32), (first - offsets[doc])[local].astype(np.int32), size[local].astype(np.int32)))
-            doc, first, size, anchor = doc[sent], first[sent], size[sent], anchor[sent]
+            doc, first, size, anchor, place = doc[sent], first[sent], size[sent], anchor[sent], place[sent]
             if len(doc):
-                bucket = np.searchsorted(splitters.value, _anchor_bytes(data, first, anchor, s.span), side="right") if len(splitters.value) else np.zeros(len(doc), np.int64)
+                grams = np.lib.stride_tricks.sliding_window_view(data, GRAM)[place].view(f"S{GRAM}").reshape(-1)
+                bucket = np.searchsorted(splitters.value, grams, side="right") if len(splitters.value) else np.zeros(len(doc), np.int64)
                 for b, at in _split(bucket, groups):
                     pool = b"".join(raw[first[i] : first[i] + size[i] + s.span - 1] for i in at)
                     arrays = _squeeze(ids[doc[at]], doc[at].astype(np.int32), (first - offsets[doc])[at].astype(np.int32), size[at].astype(np.int32), anchor[at], np.frombuffer(pool, np.uint8))
