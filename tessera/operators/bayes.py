@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def class_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +72,7 @@ def bayes_classify(scores: DataFrame, thresholds: dict | None = None, default: s
     return two.select("doc_id", F.when(F.col("next").isNotNull() & (F.col("next") + limit > F.col("score")), F.lit(default)).otherwise(F.col("category")).alias("category"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def inverse_chi2(chi: pd.Series, features: pd.Series) -> pd.Series:
     """H2: probability of a chi-square of at least `chi` with 2 * features degrees of freedom: a Poisson sum,
     in log space, at most 1; 1 without features."""

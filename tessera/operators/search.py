@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import words_all
 
@@ -20,7 +21,7 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return words.where(~F.col("word").isin(STOP_WORDS)).select(key, "word", "location")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([_resolve(b, h) for b, h in zip(base, href)])
 
