@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,17 +38,18 @@ def unit_ids(texts: list[str], tokenizer, seen: dict, cache: int) -> list[bytes]
         got = list(map(seen.get, units))
         if None in got:
             miss = list({u for u, b in zip(units, got) if b is None})
-            if len(seen) + len(miss) > cache:
-                seen.clear()
-                miss = list(set(units))
+            if len(seen) + len(miss) > cache:  # the first units met are the frequent ones: they stay
+                for u in list(islice(seen, cache // 2, None)):
+                    del seen[u]
+                miss = [u for u in set(units) if u not in seen]
             for u, e in zip(miss, tokenizer.encode_batch_fast(miss, add_special_tokens=False)):
-                seen[u] = np.array(e.ids, "<u4").tobytes()
+                seen[u] = array("I", e.ids).tobytes()
             got = list(map(seen.__getitem__, units))
         out.append(b"".join(got))
     return out
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, cache: int = 250_000) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, cache: int = 400_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of each text and `end_id`, cut where longer than `size`.
 
     Only longer documents are cut, into pieces of `size` ids; the first piece takes what is left over.
