@@ -189,7 +189,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 for p, s in scores.items():
                     if s >= 0.1 * top:
                         told[host, p] = told.get((host, p), 0) + round(1000 * s / top)
-            yield pd.DataFrame({"host": [h for h, _ in told], "path": [p for _, p in told], "votes": list(told.values())})
+            hosts, names = (pd.Series([k[i] for k in told], dtype=object) for i in (0, 1))
+            yield pd.DataFrame({"host": hosts, "path": names, "votes": pd.Series(list(told.values()), dtype="int64")})
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html")).where("host is not null and html is not null")
     summed = rows.mapInPandas(votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
@@ -218,8 +219,9 @@ def extract(pages: DataFrame, max_hosts: int = 200_000) -> DataFrame:
                 if not got and page.blocks and page.best() is None:
                     got = "\n\n".join(t for t, _, linked in page.blocks if linked < len(t) / 2)
                 texts.append(got)
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            ids, urls = (pd.Series([None if x is None or x != x else x for x in b[c]], dtype=object) for c in ("page_id", "url"))
+            yield pd.DataFrame({"page_id": ids.astype("Int64"), "url": urls, "text": pd.Series(texts, dtype=object), "n_chars": pd.Series([len(t) for t in texts], dtype="int64")})
 
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "path")
+    rows = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("path", F.lit("")).alias("path"))
     return rows.mapInPandas(read, "page_id long, url string, text string, n_chars long")

@@ -95,7 +95,7 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model | None:
         for b in batches:
             got = [presence(t, s) for t in b["text"]]
             keep = [g is not None for g in got]
-            yield pd.DataFrame({"doc_id": b["doc_id"][keep], "lang": b["lang"][keep], "grams": [np.packbits(g).tobytes() for g in got if g is not None]})
+            yield pd.DataFrame({"doc_id": b["doc_id"][keep].to_list(), "lang": pd.Series(b["lang"][keep].to_list(), dtype=object), "grams": pd.Series([np.packbits(g).tobytes() for g in got if g is not None], dtype=object)})
 
     rows = chosen.mapInPandas(sets, "doc_id long, lang string, grams binary").toPandas()
     if not len(rows):

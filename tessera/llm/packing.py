@@ -70,7 +70,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: i
                     length = n % size or size if at == 0 else size
                     rows.append((doc, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
                     at, k = at + length, k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            pieces = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            pieces["doc_id"] = pd.array([None if d is None or d != d else int(d) for d in pieces["doc_id"]], "Int64")
+            yield pieces
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -49,7 +49,7 @@ def frequent_units(docs: DataFrame, text: str, size: int, sample_rows: int) -> l
             for t in b["t"]:
                 c.update(UNIT.findall(t))
             top = c.most_common(size)
-            yield pd.DataFrame({"u": [u for u, _ in top], "n": [n for _, n in top]})
+            yield pd.DataFrame({"u": pd.Series([u for u, _ in top], dtype=object), "n": pd.Series([n for _, n in top], dtype="int64")})
 
     sample = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") < 20_000)).limit(sample_rows)
     counts = sample.mapInPandas(count, "u string, n long").groupBy("u").agg(F.sum("n").alias("n"))
