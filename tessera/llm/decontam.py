@@ -67,12 +67,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_s
     has no words; an item without words has no window. Repeated documents are each reported; columns of
     `docs` pass through, those that would clash are replaced.
     """
-    names = ["_w", "hits", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_key"]
-    docs = docs.drop(*names)
+    docs = docs.drop("_w", "hits", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_items", "_id")
     grams = item_windows(benchmark, n)
-    rows = once(docs, words(F.col("text")), "_w")
-    small = grams.select("size", "gram").distinct().limit(max_set + 1)
-    held = small.select("size", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).collect()  # at most max_set + 1 short rows
+    rows = once(docs, words(F.col("text")), "_w").withColumn("n_words", F.size("_w").cast("long"))
+    by_gram = grams.groupBy("size", "gram").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    held = by_gram.select("size", "gram", "items", F.xxhash64(F.split("gram", " ")).alias("h")).limit(max_set + 1).collect()  # bounded, short rows
     if len(held) <= max_set:
         sizes: dict = {}
         for r in held:
@@ -81,17 +80,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_s
             texts.append(r["gram"])
         none = F.array().cast("array<struct<start:int,size:int,gram:string>>")
         rows = once(rows, _hits(sizes) if sizes else none, "hits")
+        rows = once(rows, _items(held), "_items")
     else:
         rows = _hits_by_join(rows, grams)
-    rows = rows.withColumn("n_words", F.size("_w").cast("long")).drop("_w")
-    rows = rows.withColumn("_key", F.sha2(F.concat_ws(" ", F.transform("hits", lambda h: h["gram"])), 256))
-    found = rows.where(F.size("hits") > 0).select("_key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["gram"]))).alias("gram")).distinct()
-    items = found.join(grams.select("gram", "item_id"), "gram").select("_key", F.col("item_id").cast("string").alias("item_id")).distinct()
-    listed = items.groupBy("_key").agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
-    rows = rows.join(listed, "_key", "left").drop("_key")
     ids = F.coalesce("_items", F.array().cast("array<string>"))
     return rows.select(
-        *[c for c in rows.columns if c not in ("_items", "n_words", "hits")],
+        *docs.columns,
         "n_words",
         _covered(F.col("hits")).alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
@@ -101,6 +95,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_s
     )
 
 
+def _items(held: list) -> Column:
+    """Ids of the items of a row's hits, sorted and told once; from a table of the windows that is part of the plan."""
+    if not held:
+        return F.array().cast("array<string>")
+    grams = ", ".join(f"'{r['gram']}'" for r in held)
+    lists = ", ".join("'" + ",".join(i for i in r["items"]) + "'" for r in held)
+    return F.expr(f"array_sort(array_distinct(flatten(transform(hits, h -> split(element_at(map_from_arrays(array({grams}), array({lists})), h.gram), ',')))))")
+
+
 def _hits_by_join(rows: DataFrame, grams: DataFrame) -> DataFrame:
     """For a benchmark too large to hand to every task: windows of all documents meet the set by a shuffle."""
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
@@ -116,9 +119,11 @@ def _hits_by_join(rows: DataFrame, grams: DataFrame) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     hit = every.join(grams.select("size", "gram").distinct(), ["size", "gram"]).select("_id", F.struct((F.col("pos") + 1).alias("start"), "size", "gram").alias("h"))
+    named = hit.join(grams, (F.col("h.gram") == grams["gram"]) & (F.col("h.size") == grams["size"]))
+    items = named.groupBy("_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
     hit = hit.groupBy("_id").agg(F.collect_list("h").alias("hits"))
     none = F.array().cast("array<struct<start:int,size:int,gram:string>>")
-    return rows.join(hit, "_id", "left").withColumn("hits", F.coalesce("hits", none)).drop("_id")
+    return rows.join(hit, "_id", "left").join(items, "_id", "left").withColumn("hits", F.coalesce("hits", none)).drop("_id")
 
 
 #: Where a word begins after what separates words, in a text as it is (A-Z are letters of words).
