@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -22,34 +23,51 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
 
+#: Where the plain cut before every space and line break is not safe: one of them after white space.
+_RUN = re.compile(f"[{_WS}][ \n]|\x00")
+#: Fixed value: the pattern of pre-tokens of the byte-level vocabulary.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def _load(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
-
-
-def unit_ids(texts: list[str], tokenizer, seen: dict, cache: int) -> list[bytes]:
-    """Ids of whole texts as little-endian 32-bit bytes; units are encoded once and kept in `seen`."""
-    out = []
-    for t in texts:
-        units = UNIT.findall(t)
-        got = list(map(seen.get, units))
-        if None in got:
-            miss = list({u for u, b in zip(units, got) if b is None})
-            if len(seen) + len(miss) > cache:  # the first units met are the frequent ones: they stay
-                for u in list(islice(seen, cache // 2, None)):
-                    del seen[u]
-                miss = [u for u in set(units) if u not in seen]
-            for u, e in zip(miss, tokenizer.encode_batch_fast(miss, add_special_tokens=False)):
-                seen[u] = array("I", e.ids).tobytes()
-            got = list(map(seen.__getitem__, units))
-        out.append(b"".join(got))
-    return out
-
-
-def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, cache: int = 400_000) -> DataFrame:
+    """An encoder of the vocabulary in a tokenizers file of a byte-level BPE, whose ids are the ranks of its merges;
+    it gives the ids of that library in about half the time (tests compare the two)."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    # bytes that are no printable characters stand in the file as characters from 256 on, in order
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {bytes(of[c] for c in token): i for token, i in vocabulary.items() if all(c in of for c in token)}
+    ranks = {token: i for token, i in ranks.items() if token != b"<|endoftext|>"}
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def units_of(text: str) -> list[str]:
+    """Parts of a text that no pre-token spans."""
+    if _RUN.search(text):
+        return UNIT.findall(text)
+    return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+
+
+def text_ids(text: str, encoder, seen: dict, cache: int) -> bytes:
+    """Ids of a whole text as little-endian 32-bit bytes; units are encoded once and kept in `seen`."""
+    units = units_of(text)
+    got = list(map(seen.get, units))
+    if None in got:
+        miss = {u for u, b in zip(units, got) if b is None}
+        if len(seen) + len(miss) > cache:  # the first units met are the frequent ones: they stay
+            for u in list(islice(seen, cache // 2, None)):
+                del seen[u]
+            miss = {u for u in units if u not in seen}
+        for u in miss:
+            seen[u] = array("I", encoder.encode_ordinary(u)).tobytes()
+        got = list(map(seen.__getitem__, units))
+    return b"".join(got)
+
+
+def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, cache: int = 800_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of each text and `end_id`, cut where longer than `size`.
 
     Only longer documents are cut, into pieces of `size` ids; the first piece takes what is left over.
@@ -63,7 +81,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: i
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = unit_ids([text], tokenizer, seen, cache)[0] + tail
+                ids = text_ids(text, tokenizer, seen, cache) + tail
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
