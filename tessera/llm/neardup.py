@@ -1,9 +1,9 @@
 """Near-duplicate documents by minhash signatures and a multi-index Hamming join.
 
-A signature is CHUNKS chunks of WIDTH minhash values of 32 bits. Two signatures that differ in fewer than
-2 * CHUNKS values have, by the pigeonhole principle, a chunk with at most one differing value; so each chunk
-is indexed under every way to leave one value out, and such pairs always meet. Pairs that meet are confirmed
-on their full shingle sets.
+The first values of a signature make CHUNKS chunks of WIDTH minhash values of 32 bits. Two signatures that
+differ in fewer than 2 * CHUNKS of them have, by the pigeonhole principle, a chunk with at most one differing
+value; so each chunk is indexed under every way to leave one value out, and such pairs always meet. All values,
+cut to 8 bits, then bound how far apart a pair can be, and what is left is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ class Settings:
     similar: int = 75  # hundredths of intersection by union
     chunks: int = 14
     width: int = 4  # a pair at 0.75 misses every chunk with a probability of 7e-9
+    values: int = 256  # of a whole signature
+    deviations: float = 5.5  # a pair this far below its expected agreement is no pair: 1e-7 at the limit
     seed: int = 20_011
 
 
@@ -89,16 +91,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
         if b - a >= words:
             out[k] = np.unique(whole[a : b - words + 1])
         elif b > a:
-            h = np.uint64(b - a)
-            for i in range(b - a):
-                h = h + hashes[a + i] * factors[i]
-            out[k] = mix(np.array([h], np.uint64))
+            out[k] = mix((hashes[a:b] * factors[: b - a]).sum(keepdims=True) + np.uint64(b - a))
     return out
 
 
 def _hash_functions(s: Settings) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(s.seed)
-    k = s.chunks * s.width
+    k = s.values
     return rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, k, dtype=np.uint64)
 
 
@@ -126,7 +125,7 @@ def _signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 for i, x in enumerate(sets):
                     if len(x):
                         digests[i] = x.sum(dtype=np.uint64), mix(x ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)
-                        sigs.append(signature(x, a, b).astype("<u4").tobytes())
+                        sigs.append(_pack(signature(x, a, b), s))
                     else:
                         sigs.append(None)
                 d = digests.view(np.int64)
@@ -135,6 +134,20 @@ def _signatures(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
+def _pack(sig: np.ndarray, s: Settings) -> bytes:
+    """A signature as bytes: the values of the index whole, then all values cut to 8 bits."""
+    return sig[: s.chunks * s.width].astype("<u4").tobytes() + (sig & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _index_values(packed: list[bytes], s: Settings) -> np.ndarray:
+    n = 4 * s.chunks * s.width
+    return np.frombuffer(b"".join(x[:n] for x in packed), "<u4").reshape(len(packed), s.chunks, s.width)
+
+
+def _short_values(packed: list[bytes], s: Settings) -> np.ndarray:
+    return np.frombuffer(b"".join(x[-s.values :] for x in packed), np.uint8).reshape(len(packed), s.values)
+
+
 def _keys(reps: DataFrame, s: Settings) -> DataFrame:
     """(key, rep): every chunk of every signature under every way to leave one of its values out."""
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
@@ -142,7 +155,7 @@ def _keys(reps: DataFrame, s: Settings) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps_ = batch.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(len(reps_), s.chunks, s.width).astype(np.uint64)
+            sig = _index_values(batch.column(1).to_pylist(), s).astype(np.uint64)
             for c in range(s.chunks):
                 for out in range(s.width):
                     h = np.full(len(reps_), c * s.width + out, np.uint64)
@@ -195,11 +208,12 @@ def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> D
     or without words have no set and stay alone. A document with fewer than `words` words has one shingle.
 
     Documents with the same set are one class from the start (combined before the shuffle), so exact copies
-    cost a row. Classes that meet under a key are linked in two rounds: first each with the smallest and the
-    next smaller class of its keys, which joins large groups in a number of pairs linear in their size; then,
-    where a key still holds several components, every pair of it between different components. Every pair
-    that meets is thus confirmed or already connected. Keys with more than HOT such classes are refined by
-    a second chunk first: a pair under the distance threshold agrees on two chunks or more.
+    cost a row. Classes that meet under a key are linked in rounds: first each with the smallest and the next
+    smaller class of its keys, which joins large groups in a number of pairs linear in their size. Where a key
+    then still holds several components, its classes are compared by their signatures inside tasks, in blocks of
+    bounded size: first the nearest of each class are confirmed, and then, of each class and each other
+    component, whatever its signature leaves possible, up to the first link. Every pair that meets is thus
+    confirmed, already connected, or too far apart.
     """
     s = settings or Settings()
     spark = docs.sparkSession
@@ -220,13 +234,14 @@ def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> D
     links = checkpoint(_confirm(first, sets, s.similar))
     parts = checkpoint(connected_components(links))
 
-    placed = keys.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    open_ = checkpoint(placed.join(several, "key"))
-    pairs = _open_pairs(open_, classes, s)
-    pairs = checkpoint(pairs.join(first, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        links = links.union(_confirm(pairs, sets, s.similar))
+    near = _met(keys, parts, classes, s, rest=False)
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("agree"), "y"))).where("k <= 3")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links = checkpoint(links.union(_confirm(checkpoint(near), sets, s.similar)))
+    parts = checkpoint(connected_components(links))
+    open_ = checkpoint(_met(keys, parts, classes, s, rest=True))
+    if not open_.isEmpty():
+        links = checkpoint(links.union(_confirm_lists(open_, sets, s.similar)))
         parts = checkpoint(connected_components(links))
     by_class = classes.select("d1", "d2", "n_shingles", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -237,35 +252,95 @@ def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> D
 
 #: Ids that may be broadcast: 8 MB.
 FEW_IDS = 1_000_000
-#: A key with more classes than this in several components is refined by a second chunk.
-HOT = 64
-
-
-def _open_pairs(open_: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes of different components that share a key, where their
-    signatures are near enough: a pair at the similarity limit agrees on fewer than a third of its values
-    with a probability below 1e-11. Signatures are compared, not pairs written out, before the shuffle."""
-    cool = open_.where(F.col("n") <= HOT).select("key", "rep", "component")
-    hot = open_.where(F.col("n") > HOT).select("key", "rep", "component")
-    # refine: the same classes under (first key, second key), as many rows as chunks times ways, not pairs
-    finer = _keys(classes.join(hot.select("rep").distinct(), "rep", "left_semi"), s).withColumnRenamed("key", "second")
-    hot = hot.join(finer, "rep").where("second <> key").select(F.xxhash64("key", "second").alias("key"), "rep", "component")
-    bounds = hot.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    hot = hot.join(bounds, "key")
-    rows = cool.union(hot)
-    left = rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    sig = classes.select("rep", "sig")
-    pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    least = s.chunks * s.width // 3
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(batch.num_rows, -1)
-                y = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(batch.num_rows, -1)
-                keep = (x == y).sum(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(f, "a long, b long")
+#: Classes of a block of a key, and classes of a component whose sets a task holds.
+BLOCK, PART = 1_024, 20_000
+
+
+def _met(keys: DataFrame, parts: DataFrame, classes: DataFrame, s: Settings, rest: bool) -> DataFrame:
+    """Classes of different components that share a key and whose signatures agree on as many values as similar
+    sets must. Members of a key with several components are dealt to pairs of blocks and compared there, so
+    rows grow with members times blocks, and never with pairs.
+
+    Without `rest`: (x, y, agree), for each class of a block its nearest one. With it: (component, part, x, ys): for
+    each class and each component before its own the list of all such classes, once for each key they share.
+    Large components are listed in parts."""
+    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("split"))
+    named = parts.withColumnRenamed("node", "rep").join(sizes, "component")
+    placed = keys.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("split", F.lit(1)).alias("split"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = placed.join(several, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.select("key", "rep", "component", "split", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "component", "split", "mine")
+    short_sig = F.expr(f"substring(sig, {4 * s.chunks * s.width + 1}, {s.values})")
+    members = members.join(classes.select("rep", short_sig.alias("sig")), "rep")
+    p = s.similar / 100
+    least = int(s.values * p - s.deviations * (s.values * p * (1 - p)) ** 0.5)
+
+    def f(table: pa.Table) -> pa.Table:
+        rep, part, mine, split = (table[c].to_numpy() for c in ("rep", "component", "mine", "split"))
+        crossed = table["i"][0].as_py() != table["j"][0].as_py()
+        short = _short_values(table["sig"].to_pylist(), s)
+        out: list[tuple] = []
+        for x in range(len(rep)):
+            other = part < part[x] if rest else part != part[x]
+            if crossed:
+                other = other & (mine != mine[x])
+            y = np.flatnonzero(other)
+            if not len(y):
+                continue
+            agree = (short[y] == short[x]).sum(axis=1)
+            y, agree = y[agree >= least], agree[agree >= least]
+            if not len(y):
+                continue
+            if not rest:
+                k = int(np.lexsort((rep[y], -agree))[0])
+                out.append((rep[x], rep[y[k]], int(agree[k])))
+                continue
+            place = part[y] * 1_000 + rep[y] % np.maximum(split[y], 1)
+            for k in np.unique(place):
+                at = y[place == k]
+                out.append((part[at[0]], int(rep[at[0]] % split[at[0]]), rep[x], rep[at].tobytes()))
+        if rest:
+            return pa.table({"component": pa.array([o[0] for o in out], pa.int64()), "part": pa.array([o[1] for o in out], pa.int32()), "x": pa.array([o[2] for o in out], pa.int64()), "ys": pa.array([o[3] for o in out], pa.binary())})
+        return pa.table({"x": pa.array([o[0] for o in out], pa.int64()), "y": pa.array([o[1] for o in out], pa.int64()), "agree": pa.array([o[2] for o in out], pa.int32())})
+
+    schema = "component long, part int, x long, ys binary" if rest else "x long, y long, agree int"
+    return members.groupBy("key", "i", "j").applyInArrow(f, schema)
+
+
+def _confirm_lists(lists: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b) of (component, part, x, ys): for each x the first of ys whose full set passes. All x of a component meet its
+    sets in one place, in groups of bounded size, so a set is sent once a group and not once a pair."""
+    few = lists.groupBy("component", "part").agg(F.ceil(F.count("*") / 4_000).cast("int").alias("groups"))
+    lists = lists.join(few, ["component", "part"]).withColumn("g", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int")).select("component", "part", "g", "x", "ys")
+    by = ["component", "part", "g"]
+
+    def ids(table: pa.Table) -> pa.Table:
+        found = np.unique(np.concatenate([table["x"].to_numpy(), *(np.frombuffer(y, np.int64) for y in table["ys"].to_pylist())]))
+        return pa.table({c: pa.array(np.full(len(found), table[c][0].as_py()), t) for c, t in (("component", pa.int64()), ("part", pa.int32()), ("g", pa.int32()))} | {"rep": pa.array(found, pa.int64())})
+
+    sent = lists.groupBy(*by).applyInArrow(ids, "component long, part int, g int, rep long").join(sets, "rep")
+
+    def f(table: pa.Table, held: pa.Table) -> pa.Table:
+        full = {r: np.frombuffer(x, np.uint64) for r, x in zip(held["rep"].to_pylist(), held["shingles"].to_pylist())}
+        a, b, done, tried = [], [], set(), set()
+        for x, ys in zip(table["x"].to_pylist(), table["ys"].to_pylist()):
+            if x in done:
+                continue
+            sx = full[x]
+            for y in np.frombuffer(ys, np.int64).tolist():
+                if (x, y) in tried:
+                    continue
+                tried.add((x, y))
+                sy = full[y]
+                if 100 * min(len(sx), len(sy)) < similar * max(len(sx), len(sy)):
+                    continue
+                both = int((sx[np.minimum(np.searchsorted(sx, sy), len(sx) - 1)] == sy).sum())
+                if 100 * both >= similar * (len(sx) + len(sy) - both):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+                    done.add(x)
+                    break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return lists.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(f, "a long, b long")
