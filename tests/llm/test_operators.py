@@ -262,6 +262,22 @@ def test_packing(spark, docs, texts):
         assert at == len(ids)
 
 
+def test_packing_encodes_long_white_space_and_any_character():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    encoder = packing.Encoder(path)
+    rng = np.random.default_rng(9)
+    pool = [*"  \n\t\r'sdre1!a", "\x85", "\xa0", "\u3000", "\x00", "<|endoftext|>", "👍🏽", "é"]
+    texts = ["".join(rng.choice(pool, 60)) for _ in range(300)]
+    texts += ["".join(chr(c) for c in rng.integers(1, 0xD7FF, 40)) for _ in range(300)]
+    texts += [" " * 1_000_000, "a" + "\n" * 1_200_000 + "b c"]
+    for text in texts:
+        assert packing.text_ids(text, encoder, {}, 1_000) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_local_search_beats_nothing_and_keeps_pieces():
     rng = np.random.default_rng(3)
     for _ in range(20):
