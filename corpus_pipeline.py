@@ -26,9 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near duplicates."""
-    kept = neardup.link_near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.select(COLUMNS).join(kept.distinct(), "doc_id", "left_semi").select(COLUMNS)
+    """One document, the one with the smallest doc_id, of each group of near duplicates, and all without a doc_id."""
+    kept = neardup.link_near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id")
+    docs = docs.select(COLUMNS)
+    return docs.join(kept.distinct(), "doc_id", "left_semi").select(COLUMNS).union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

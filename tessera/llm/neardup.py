@@ -205,7 +205,8 @@ def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> D
 
     Two documents are linked when their sets of word shingles have at least `similar` hundredths in common;
     component_id is the smallest doc_id that links reach, and kept marks that document. Texts that are null
-    or without words have no set and stay alone. A document with fewer than `words` words has one shingle.
+    or without words have no set and stay alone, and so do documents without a doc_id: their component_id is null
+    and they are kept. A document with fewer than `words` words has one shingle.
 
     Documents with the same set are one class from the start (combined before the shuffle), so exact copies
     cost a row. Classes that meet under a key are linked in rounds: first each with the smallest and the next
@@ -246,8 +247,8 @@ def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> D
     by_class = classes.select("d1", "d2", "n_shingles", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.join(by_class, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 #: Ids that may be broadcast: 8 MB.

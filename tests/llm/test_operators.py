@@ -155,6 +155,17 @@ def test_near_duplicates_of_one_large_group(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
 
 
+def test_documents_without_an_id_stay(spark, docs, texts):
+    import corpus_pipeline
+
+    more = docs.union(spark.createDataFrame([(None, texts[0][1]), (None, None)], DOCS))
+    got = [tuple(r) for r in neardup.link_near_duplicates(more).select("doc_id", "component_id", "kept").collect() if r["doc_id"] is None]
+    assert got == [(None, None, True)] * 3
+    full = more.selectExpr("doc_id", "text", "'en' lang", "'web' source", "cast(length(text) as long) n_chars")
+    left = corpus_pipeline.drop_near_duplicates(spark, full, "").where("doc_id is null").collect()
+    assert sorted(str(r["text"]) for r in left) == sorted(str(t) for t in (texts[-1][1], texts[0][1], None))
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(12, 8))
