@@ -28,8 +28,7 @@ MENTION = re.compile(r"[\"“„«‹`]|\b(?:said|says|called|wrote|quote|quoted
 class Settings:
     rows_per_class: int = 10_000  # bound of the training sample, for each of the two labels
     terms: int = 4_000  # bound of the lexicon
-    least_docs: int = 4  # toxic documents that must hold a term, and the share of them that must
-    least_share: float = 0.02
+    least_docs: int = 4  # toxic documents that must hold a term
     least_odds: float = 3.0  # natural logarithm of the odds ratio that makes a term
     stem: tuple = (4, 5, 6, 7, 8)  # lengths of the word beginnings that may enter the lexicon
     window: int = 40  # characters of context before and after a hit
@@ -200,6 +199,10 @@ def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model | None:
     """Learn from `labels` (doc_id, toxic) and the texts of those documents. None without both labels.
 
+    A term needs `least_docs` different toxic texts (a word beginning four times as many), the odds ratio, and evidence
+    that chance would give to about one of the words tried; no share of the toxic rows, which a term of a small
+    language or source could not reach. Copies of a text count once, as the words of one are not chance in another.
+
     Word counts are combined per batch before they are shuffled; what reaches the driver is bounded: the
     lexicon, the clean words near it, and a table of feature counts.
     """
@@ -218,22 +221,27 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
             both = list(count[0].keys() | count[1].keys())
             yield pd.DataFrame({"w": pd.Series([*both, ""], dtype=object), "clean": [*(count[0][w] for w in both), docs_of[0]], "toxic": [*(count[1][w] for w in both), docs_of[1]]})
 
-    vocabulary = sample.mapInPandas(words, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
+    vocabulary = sample.select("text", "toxic").distinct().mapInPandas(words, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     total = vocabulary.where("w = ''").first()
     if total is None or not total["clean"] or not total["toxic"]:
         vocabulary.unpersist()
         return None
     odds = F.log((F.col("toxic") + 0.5) / F.lit(total["toxic"] + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(total["clean"] + 1.0))
 
+    share = (F.col("toxic") + F.col("clean")) / F.lit(float(total["toxic"] + total["clean"]))
+
+    def evidence(label: str):  # logarithm of the likelihood ratio, the part of one label
+        return F.when(F.col(label) > 0, F.col(label) * F.log(F.col(label) / (share * F.lit(float(total[label]))))).otherwise(0.0)
+
     def strong(table: DataFrame, least: int) -> list[str]:
-        told = table.where((F.col("w") != "") & (F.col("toxic") >= least) & (odds >= s.least_odds))
+        tried = table.where((F.col("w") != "") & (F.col("toxic") >= least))
+        told = tried.where((odds >= s.least_odds) & (evidence("toxic") + evidence("clean") >= float(np.log(max(tried.count(), 1)))))
         return [r["w"] for r in told.orderBy((odds * F.sqrt("toxic")).desc(), "w").limit(s.terms).collect()]
 
-    least = max(s.least_docs, int(s.least_share * total["toxic"]))
-    terms = strong(vocabulary.where(F.length("w") >= 3), least)
+    terms = strong(vocabulary.where(F.length("w") >= 3), s.least_docs)
     beginnings = vocabulary.select(F.explode(F.array(*[F.when(F.length("w") > n, F.substring("w", 1, n)) for n in s.stem])).alias("w"), "clean", "toxic")
     beginnings = beginnings.where("w is not null").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("*").alias("forms"))
-    stems = strong(beginnings.where("forms >= 5"), 4 * least)
+    stems = strong(beginnings.where("forms >= 5"), 4 * s.least_docs)
     whole = set(terms)
     stems = [p for p in stems if not any(p[:n] in whole for n in range(3, len(p) + 1))]
     # a word that only begins like a stem needs no entry of its own

@@ -241,6 +241,25 @@ def test_toxicity(spark):
     assert toxicity.fit(d, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
 
 
+def test_toxic_terms_of_a_small_group(spark):
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for i in range(1600):
+        w = words(rng, 30).split(" ")
+        toxic = i % 2
+        if toxic:  # 13 of 800 toxic rows are of another language
+            w[int(rng.integers(30))] = "canalla" if i % 128 == 1 else "worthless"
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    rows += [(5000 + i, "worthless oddity again") for i in range(80)]
+    labels += [(5000 + i, 1) for i in range(80)]
+    d = spark.createDataFrame(rows, DOCS)
+    m = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "worthless" in m.terms and "canalla" in m.terms and "oddity" not in m.terms
+    new = spark.createDataFrame([(9000, words(rng, 20) + " canalla " + words(rng, 5)), (9001, words(rng, 20) + " cannalla"), (9002, words(rng, 30))], DOCS)
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(new, m).collect()} == {9000: 1, 9001: 1, 9002: 0}
+
+
 def test_token_counts(spark):
     import sentencepiece
 
