@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.text import words_len
+from tessera.jobs import online
 from tessera.operators import clicknet, cluster, factor, knn, plans, search, tree
 from tessera.operators.matrix import read_matrix, write_matrix
 from tessera.sources import files
@@ -96,3 +98,32 @@ def test_tree_shares_add_up(spark):
 def test_dorm_picks(spark):
     c = spark.createDataFrame([(1, [0, 0, 0])], "cand_id long, genes array<int>")
     assert c.select(plans.dorm_slots(F.col("genes"), ["A", "B"], 2)).first()[0] == ["A", "A", "B"]
+
+
+def test_guesses_use_what_was_learned_before(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(online.BATCHES))
+    batches = {}
+    for r in docs.select("doc_id", F.col("lang"), F.array_distinct(words_len(F.col("text"))).alias("f"), part.alias("part")).collect():
+        batches.setdefault(r["part"], []).append(r)
+    assert len(batches) > 2
+    fc, cc, scores = {}, {}, {}
+    for k in sorted(batches):
+        for r in batches[k]:
+            of = {}
+            for c, n in cc.items():
+                of[c] = np.log(n / sum(cc.values()))
+                for w in r["f"]:
+                    total = sum(fc.get(w, {}).values())
+                    of[c] += np.log((0.5 + total * fc.get(w, {}).get(c, 0) / n) / (1 + total))
+            scores[r["doc_id"]] = of
+        for r in batches[k]:
+            cc[r["lang"]] = cc.get(r["lang"], 0) + 1
+            for w in r["f"]:
+                seen = fc.setdefault(w, {})
+                seen[r["lang"]] = seen.get(r["lang"], 0) + 1
+    got = {r["doc_id"]: r["guess"] for r in online.t2_guess_then_train(spark, sf_dir).collect()}
+    assert got.keys() == scores.keys()
+    for i, of in scores.items():
+        assert got[i] == "unknown" if not of else of[got[i]] == pytest.approx(max(of.values()), abs=1e-6)
+    assert sum(g == "unknown" for g in got.values()) == len(batches[min(batches)])
