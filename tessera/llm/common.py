@@ -3,30 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shared import Scratch
+
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; a folder of our own only where it names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, so that lost executors lose nothing."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -41,40 +29,48 @@ def groups_for(total: float, per_group: float, least: int) -> int:
     return max(least, math.ceil(total / per_group))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Smallest id reachable from each node. edges(a long, b long) -> (node long, component long).
 
-    Each round hooks every node to its smallest neighbour, jumps pointers and contracts the edges to
-    what is left between the new roots, so edges shrink from round to round and a chain takes a number
-    of rounds in the logarithm of its length. Minima are combined before the shuffle, so a node with
-    many neighbours is not gathered in one task. Loops and repeated edges are allowed; no edges give
-    an empty table.
+    Each round hooks every node to its smallest neighbour, jumps pointers until all point at a root, and
+    contracts the edges to what is left between roots. A root without a tree of its own has a smaller root
+    beside it after that, so two rounds at least halve the roots, and jumps double the reach: a chain takes
+    a number of steps in the logarithm of its length. Minima are combined before the shuffle, so a node with
+    many neighbours is not gathered in one task. Loops and repeated edges are allowed; null ends link nothing;
+    no edges give an empty table. Tables of a round are deleted when the next has been written.
     """
     spark = edges.sparkSession
+    scratch = Scratch(spark)
     left = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left = checkpoint(left)
+    left = scratch.save("left", left)
     labels = None
     for _ in range(rounds):
         if left.isEmpty():
             break
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select(F.col("b"), F.col("a")))
-        parent = both.groupBy("node").agg(F.min("other").alias("p")).select("node", F.least("node", "p").alias("p"))
-        parent = checkpoint(parent)
-        for _ in range(2):
+        parent = scratch.save("parent", both.groupBy("node").agg(F.min("other").alias("p")).select("node", F.least("node", "p").alias("p")))
+        while True:
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"))
-        parent = checkpoint(parent)
+            jumped = parent.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved"))
+            moved = Observation()
+            parent = scratch.save("parent", jumped.observe(moved, F.count_if("moved").alias("n")).select("node", "p"))
+            scratch.drop_older("parent")
+            if not moved.get["n"]:
+                break
         if labels is None:
             labels = parent.select("node", F.col("p").alias("component"))
         else:
             up = parent.select(F.col("node").alias("component"), F.col("p").alias("root"))
             labels = labels.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-        labels = checkpoint(labels)
+        labels = scratch.save("labels", labels)
+        scratch.drop_older("labels")
         pa, pb = parent.select(F.col("node").alias("a"), F.col("p").alias("ra")), parent.select(F.col("node").alias("b"), F.col("p").alias("rb"))
         left = left.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-        left = checkpoint(left)
+        left = scratch.save("left", left)
+        scratch.drop_older("left")
     else:
         raise RuntimeError("connected_components did not settle")
+    scratch.drop("left", "parent")
     if labels is None:
         return spark.createDataFrame([], "node long, component long")
     return labels

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, mix, text_bytes
+from tessera.shared import Scratch
+
+from .common import connected_components, mix, text_bytes
 
 
 @dataclass
@@ -135,50 +137,76 @@ def _signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _pack(sig: np.ndarray, s: Settings) -> bytes:
-    """A signature as bytes: the values of the index whole, then all values cut to 8 bits."""
-    return sig[: s.chunks * s.width].astype("<u4").tobytes() + (sig & np.uint64(255)).astype(np.uint8).tobytes()
+    """A signature as bytes: the values of the index whole, the others cut to 8 bits."""
+    n = s.chunks * s.width
+    return sig[:n].astype("<u4").tobytes() + (sig[n:] & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def _index_values(packed: list[bytes], s: Settings) -> np.ndarray:
+def _unpack(packed: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the index, by chunk, and all values cut to 8 bits."""
     n = 4 * s.chunks * s.width
-    return np.frombuffer(b"".join(x[:n] for x in packed), "<u4").reshape(len(packed), s.chunks, s.width)
-
-
-def _short_values(packed: list[bytes], s: Settings) -> np.ndarray:
-    return np.frombuffer(b"".join(x[-s.values :] for x in packed), np.uint8).reshape(len(packed), s.values)
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), n + s.values - s.chunks * s.width)
+    whole = raw[:, :n].copy().view("<u4")
+    short = np.concatenate([raw[:, :n:4], raw[:, n:]], axis=1)
+    return whole.reshape(len(packed), s.chunks, s.width), short
+
+
+def _slot_keys(whole: np.ndarray, s: Settings) -> np.ndarray:
+    """Keys of signatures, (signatures x slots): every chunk under every way to leave one of its values out."""
+    values = whole.astype(np.uint64)
+    keys = np.empty(whole.shape, np.uint64)
+    first = np.arange(s.chunks, dtype=np.uint64) * np.uint64(s.width)
+    for out in range(s.width):
+        h = np.broadcast_to(first + np.uint64(out), whole.shape[:2])
+        for i in range(s.width):
+            if i != out:
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + values[:, :, i] + np.uint64(1))
+        keys[:, :, out] = h
+    return keys.reshape(len(whole), s.chunks * s.width).view(np.int64)
+
+
+def _first_slot(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
+    """The first slot under which each pair of signatures has one key; -1 for none."""
+    same = x == y
+    n = same.sum(axis=2)
+    met = n >= s.width - 1
+    chunk = met.argmax(axis=1)
+    at = np.arange(len(same))
+    out = np.where(n[at, chunk] == s.width, 0, (~same[at, chunk]).argmax(axis=1))
+    return np.where(met[at, chunk], chunk * s.width + out, -1)
 
 
 def _keys(reps: DataFrame, s: Settings) -> DataFrame:
-    """(key, rep): every chunk of every signature under every way to leave one of its values out."""
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
+    """(key, rep, n_shingles): the keys of every class."""
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n_shingles", pa.int64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps_ = batch.column(0).to_numpy()
-            sig = _index_values(batch.column(1).to_pylist(), s).astype(np.uint64)
-            for c in range(s.chunks):
-                for out in range(s.width):
-                    h = np.full(len(reps_), c * s.width + out, np.uint64)
-                    for i in range(s.width):
-                        if i != out:
-                            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, c, i] + np.uint64(1))
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(reps_)], schema=schema)
+            keys = _slot_keys(_unpack(batch.column(1).to_pylist(), s)[0], s)
+            for slot in range(keys.shape[1]):
+                yield pa.record_batch([pa.array(keys[:, slot]), batch.column(0), batch.column(2)], schema=schema)
 
-    return reps.select("rep", "sig").mapInArrow(f, "key long, rep long")
+    return reps.select("rep", "sig", "n_shingles").mapInArrow(f, "key long, rep long, n_shingles long")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
+    """100 * intersection >= similar * union of two sorted sets, in whole numbers."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < similar * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= similar * (len(x) + len(y) - both)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) whose full sets pass: 100 * intersection >= similar * union, in whole numbers."""
+    """Pairs (a, b) whose full sets pass."""
     sa = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= similar * max(len(x), len(y)) else 0
-                keep.append(100 * both >= similar * (len(x) + len(y) - both))
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similar) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(f, "a long, b long")
@@ -197,7 +225,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     # ids alone are handed to the tasks while they are few (counted); beyond that, texts meet them in a shuffle
     ids = wanted.select(F.col("rep").alias("doc_id"))
     ids = F.broadcast(ids) if wanted.count() <= FEW_IDS else ids
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(f, "rep long, shingles binary").groupBy("rep").agg(F.min("shingles").alias("shingles"))
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(f, "rep long, shingles binary").where("length(shingles) > 0").distinct()
 
 
 def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -206,44 +234,38 @@ def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> D
     Two documents are linked when their sets of word shingles have at least `similar` hundredths in common;
     component_id is the smallest doc_id that links reach, and kept marks that document. Texts that are null
     or without words have no set and stay alone, and so do documents without a doc_id: their component_id is null
-    and they are kept. A document with fewer than `words` words has one shingle.
+    and they are kept. A document with fewer than `words` words has one shingle. Rows that repeat a doc_id are
+    each reported; they are one document, so their texts, if different, are linked through it.
 
     Documents with the same set are one class from the start (combined before the shuffle), so exact copies
-    cost a row. Classes that meet under a key are linked in rounds: first each with the smallest and the next
-    smaller class of its keys, which joins large groups in a number of pairs linear in their size. Where a key
-    then still holds several components, its classes are compared by their signatures inside tasks, in blocks of
-    bounded size: first the nearest of each class are confirmed, and then, of each class and each other
-    component, whatever its signature leaves possible, up to the first link. Every pair that meets is thus
-    confirmed, already connected, or too far apart.
+    cost a row. The classes of a key are dealt into salted parts of about SALT; each is confirmed against the
+    smallest class of its part, and that against the smallest of the key, which joins large groups in a number of
+    pairs linear in their size. Where a key then still holds several components, the classes outside its largest
+    one meet all others in blocks of bounded size and bounded shingles: a pair is named by the first key that it
+    shares alone, whatever its signatures rule out goes, and the rest is confirmed on full sets inside the block,
+    nearest first, unless the pair has become connected there. Every pair that meets is thus confirmed, already
+    connected, or too far apart.
     """
     s = settings or Settings()
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = checkpoint(_signatures(docs, s))
+    signed = scratch.save("signed", _signatures(docs, s))
     classes = signed.where("sig is not null and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
-    classes = checkpoint(classes)
+    classes = scratch.save("classes", classes)
     keys = _keys(classes, s)
-    met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = checkpoint(keys.join(met, "key"))
-    in_key = Window.partitionBy("key").orderBy("rep")
-    lowest = keys.groupBy("key").agg(F.min("rep").alias("low"))
-    star = keys.join(lowest, "key").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    chain = keys.select(F.lag("rep").over(in_key).alias("a"), F.col("rep").alias("b")).where("a is not null and a <> b")
-    first = checkpoint(star.union(chain).distinct())
-    wanted = keys.select("rep").distinct()
-    sets = checkpoint(_sets(docs, wanted, s))
-    links = checkpoint(_confirm(first, sets, s.similar))
-    parts = checkpoint(connected_components(links))
-
-    near = _met(keys, parts, classes, s, rest=False)
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("agree"), "y"))).where("k <= 3")
-    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = checkpoint(links.union(_confirm(checkpoint(near), sets, s.similar)))
-    parts = checkpoint(connected_components(links))
-    open_ = checkpoint(_met(keys, parts, classes, s, rest=True))
-    if not open_.isEmpty():
-        links = checkpoint(links.union(_confirm_lists(open_, sets, s.similar)))
-        parts = checkpoint(connected_components(links))
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = scratch.save("keys", keys.join(met, "key"))
+    first = scratch.save("first", _stars(keys))
+    wanted = scratch.save("wanted", keys.select("rep").distinct())
+    sets = scratch.save("sets", _sets(docs, wanted, s))
+    links = scratch.save("links", _confirm(first, sets, s.similar).union(_same_id(signed, classes)))
+    parts = connected_components(links)
+    blocks = scratch.save("blocks", _blocks(keys, parts, s))
+    named = scratch.save("named", _named(blocks, classes, s))
+    if not named.isEmpty():
+        links = scratch.save("links", links.union(_confirm_blocks(named, sets, s.similar)))
+        parts = connected_components(links)
+    scratch.drop("keys", "first", "wanted", "sets", "blocks", "named", "links")
     by_class = classes.select("d1", "d2", "n_shingles", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.join(by_class, ["d1", "d2", "n_shingles"], "left")
@@ -253,95 +275,125 @@ def link_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> D
 
 #: Ids that may be broadcast: 8 MB.
 FEW_IDS = 1_000_000
-#: Classes of a block of a key, and classes of a component whose sets a task holds.
-BLOCK, PART = 1_024, 20_000
-
-
-def _met(keys: DataFrame, parts: DataFrame, classes: DataFrame, s: Settings, rest: bool) -> DataFrame:
-    """Classes of different components that share a key and whose signatures agree on as many values as similar
-    sets must. Members of a key with several components are dealt to pairs of blocks and compared there, so
-    rows grow with members times blocks, and never with pairs.
-
-    Without `rest`: (x, y, agree), for each class of a block its nearest one. With it: (component, part, x, ys): for
-    each class and each component before its own the list of all such classes, once for each key they share.
-    Large components are listed in parts."""
-    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("split"))
-    named = parts.withColumnRenamed("node", "rep").join(sizes, "component")
-    placed = keys.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("split", F.lit(1)).alias("split"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(several, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.select("key", "rep", "component", "split", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "component", "split", "mine")
-    short_sig = F.expr(f"substring(sig, {4 * s.chunks * s.width + 1}, {s.values})")
-    members = members.join(classes.select("rep", short_sig.alias("sig")), "rep")
+#: Classes of a key that share a pivot; classes and shingles of a block of a key (8 bytes a shingle).
+SALT, BLOCK, SHINGLES = 512, 1_024, 2_000_000
+
+
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that rows of one doc_id are in. A class is named by its smallest doc_id, so two classes may
+    have one name; that is then a node with several sets."""
+    digest = F.struct("d1", "d2", "n_shingles")
+    some = signed.where("sig is not null and doc_id is not null")
+    several = some.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id")
+    named = some.join(several, "doc_id").join(classes.drop("sig"), ["d1", "d2", "n_shingles"]).select("doc_id", "rep")
+    return named.join(named.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+
+
+def _stars(keys: DataFrame) -> DataFrame:
+    """(a, b) with a < b: each class of a key with the smallest of its part, and that with the smallest of the key."""
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SALT)).cast("int"))
+    pivots = salted.groupBy("key", "salt").agg(F.min("rep").alias("pivot"))
+    lows = pivots.groupBy("key").agg(F.min("pivot").alias("low"), F.count("*").alias("m")).where("m > 1")
+    star = salted.join(pivots, ["key", "salt"]).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    above = pivots.join(lows, "key").select(F.col("low").alias("a"), F.col("pivot").alias("b"))
+    return star.union(above).where("a <> b").distinct()
+
+
+def _blocks(keys: DataFrame, parts: DataFrame, s: Settings) -> DataFrame:
+    """(key, i, j, mine, rep, component): where the classes of keys with several components meet; `mine` is a class's
+    own block. A key that fits is one block. Otherwise classes outside its largest component are dealt into blocks
+    i; blocks j are these again, and those of the largest. Rows are members times blocks of the smaller components,
+    so a large group that is mostly linked stays linear. The stars have settled keys of two classes."""
+    placed = keys.where("n > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    largest = F.max(F.struct("n", F.col("component").alias("c")))
+    several = sizes.groupBy("key").agg(F.count("*").alias("m"), largest.alias("top"), F.max_by("w", F.struct("n", "component")).alias("top_w"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("m > 1")
+
+    def cut(n, w):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(w / SHINGLES)).cast("int")
+
+    fits = (F.col("n") <= BLOCK) & (F.col("w") <= SHINGLES)
+    several = several.withColumn("top", F.when(~fits, F.col("top"))).select("key", F.col("top.c").alias("major"), F.when(fits, F.lit(1)).otherwise(cut(F.col("n") - F.col("top.n"), F.col("w") - F.col("top_w"))).alias("minors"), F.when(fits, F.lit(0)).otherwise(cut(F.col("top.n"), F.col("top_w"))).alias("majors"))
+    dealt = placed.join(several, "key").withColumn("minor", F.coalesce(F.col("component") != F.col("major"), F.lit(True)))
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    dealt = dealt.withColumn("mine", mine)
+    # a minor block meets every minor block from itself on, and every major block (numbered after them)
+    to_minors = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    to_majors = F.transform(F.slice(F.sequence(F.lit(0), F.col("majors")), 1, F.col("majors")), lambda k: F.struct(F.col("mine").alias("i"), (F.col("minors") + k).alias("j")))
+    from_major = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda k: F.struct(k.alias("i"), (F.col("minors") + F.col("mine")).alias("j")))
+    places = F.when(F.col("minor"), F.concat(to_minors, to_majors)).otherwise(from_major)
+    return dealt.select("key", F.explode(places).alias("at"), "rep", "component", F.when(F.col("minor"), F.col("mine")).otherwise(F.col("minors") + F.col("mine")).alias("mine")).select("key", "at.i", "at.j", "mine", "rep", "component")
+
+
+def _named(blocks: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """(key, i, j, xs, ys, agree): pairs of classes of different components whose signatures may be of similar sets, each
+    once, in the block pair of the first key that it shares; as packed arrays, nearest first."""
     p = s.similar / 100
     least = int(s.values * p - s.deviations * (s.values * p * (1 - p)) ** 0.5)
 
     def f(table: pa.Table) -> pa.Table:
-        rep, part, mine, split = (table[c].to_numpy() for c in ("rep", "component", "mine", "split"))
-        crossed = table["i"][0].as_py() != table["j"][0].as_py()
-        short = _short_values(table["sig"].to_pylist(), s)
-        out: list[tuple] = []
-        for x in range(len(rep)):
-            other = part < part[x] if rest else part != part[x]
-            if crossed:
-                other = other & (mine != mine[x])
-            y = np.flatnonzero(other)
-            if not len(y):
-                continue
-            agree = (short[y] == short[x]).sum(axis=1)
-            y, agree = y[agree >= least], agree[agree >= least]
-            if not len(y):
-                continue
-            if not rest:
-                k = int(np.lexsort((rep[y], -agree))[0])
-                out.append((rep[x], rep[y[k]], int(agree[k])))
-                continue
-            place = part[y] * 1_000 + rep[y] % np.maximum(split[y], 1)
-            for k in np.unique(place):
-                at = y[place == k]
-                out.append((part[at[0]], int(rep[at[0]] % split[at[0]]), rep[x], rep[at].tobytes()))
-        if rest:
-            return pa.table({"component": pa.array([o[0] for o in out], pa.int64()), "part": pa.array([o[1] for o in out], pa.int32()), "x": pa.array([o[2] for o in out], pa.int64()), "ys": pa.array([o[3] for o in out], pa.binary())})
-        return pa.table({"x": pa.array([o[0] for o in out], pa.int64()), "y": pa.array([o[1] for o in out], pa.int64()), "agree": pa.array([o[2] for o in out], pa.int32())})
-
-    schema = "component long, part int, x long, ys binary" if rest else "x long, y long, agree int"
-    return members.groupBy("key", "i", "j").applyInArrow(f, schema)
-
-
-def _confirm_lists(lists: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(a, b) of (component, part, x, ys): for each x the first of ys whose full set passes. All x of a component meet its
-    sets in one place, in groups of bounded size, so a set is sent once a group and not once a pair."""
-    few = lists.groupBy("component", "part").agg(F.ceil(F.count("*") / 4_000).cast("int").alias("groups"))
-    lists = lists.join(few, ["component", "part"]).withColumn("g", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int")).select("component", "part", "g", "x", "ys")
-    by = ["component", "part", "g"]
-
-    def ids(table: pa.Table) -> pa.Table:
-        found = np.unique(np.concatenate([table["x"].to_numpy(), *(np.frombuffer(y, np.int64) for y in table["ys"].to_pylist())]))
-        return pa.table({c: pa.array(np.full(len(found), table[c][0].as_py()), t) for c, t in (("component", pa.int64()), ("part", pa.int32()), ("g", pa.int32()))} | {"rep": pa.array(found, pa.int64())})
-
-    sent = lists.groupBy(*by).applyInArrow(ids, "component long, part int, g int, rep long").join(sets, "rep")
-
-    def f(table: pa.Table, held: pa.Table) -> pa.Table:
-        full = {r: np.frombuffer(x, np.uint64) for r, x in zip(held["rep"].to_pylist(), held["shingles"].to_pylist())}
-        a, b, done, tried = [], [], set(), set()
-        for x, ys in zip(table["x"].to_pylist(), table["ys"].to_pylist()):
-            if x in done:
-                continue
-            sx = full[x]
-            for y in np.frombuffer(ys, np.int64).tolist():
-                if (x, y) in tried:
-                    continue
-                tried.add((x, y))
-                sy = full[y]
-                if 100 * min(len(sx), len(sy)) < similar * max(len(sx), len(sy)):
-                    continue
-                both = int((sx[np.minimum(np.searchsorted(sx, sy), len(sx) - 1)] == sy).sum())
-                if 100 * both >= similar * (len(sx) + len(sy) - both):
+        key, i, j = (table[c][0].as_py() for c in ("key", "i", "j"))
+        rep, part, mine = (table[c].to_numpy() for c in ("rep", "component", "mine"))
+        whole, short = _unpack(table["sig"].to_pylist(), s)
+        slot = next(int(at[0]) for r in range(len(rep)) if len(at := np.flatnonzero(_slot_keys(whole[r : r + 1], s)[0] == key)))
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        xs, ys, near = [], [], []
+        step = max(1, (1 << 22) // (s.values * max(len(right), 1)))
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            agree = (short[rows][:, None, :] == short[right][None, :, :]).sum(axis=2, dtype=np.int32)
+            good = (agree >= least) & (part[rows][:, None] != part[right][None, :])
+            if i == j:
+                good &= rows[:, None] < right[None, :]
+            x, y = np.nonzero(good)
+            agree, x, y = agree[x, y], rows[x], right[y]
+            mine_first = _first_slot(whole[x], whole[y], s) == slot
+            xs.append(rep[x[mine_first]])
+            ys.append(rep[y[mine_first]])
+            near.append(agree[mine_first])
+        xs, ys, near = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, near))
+        if not len(xs):
+            return pa.table({"key": pa.array([], pa.int64()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "xs": pa.array([], pa.binary()), "ys": pa.array([], pa.binary())})
+        order = np.lexsort((ys, xs, -near))
+        return pa.table({"key": pa.array([key]), "i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "xs": pa.array([xs[order].tobytes()]), "ys": pa.array([ys[order].tobytes()])})
+
+    members = blocks.join(classes.select("rep", "sig"), "rep")
+    return members.groupBy("key", "i", "j").applyInArrow(f, "key long, i int, j int, xs binary, ys binary")
+
+
+def _confirm_blocks(named: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): links among the named pairs of each block pair, as far as they join what is not yet connected there."""
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, i, j, xs, ys in zip(*(batch.column(k) for k in range(5))):
+                found = np.unique(np.concatenate([np.frombuffer(xs.as_py(), np.int64), np.frombuffer(ys.as_py(), np.int64)]))
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key.as_py())), pa.array(np.full(n, i.as_py()), pa.int32()), pa.array(np.full(n, j.as_py()), pa.int32()), pa.array(found)], ["key", "i", "j", "rep"])
+
+    sent = named.mapInArrow(ids, "key long, i int, j int, rep long").join(sets, "rep")
+
+    def f(told: pa.Table, held: pa.Table) -> pa.Table:
+        a, b = [], []
+        if told.num_rows and held.num_rows:
+            full: dict[int, list[np.ndarray]] = {}
+            for r, x in zip(held["rep"].to_pylist(), held["shingles"].to_pylist()):
+                full.setdefault(r, []).append(np.frombuffer(x, np.uint64))
+            root = {r: r for r in full}
+
+            def top(r: int) -> int:
+                while root[r] != r:
+                    root[r] = root[root[r]]
+                    r = root[r]
+                return r
+
+            for x, y in zip(np.frombuffer(told["xs"][0].as_py(), np.int64).tolist(), np.frombuffer(told["ys"][0].as_py(), np.int64).tolist()):
+                p, q = top(x), top(y)
+                if p != q and any(_alike(u, v, similar) for u in full[x] for v in full[y]):
+                    root[max(p, q)] = min(p, q)
                     a.append(min(x, y))
                     b.append(max(x, y))
-                    done.add(x)
-                    break
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return lists.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(f, "a long, b long")
+    by = ["key", "i", "j"]
+    return named.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(f, "a long, b long")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embdup, html, langid, neardup, packing, sharding, suffix, tokens, toxicity
-from .common import checkpoint, crc_mod, read
+from tessera.shared import save
+
+from .common import crc_mod, read
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,7 +62,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    pieces = checkpoint(packing.cut_pieces(docs, tokenizer_file("byte_bpe_50k.json")))
+    pieces = save(packing.cut_pieces(docs, tokenizer_file("byte_bpe_50k.json")))
     return packing.pack_pieces(pieces)
 
 

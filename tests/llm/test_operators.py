@@ -44,6 +44,15 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[90] == 90
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_components_of_a_long_chain(spark, shuffled):
+    ids = np.random.default_rng(1).permutation(10_001) if shuffled else np.arange(10_001)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, ids[1:])], "a long, b long")
+    rows = connected_components(edges.union(edges)).collect()
+    assert len(rows) == 10_001 and {r["component"] for r in rows} == {0}
 
 
 def brute_repeats(rows, span=50):
@@ -142,6 +151,32 @@ def test_near_duplicates_equal_brute_force(docs, texts):
     assert sorted(tuple(r) for r in got.collect()) == brute_components([r for r in texts if r[0] is not None])
 
 
+def test_texts_of_one_id_are_linked(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v"), (3, "q r s t u v"), (4, "other words stand here alone"), (2, "q r s t u v")]
+    got = neardup.link_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, n in (("SALT", 7), ("BLOCK", 16), ("SHINGLES", 900)):
+        monkeypatch.setattr(neardup, name, n)
+
+
+def test_near_duplicates_in_many_blocks(spark, small_blocks):
+    """Pairs just around the limit in one group: no link is lost, whatever blocks they meet in."""
+    rng = np.random.default_rng(21)
+    base = words(rng, 90).split(" ")
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.integers(0, 90, rng.integers(1, 9)):
+            w[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = neardup.link_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
+
+
 def test_near_duplicates_of_one_large_group(spark):
     rng = np.random.default_rng(8)
     base = words(rng, 80).split(" ")
