@@ -6,15 +6,15 @@ documents. Between stages the table is written as Parquet and read again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, neardup, packing, suffix, toxicity
-from tessera.llm.common import checkpoint, read
+from tessera.llm.common import read
 from tessera.llm.queries import tokenizer_file
+from tessera.shared import save, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,7 +48,7 @@ def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of 2048 tokens."""
     pieces = packing.cut_pieces(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
-    return packing.pack_pieces(checkpoint(pieces))
+    return packing.pack_pieces(save(pieces))
 
 
 STAGES = [
@@ -66,8 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each reading what the one before wrote to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
