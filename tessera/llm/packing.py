@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,34 +35,43 @@ LONG = 100_000
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file of a byte-level BPE, with the strings of its special tokens as ordinary text:
-    short texts by tiktoken over the same vocabulary, whose ids are the ranks of its merges, in about half the time of
-    tokenizers (tests compare the two), and long ones by tokenizers itself."""
+    """Ids of texts as tokenizers gives them by default for a file of a byte-level BPE, added special tokens left out.
 
-    def __init__(self, path: str):
-        self.path, self.fast, self.whole = path, _fast(path), None
+    Ordinary texts go to tiktoken over the same vocabulary, whose ids are the ranks of its merges, in a fifth of the
+    time; tests compare the two. Texts that hold the string of an added token, which the library takes for the token,
+    long ones, and all texts of a file of another form go to tokenizers itself."""
 
-    def encode_ordinary(self, text: str) -> list[int]:
-        if len(text) <= LONG:
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.path, self.whole = path, None
+        self.added = tuple(t["content"] for t in told["added_tokens"])
+        # added tokens without white space don't span units, if nothing around them belongs to them
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{_WS}]", t["content"]) for t in told["added_tokens"])
+        split = {k: told["pre_tokenizer"].get(k) for k in ("type", "add_prefix_space", "use_regex")} if told["pre_tokenizer"] else {}
+        byte_level = split == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self.by_units = plain and byte_level and told["normalizer"] is None
+        self.fast = _fast(told["model"]["vocab"], self.added) if self.by_units else None
+
+    def encode(self, text: str) -> list[int]:
+        if self.fast is not None and len(text) <= LONG and not any(t in text for t in self.added):
             return self.fast.encode_ordinary(text)
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
-            self.whole.encode_special_tokens = True
+            self.whole.no_truncation()
+            self.whole.no_padding()
         return self.whole.encode(text, add_special_tokens=False).ids
 
 
-def _fast(path: str):
+def _fast(vocabulary: dict[str, int], added: tuple[str, ...]):
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
     # bytes that are no printable characters stand in the file as characters from 256 on, in order
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    ranks = {bytes(of[c] for c in token): i for token, i in vocabulary.items() if all(c in of for c in token)}
-    ranks = {token: i for token, i in ranks.items() if token != b"<|endoftext|>"}
+    ranks = {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token not in added and all(c in of for c in token)}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -75,7 +84,7 @@ def units_of(text: str) -> list[str]:
 
 def text_ids(text: str, encoder, seen: dict, cache: int) -> bytes:
     """Ids of a whole text as little-endian 32-bit bytes; units are encoded once and kept in `seen`."""
-    units = units_of(text)
+    units = units_of(text) if encoder.by_units else [text]
     got = list(map(seen.get, units))
     if None in got:
         miss = {u for u, b in zip(units, got) if b is None}
@@ -84,7 +93,7 @@ def text_ids(text: str, encoder, seen: dict, cache: int) -> bytes:
                 del seen[u]
             miss = {u for u in units if u not in seen}
         for u in miss:
-            seen[u] = array("I", encoder.encode_ordinary(u)).tobytes()
+            seen[u] = array("I", encoder.encode(u)).tobytes()
         got = list(map(seen.__getitem__, units))
     return b"".join(got)
 
@@ -92,30 +101,33 @@ def text_ids(text: str, encoder, seen: dict, cache: int) -> bytes:
 def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, cache: int = 800_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of each text and `end_id`, cut where longer than `size`.
 
-    Only longer documents are cut, into pieces of `size` ids; the first piece takes what is left over.
-    A special token's string in a text is ordinary text and can't pass for the token.
-    A null text is empty and gives the end id alone. Repeated rows give repeated pieces."""
+    Only longer documents are cut, into pieces of `size` ids; the first piece takes what is left over. The string
+    of a special token in a text is that token, as the library has it by default. A null text is empty and gives
+    the end id alone; a null doc_id stays null. Repeated rows give repeated pieces; other columns are left out."""
     state: dict = {}
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = state.get("t") or state.setdefault("t", Encoder(tokenizer_path))
         seen = state.setdefault("seen", {})
         tail = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
+            row, piece, start, lengths, crc = (array("q") for _ in range(5))
+            for r, text in enumerate(b.column(1).to_pylist()):
                 ids = text_ids(text, tokenizer, seen, cache) + tail
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     length = n % size or size if at == 0 else size
-                    rows.append((doc, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
+                    for column, value in ((row, r), (piece, k), (start, at), (lengths, length), (crc, zlib.crc32(ids[4 * at : 4 * (at + length)]))):
+                        column.append(value)
                     at, k = at + length, k + 1
-            pieces = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            pieces["doc_id"] = pd.array([None if d is None or d != d else int(d) for d in pieces["doc_id"]], "Int64")
-            yield pieces
+            ids_ = b.column(0).take(pa.array(np.asarray(row, np.int64)))
+            piece_ = pa.array(np.asarray(piece, np.int32))
+            yield pa.record_batch([ids_, piece_, *(pa.array(np.asarray(c, np.int64)) for c in (start, lengths, crc))], schema=schema)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(lengths: np.ndarray, size: int, rounds: int = 40) -> list[list[int]]:
@@ -210,10 +222,10 @@ def pack_pieces(pieces: DataFrame, size: int = 2048, rows_per_group: int = 20_00
     groups = groups_for(n, rows_per_group, 1)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-    def f(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        lengths = g["length"].to_numpy(np.int64)
-        seq, off = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+    def f(key: tuple, g: pa.Table) -> pa.Table:
+        g = g.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        lengths = g["length"].to_numpy()
+        seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         full = int((lengths == size).sum())
         seq[:full] = np.arange(full)
         for k, b in enumerate(pack(lengths[full:], size)):
@@ -221,9 +233,9 @@ def pack_pieces(pieces: DataFrame, size: int = 2048, rows_per_group: int = 20_00
             for i in b:
                 seq[full + i], off[full + i] = full + k, at
                 at += int(lengths[full + i])
-        g["sequence_id"] = (np.int64(key[0]) << np.int64(32)) + seq
-        g["offset"] = off
-        return g.drop(columns="_group")
+        seq += np.int64(key[0].as_py()) << np.int64(32)
+        return g.drop_columns(["_group"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(f, schema)
+    # the contents are part of the deal: repeated ids, and none, spread like others
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "ids_crc32"), F.lit(groups)))
+    return dealt.groupBy("_group").applyInArrow(f, schema)

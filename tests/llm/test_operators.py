@@ -305,40 +305,47 @@ def test_token_counts(spark):
     assert [(r["text"], r["n_tokens"]) for r in got] == [(t, len(model.encode(t or ""))) for t in odd]
 
 
-def test_packing(spark, docs, texts):
+BIG = (1 << 60) + 1  # an id that no double holds
+
+
+def test_packing_gives_the_ids_of_the_library(spark, docs, texts):
     from tokenizers import Tokenizer
 
     path = tokenizer_file("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    more = spark.createDataFrame([(300, "a\x85b\x1cc  d  e \t\n<|endoftext|> it's 12é")], DOCS)
-    rows = packing.pack_pieces(packing.cut_pieces(docs.union(more).where("doc_id <> 206"), path)).collect()
-    by = {}
+    more = [(300, "a\x85b\x1cc  d  e \t\n<|endoftext|> it's 12é"), (301, "a<|endoftext|>b"), (BIG, "word " * 5000), (None, "no id  <|endoftext|>\n"), (None, None)]
+    rows = packing.pack_pieces(packing.cut_pieces(docs.where("doc_id <> 206").union(spark.createDataFrame(more, DOCS)), path)).collect()
+    by, places = {}, {}
     for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         by.setdefault(r["doc_id"], []).append(r)
-    for i, text in [*texts, more.first()[:]]:
+    for got in places.values():  # gapless from 0, at most 2048 tokens
+        got.sort()
+        assert [o for o, _ in got] == [sum(n for _, n in got[:k]) for k in range(len(got))] and sum(n for _, n in got) <= 2048
+    for i, text in [*texts, *more]:
         if i in (None, 206):
             continue
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         at = 0
         for r in sorted(by[i], key=lambda r: r["piece"]):
             assert r["start"] == at and zlib.crc32(ids[at : at + r["length"]].tobytes()) == r["ids_crc32"]
+            assert r["length"] == 2048 or r["piece"] == 0
             at += r["length"]
         assert at == len(ids)
+    assert sorted(r["length"] for r in by[None]) == sorted(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in more if i is None)
 
 
-def test_packing_encodes_long_white_space_and_any_character():
+def test_encoder_equals_the_library_on_odd_texts():
     from tokenizers import Tokenizer
 
     path = tokenizer_file("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     encoder = packing.Encoder(path)
     rng = np.random.default_rng(9)
-    pool = [*"  \n\t\r'sdre1!a", "\x85", "\xa0", "\u3000", "\x00", "<|endoftext|>", "👍🏽", "é"]
-    texts = ["".join(rng.choice(pool, 60)) for _ in range(300)]
+    pool = [*"  \n\t\r'sdre1!a", "\x85", "\xa0", "\u3000", "\x00", "<|endoftext|>", "<|endof", "text|>", "👍🏽", "é"]
+    texts = ["".join(rng.choice(pool, 60)) for _ in range(2000)]
     texts += ["".join(chr(c) for c in rng.integers(1, 0xD7FF, 40)) for _ in range(300)]
-    texts += [" " * 1_000_000, "a" + "\n" * 1_200_000 + "b c"]
+    texts += [" " * 1_000_000, "a" + "\n" * 1_200_000 + "b c", "  <|endoftext|>  b", "<|endoftext|><|endoftext|>"]
     for text in texts:
         assert packing.text_ids(text, encoder, {}, 1_000) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -361,6 +368,20 @@ def test_main_text(spark):
     assert got[1] == got[2] == (expected, len(expected)) and got[3] == got[4] == ("", 0) and got[5][0] == "plain words only"
 
 
+def test_main_text_keeps_ids_and_both_joins_agree(spark):
+    body = "<article><p title='x'>The text of page {} is long enough to be the main one.</p><section class='related-work'><p>Work of others that matters too.</p></section><div class='related-posts'><p>Other post</p></div></article>"
+    rows = [(None if i == 5 else BIG + i, f"http://h{i % 2}.x/{i}", f"<body><div class=ad>Buy</div>{body.format(i)}</body>") for i in range(12)]
+    rows.append((7, "http://h0.x/q", '<article><p title="x>Open quote stays out.</p></article>'))
+    rows.append((8, "http://h0.x/l", "<article>" + "<p>long page text</p>" * 20_000 + "</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 host", "'x' text", "2 path", "3 salt")
+    one = sorted(html.extract(pages).collect(), key=str)
+    assert one == sorted(html.extract(pages, few_bytes=0).collect(), key=str)
+    got = {r["page_id"]: r["text"] for r in one}
+    for i in range(12):
+        assert got[None if i == 5 else BIG + i] == f"The text of page {i} is long enough to be the main one.\n\nWork of others that matters too."
+    assert got[7] == "Open quote stays out." and got[8].count("long page text") == 20_000
+
+
 def test_empty_tables(spark, nothing):
     assert suffix.remove_repeats(nothing).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
