@@ -11,9 +11,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shared import save
+
 #: Fixed values of HTML: elements without content, elements whose content is not text, elements that make blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
@@ -22,17 +25,18 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset("article main section div body td".split())
 #: Elements and class or id words that never hold main text.
 DROP = frozenset("nav aside footer form script style noscript iframe svg math canvas template button select option textarea input label object embed audio video menu dialog head title".split())
-JUNK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"comments?|disqus|respond|replies|reply|sidebar\w*|side|widget\w*|related|recommend\w*|trending|share|sharing|social|follow|"
-    r"nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|toc|masthead|footer\w*|header|topbar|toolbar|login|search|skip|legal|copyright)(?:$|[\s_-])",
-    re.I,
+JUNK = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup "
+    "comment comments disqus respond replies reply sidebar side widget widgets related recommended recommendations trending share sharing social follow "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc masthead footer header topbar toolbar login search skip legal copyright".split()
 )
+#: Words of layout that say nothing of what an element holds: a class is junk if it has a junk word and only these beside it.
+LAYOUT = frozenset("box list block area wrap wrapper container section inner outer bar item items link links post posts left right top bottom main content text site page global primary secondary col column row unit slot form panel group icons buttons button js c".split())
 #: Open elements that a new one of a kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl td th article section div body html".split())
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^>]*(?:>|\Z)))", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"[\s ]+")
 
@@ -41,6 +45,15 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw)} if raw else {}
 
 
+def _junk_name(names: str) -> bool:
+    """Whether one of the names of a class or id attribute tells of junk: `sidebar-left` does, `related-work` doesn't."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_\d]+", name) if w]
+        if any(w in JUNK for w in words) and all(w in JUNK or w in LAYOUT for w in words):
+            return True
+    return False
+
+
 def _is_junk(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     if tag in DROP or (tag == "header" and not inside_main):
         return True
@@ -49,8 +62,8 @@ def _is_junk(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     if attrs.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"):
         return True
     if tag in ("body", "html", "main", "article") or tag in HEADING:
-        return bool(tag == "article" and JUNK.search(attrs.get("class", "")))
-    return bool(JUNK.search(attrs.get("class", "")) or JUNK.search(attrs.get("id", "")))
+        return tag == "article" and _junk_name(attrs.get("class", ""))
+    return _junk_name(attrs.get("class", "")) or _junk_name(attrs.get("id", ""))
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
@@ -106,7 +119,8 @@ class Page:
                     if stack[k][0] in SCOPE and tag not in BLOCK:
                         break
                 continue
-            attrs = _attributes(m[3])
+            raw = m[3] or ""  # none where a quote is never closed: the tag ends at its first >
+            attrs = _attributes(raw)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
@@ -131,7 +145,7 @@ class Page:
                         break
                     if stack[k][0] in SCOPE:
                         break
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            if tag in VOID or raw.endswith("/") and tag not in BLOCK:
                 continue
             if tag == "a":
                 links += 1
@@ -197,31 +211,42 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
 
 
-def extract(pages: DataFrame, max_hosts: int = 200_000) -> DataFrame:
+#: Bytes of host paths that are handed to every task, and salts of a host beyond that.
+FEW_BYTES, SALTS = 32 << 20, 32
+
+
+def extract(pages: DataFrame, few_bytes: int = FEW_BYTES) -> DataFrame:
     """Main text of every page: (page_id, url, text, n_chars).
 
     A page without the winning path of its host, and one without a host, is read at its own best container.
-    A null html is empty, an empty page has an empty text. Rows are kept as they are, repeated ones too.
-    The table of paths is broadcast while it holds at most `max_hosts` hosts (it is counted), and joined by
-    a shuffle beyond that.
+    A null html is empty, an empty page has an empty text; null ids stay null. Rows are kept as they are, repeated
+    ones too; other columns are left out. The table of paths is broadcast while its measured bytes are at most
+    `few_bytes`; beyond that pages meet it in a shuffle, those of one host under SALTS keys.
     """
-    paths = host_paths(pages).persist()
-    few = paths.limit(max_hosts + 1).count() <= max_hosts
+    paths = save(host_paths(pages))
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
+
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for source, path in zip(b["html"], b["path"]):
-                page = Page(source or "")
+            for source, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                page = Page(source)
                 got = page.text_at(path) if path else ""
                 if not got and (own := page.best()):
                     got = page.text_at(own)
                 if not got and page.blocks and page.best() is None:
                     got = "\n\n".join(t for t, _, linked in page.blocks if linked < len(t) / 2)
                 texts.append(got)
-            ids, urls = (pd.Series([None if x is None or x != x else x for x in b[c]], dtype=object) for c in ("page_id", "url"))
-            yield pd.DataFrame({"page_id": ids.astype("Int64"), "url": urls, "text": pd.Series(texts, dtype=object), "n_chars": pd.Series([len(t) for t in texts], dtype="int64")})
-
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("path", F.lit("")).alias("path"))
-    return rows.mapInPandas(read, "page_id long, url string, text string, n_chars long")
+            yield pa.record_batch([b.column(0), b.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    if size <= few_bytes:
+        rows = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.join(salted, ["host", "salt"], "left")
+    rows = rows.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("path", F.lit("")).alias("path"))
+    return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
