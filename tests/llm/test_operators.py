@@ -13,6 +13,7 @@ from tessera.llm.common import connected_components
 from tessera.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string"
+BIG = (1 << 60) + 1  # an id that no double holds
 
 
 def words(rng, n):
@@ -201,22 +202,57 @@ def test_documents_without_an_id_stay(spark, docs, texts):
     assert sorted(str(r["text"]) for r in left) == sorted(str(t) for t in (texts[-1][1], texts[0][1], None))
 
 
-def test_near_vectors_equal_brute_force(spark):
+def brute_vectors(vs):
+    """What link_near_vectors gives, by comparing all pairs of its distinct (vec_id, label, vector) rows."""
+    unit = [embdup.unit(v) if i is not None and g is not None else None for i, v, g in vs]
+    nodes = sorted({(i, g, tuple(u)) for (i, _, g), u in zip(vs, unit) if u is not None})
+    links = {n: {m for m in nodes if m != n and m[1] == n[1] and len(m[2]) == len(n[2]) and np.dot(m[2], n[2]) >= 0.98} for n in nodes}
+    out = []
+    for (i, _, g), u in zip(vs, unit):
+        if u is None:
+            out.append((i, 0, i, True))
+            continue
+        reached, todo = {(i, g, tuple(u))}, [(i, g, tuple(u))]
+        while todo:
+            for m in links[todo.pop()] - reached:
+                reached.add(m)
+                todo.append(m)
+        low = min(n[0] for n in reached)
+        out.append((i, len(links[i, g, tuple(u)]), low, low == i))
+    return sorted(out, key=str)
+
+
+ODD_VECTORS = [(201, None, 0), (202, [0.0] * 8, 0), (203, [float("nan")] * 8, 1), (205, [1.0, None] + [0.0] * 6, 0), (206, [], 1), (207, [float("inf")] + [1.0] * 7, 1), (None, [1.0] * 8, 0), (None, None, None)]
+
+
+def found_vectors(spark, vs, **settings):
+    d = spark.createDataFrame(vs, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 node", "'x' v", "2 component")
+    return sorted((tuple(r) for r in embdup.link_near_vectors(d, embdup.Settings(**settings)).collect()), key=str)
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_vectors_equal_brute_force(spark, block):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(12, 8))
-    vs = [(i, (x[i % 12] + rng.normal(size=8) * (0.05 if i % 3 else 0.3)).tolist(), i % 2) for i in range(90)]
-    vs += [(200, vs[0][1], 0), (201, None, 0), (202, [0.0] * 8, 0), (203, [float("nan")] * 8, 1), (204, vs[0][1], None), (205, [1.0, None] + [0.0] * 6, 0), (206, [], 1)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embdup.link_near_vectors(spark.createDataFrame(vs, "vec_id long, embedding array<double>, label int")).collect()}
-    good = [(i, np.array(v) / np.linalg.norm(v), g) for i, v, g in vs if v and g is not None and None not in v and np.isfinite(v).all() and np.any(v)]
-    links = {i: {j for j, w, h in good if i != j and g == h and v @ w >= 0.98} for i, v, g in good}
-    for i, _, _ in vs:
-        reached, todo = {i}, [i]
-        while todo:
-            for j in links.get(todo.pop(), ()):
-                if j not in reached:
-                    reached.add(j)
-                    todo.append(j)
-        assert got[i] == (len(links.get(i, ())), min(reached), min(reached) == i)
+    vs = [(i, (x[i % 12] + rng.normal(size=8) * (0.05 if i % 3 else 0.3)).tolist(), i % 2) for i in range(150)]
+    vs += [(300, vs[0][1], 0), (204, vs[0][1], None), (BIG, vs[5][1], 1), *ODD_VECTORS]
+    assert found_vectors(spark, vs, block=block, sample=4) == brute_vectors(vs)
+
+
+def test_near_vectors_of_any_scale_and_of_repeated_ids(spark):
+    one = [float(c) for c in range(1, 9)]
+    vs = [(1, one, 0), (2, [c * 1e200 for c in one], 0), (3, [c * 1e-200 for c in one], 0), (4, [-c for c in one], 0), (5, one[:7], 0)]
+    vs += [(6, one, 0), (6, one[::-1], 0), (6, one, 1), (7, one[::-1], 0), (6, one, 0), (8, one, 1)]
+    got = found_vectors(spark, vs)
+    assert got == brute_vectors(vs) and len(got) == len(vs)
+
+
+def test_near_vectors_in_a_tight_group(spark):
+    """Many vectors within the threshold of each other, and pairs at just about the threshold."""
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=16)
+    vs = [(i, (base + rng.normal(size=16) * 0.15).tolist(), 0) for i in range(200)]
+    assert found_vectors(spark, vs, block=8, sample=4) == brute_vectors(vs)
 
 
 def test_language(spark):
@@ -305,9 +341,6 @@ def test_token_counts(spark):
     assert [(r["text"], r["n_tokens"]) for r in got] == [(t, len(model.encode(t or ""))) for t in odd]
 
 
-BIG = (1 << 60) + 1  # an id that no double holds
-
-
 def test_packing_gives_the_ids_of_the_library(spark, docs, texts):
     from tokenizers import Tokenizer
 
