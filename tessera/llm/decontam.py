@@ -5,40 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shared import Scratch
+
 #: Fixed by the contract: what separates words after A-Z are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lowered.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Letters that are lowered.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """Normalised words of a text: A-Z lowered, digits, letters and everything beyond ASCII kept."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, -1), lambda w: w != "")
-
-
-def _window(array: Column, start: Column, n: int) -> Column:
-    return F.slice(array, start, F.lit(n))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, -1), "")
 
 
 def item_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(item_id, size, gram): every window of n words of an item; a shorter item is one window."""
-    w = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """(item, size, gram, h): every window of n words of an item; a shorter item is one window, one without words none.
+    `item` is the id as text; h is the hash that windows are looked up by."""
+    w = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
-    w = w.select("item_id", size.alias("size"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("i"))
-    return w.select("item_id", "size", F.array_join(F.slice("w", F.col("i"), F.col("size")), " ").alias("gram")).distinct()
-
-
-def _hits(sizes: dict[int, tuple[list[int], list[str]]]) -> Column:
-    """Windows of the word array `_w` that are benchmark windows: array of (start, size, gram). A window is
-    first looked up by its hash in a set, then its words are compared. Written as SQL text, since thousands
-    of literals are parsed much faster than they are handed over one by one; words hold no quotes."""
-    found = []
-    for size, (hashes, grams) in sorted(sizes.items()):
-        starts = f"CASE WHEN size(_w) >= {size} THEN sequence(1, size(_w) - {size - 1}) ELSE cast(array() AS array<int>) END"
-        near = f"filter({starts}, i -> xxhash64(slice(_w, i, {size})) IN ({', '.join(f'{h}L' for h in hashes)}))"
-        told = f"transform({near}, i -> struct(i AS start, {size} AS size, array_join(slice(_w, i, {size}), ' ') AS gram))"
-        found.append(f"filter({told}, h -> h.gram IN ({', '.join(f"'{g}'" for g in grams)}))")
-    return F.expr(f"concat({', '.join(found)})")
+    w = w.select("item", size.alias("size"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("i"))
+    gram = F.slice("w", F.col("i"), F.col("size"))
+    return w.select("item", "size", F.array_join(gram, " ").alias("gram"), F.xxhash64(gram).alias("h")).distinct()
 
 
 def once(rows: DataFrame, column: Column, name: str) -> DataFrame:
@@ -58,74 +47,49 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, add)["n"].cast("long")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set: int = 200_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 64 << 20) -> DataFrame:
     """Add to every document: n_words, n_hit (words inside an occurrence of a benchmark window), n_items,
-    items_sha256, contaminated, and `hits`, the windows found: array of (start word from 1, size, gram).
+    items_sha256, contaminated, and `hits`, the windows found: array of (start word from 1, size).
+
+    The set of normalised windows is broadcast as the hash table of a join: each window of a document is looked up by
+    its hash and, where that is known, compared word by word. Only hits are grouped, by document. The set is measured
+    first; beyond `max_bytes` the same join meets it in a shuffle, and so do the documents and what was found.
 
-    The set of normalised windows goes to every task as hashes and texts; it is counted first, and beyond
-    `max_set` windows the document windows are joined with the set by a shuffle instead. A null text
-    has no words; an item without words has no window. Repeated documents are each reported; columns of
-    `docs` pass through, those that would clash are replaced.
+    A null text has no words; an item without words has no window. The windows of an item without an id hit like
+    others, but no item is counted or named for it; ids may hold any characters. Repeated documents are each
+    reported; other columns of `docs` pass through, those that would clash are replaced.
     """
-    docs = docs.drop("_w", "hits", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_items", "_id")
-    grams = item_windows(benchmark, n)
-    rows = once(docs, words(F.col("text")), "_w").withColumn("n_words", F.size("_w").cast("long"))
-    by_gram = grams.groupBy("size", "gram").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    held = by_gram.select("size", "gram", "items", F.xxhash64(F.split("gram", " ")).alias("h")).limit(max_set + 1).collect()  # bounded, short rows
-    if len(held) <= max_set:
-        sizes: dict = {}
-        for r in held:
-            hashes, texts = sizes.setdefault(r["size"], ([], []))
-            hashes.append(r["h"])
-            texts.append(r["gram"])
-        none = F.array().cast("array<struct<start:int,size:int,gram:string>>")
-        rows = once(rows, _hits(sizes) if sizes else none, "hits")
-        rows = once(rows, _items(held), "_items")
-    else:
-        rows = _hits_by_join(rows, grams)
-    ids = F.coalesce("_items", F.array().cast("array<string>"))
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.drop("hits", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_k", "_c", "_items")
+    text = F.coalesce("text", F.lit(""))
+    # what is found goes back by a hash of id and text, another of the text, and its length
+    keyed = docs.withColumn("_k", F.xxhash64("doc_id", text)).withColumn("_c", F.struct(F.crc32(text.cast("binary")).alias("crc"), F.octet_length(text).alias("n")))
+    grams = scratch.save("grams", item_windows(benchmark, n))
+    size = grams.agg(F.sum(F.octet_length("gram") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64)).first()[0] or 0
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # 1 to n at most
+    w = once(keyed.select("_k", "_c", "text"), words(F.col("text")), "_w").drop("text")
+    w = w.select("*", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("_size")).where(F.size("_w") >= F.col("_size"))
+    w = w.select("*", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_size") + 1)).alias("_start"))
+    window = F.slice("_w", F.col("_start"), F.col("_size"))
+    same = (F.xxhash64(window) == F.col("h")) & (F.col("_size") == F.col("size")) & (F.array_join(window, " ") == F.col("gram"))
+    hit = w.join(F.broadcast(grams) if size <= max_bytes else grams, same)
+    found = hit.groupBy("_k", "_c").agg(F.array_sort(F.collect_set(F.struct(F.col("_start").alias("start"), "size"))).alias("hits"), F.array_sort(F.collect_set("item")).alias("_items"))
+    found = scratch.save("found", found)
+    back = found.agg(F.sum(F.size("hits") * 16 + F.octet_length(F.array_join("_items", ",")) + 64)).first()[0] or 0
+    rows = keyed.join(F.broadcast(found) if back <= max_bytes else found, ["_k", "_c"], "left")
+    hits = F.coalesce("hits", F.array().cast("array<struct<start:int,size:int>>"))
+    items = F.coalesce("_items", F.array().cast("array<string>"))
     return rows.select(
         *docs.columns,
-        "n_words",
-        _covered(F.col("hits")).alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
-        "hits",
+        F.size(F.array_remove(F.split(text, RAW_SEPARATORS, -1), "")).cast("long").alias("n_words"),
+        _covered(hits).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("hits").isNotNull().alias("contaminated"),
+        hits.alias("hits"),
     )
 
 
-def _items(held: list) -> Column:
-    """Ids of the items of a row's hits, sorted and told once; from a table of the windows that is part of the plan."""
-    if not held:
-        return F.array().cast("array<string>")
-    grams = ", ".join(f"'{r['gram']}'" for r in held)
-    lists = ", ".join("'" + ",".join(i for i in r["items"]) + "'" for r in held)
-    return F.expr(f"array_sort(array_distinct(flatten(transform(hits, h -> split(element_at(map_from_arrays(array({grams}), array({lists})), h.gram), ',')))))")
-
-
-def _hits_by_join(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """For a benchmark too large to hand to every task: windows of all documents meet the set by a shuffle."""
-    rows = rows.withColumn("_id", F.monotonically_increasing_id())
-    sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # 1 to n
-    w = F.col("_w")
-
-    def windows(size: int) -> DataFrame:
-        grams_at = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(_window(w, i, size), " "))
-        return rows.where(F.size("_w") >= size).select("_id", F.lit(size).alias("size"), F.posexplode(grams_at).alias("pos", "gram"))
-
-    parts = [windows(size) for size in sizes]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    hit = every.join(grams.select("size", "gram").distinct(), ["size", "gram"]).select("_id", F.struct((F.col("pos") + 1).alias("start"), "size", "gram").alias("h"))
-    named = hit.join(grams, (F.col("h.gram") == grams["gram"]) & (F.col("h.size") == grams["size"]))
-    items = named.groupBy("_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
-    hit = hit.groupBy("_id").agg(F.collect_list("h").alias("hits"))
-    none = F.array().cast("array<struct<start:int,size:int,gram:string>>")
-    return rows.join(hit, "_id", "left").join(items, "_id", "left").withColumn("hits", F.coalesce("hits", none)).drop("_id")
-
-
 #: Where a word begins after what separates words, in a text as it is (A-Z are letters of words).
 WORD_START = r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 

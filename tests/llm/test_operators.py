@@ -97,7 +97,7 @@ def test_decontamination_both_ways(spark):
     items = spark.createDataFrame([(9, "Quick brown fox"), (8, None), (7, "..."), (10, "quick Brown fox")], "item_id long, text string")
     d = spark.createDataFrame(rows, DOCS)
     found = decontam.find_contamination(d, items)
-    other = decontam.find_contamination(d, items, max_set=0)
+    other = decontam.find_contamination(d, items, max_bytes=0)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     a, b = (sorted(tuple(r) for r in f.select(columns).collect()) for f in (found, other))
     assert a == b and [r[2] for r in a] == [3, 3, 0, 0, 3, 3, 0] and a[0][4] == hashlib.sha256(b"10,9").hexdigest()
@@ -105,6 +105,37 @@ def test_decontamination_both_ways(spark):
     assert kept == {1: "!! The jumps OVER it", 2: "", 3: None, 4: "", 5: "a b", 6: "clean text stays"}
 
 
+def brute_contamination(rows, items, n=10):
+    def split(t):
+        return [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+
+    out = []
+    windows = [(i, tuple(w[k : k + n])) for i, t in items for w in [split(t)] if w for k in range(max(1, len(w) - n + 1))]
+    for d, t in rows:
+        w, gone, named = split(t), set(), set()
+        for i, g in windows:
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    gone.update(range(k, k + len(g)))
+                    named.add(i)
+        ids = sorted(named - {None})
+        out.append((d, len(w), len(gone), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 0])
+def test_decontamination_equals_brute_force(spark, docs, texts, max_bytes):
+    rng = np.random.default_rng(12)
+    cut = [(f"i{k}", " ".join((texts[k % 8][1] or "").split(" ")[k : k + 8 + k])) for k in range(9)]
+    items = [*cut, (None, texts[0][1]), ("a,b", "one two"), ("it's", "ONE, two!"), ("back\\slash", "one two"), ('quo"te', "ab"), ("empty", ""), ("none", None), ("clean", words(rng, 15)), ("i1", texts[3][1])]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    d = docs.selectExpr("*", "'x' item", "1 size", "'g' gram", "2 h", "3 _w", "4 n_hit", "5 _k")
+    got = decontam.find_contamination(d, b, max_bytes=max_bytes)
+    assert {"item", "size", "gram", "h", "_w"} <= set(got.columns)
+    rows = got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted((tuple(r) for r in rows), key=str) == brute_contamination(texts, items)
+
+
 def test_jump_hash():
     def plain(key, n):
         b, j = -1, 0
