@@ -27,7 +27,6 @@ MENTION = re.compile(r"[\"“„«‹`]|\b(?:said|says|called|wrote|quote|quoted
 @dataclass
 class Settings:
     rows_per_class: int = 10_000  # bound of the training sample, for each of the two labels
-    terms: int = 4_000  # bound of the lexicon
     least_docs: int = 4  # toxic documents that must hold a term
     least_odds: float = 3.0  # natural logarithm of the odds ratio that makes a term
     stem: tuple = (4, 5, 6, 7, 8)  # lengths of the word beginnings that may enter the lexicon
@@ -131,11 +130,10 @@ def _stems(word: str, s: Settings) -> list[str]:
 
 #: Features of a document, in order: hits by kind (exact, stem, misspelt) outside and inside quotations.
 KINDS = ("exact", "stem", "misspelt", "exact_quoted", "stem_quoted", "misspelt_quoted")
-MOST = 6  # a count beyond this adds nothing
 
 
 def features(text: str | None, m: Model, cache: dict) -> list[int]:
-    """Counts of hits by kind and context, each at most MOST."""
+    """Counts of hits by kind and context."""
     out = [0] * len(KINDS)
     if not text:
         return out
@@ -154,7 +152,7 @@ def features(text: str | None, m: Model, cache: dict) -> list[int]:
     for w, k in hits:
         for at in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", low):
             q = 3 if quoted(low, at.start(), at.end(), m.settings.window) else 0
-            out[k + q] = min(MOST, out[k + q] + 1)
+            out[k + q] += 1
     return out
 
 
@@ -203,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     that chance would give to about one of the words tried; no share of the toxic rows, which a term of a small
     language or source could not reach. Copies of a text count once, as the words of one are not chance in another.
 
-    Word counts are combined per batch before they are shuffled; what reaches the driver is bounded: the
-    lexicon, the clean words near it, and a table of feature counts.
+    Word counts are combined per batch before they are shuffled; what reaches the driver is bounded by the sample and
+    nothing else: the lexicon, the clean words near it, and a table of feature counts.
     """
     s = settings or Settings()
     sample = _sample(docs, labels, s)
@@ -217,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
             docs_of = [0, 0]
             for text, toxic in zip(b["text"], b["toxic"]):
                 docs_of[toxic] += 1
-                count[toxic].update({w for w in WORD.findall((text or "").lower()) if len(w) <= 40})
+                count[toxic].update(set(WORD.findall((text or "").lower())))
             both = list(count[0].keys() | count[1].keys())
             yield pd.DataFrame({"w": pd.Series([*both, ""], dtype=object), "clean": [*(count[0][w] for w in both), docs_of[0]], "toxic": [*(count[1][w] for w in both), docs_of[1]]})
 
@@ -236,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     def strong(table: DataFrame, least: int) -> list[str]:
         tried = table.where((F.col("w") != "") & (F.col("toxic") >= least))
         told = tried.where((odds >= s.least_odds) & (evidence("toxic") + evidence("clean") >= float(np.log(max(tried.count(), 1)))))
-        return [r["w"] for r in told.orderBy((odds * F.sqrt("toxic")).desc(), "w").limit(s.terms).collect()]
+        return [r["w"] for r in told.orderBy("w").collect()]
 
     terms = strong(vocabulary.where(F.length("w") >= 3), s.least_docs)
     beginnings = vocabulary.select(F.explode(F.array(*[F.when(F.length("w") > n, F.substring("w", 1, n)) for n in s.stem])).alias("w"), "clean", "toxic")
@@ -255,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
             yield pd.Series([(f is not None and f[1] > 0) for f in map(a.match, words_)], dtype=bool)
 
     close = vocabulary.where((F.col("w") != "") & (F.col("clean") > 0) & (odds < s.least_odds))
-    model.clean = frozenset(r["w"] for r in close.where(F.pandas_udf(near, "boolean")("w")).orderBy(F.desc("clean"), "w").limit(50_000).collect())
+    model.clean = frozenset(r["w"] for r in close.where(F.pandas_udf(near, "boolean")("w")).collect())
     vocabulary.unpersist()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
