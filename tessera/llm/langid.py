@@ -2,7 +2,8 @@
 
 A text is the set of character n-grams (1 to 4, hashed) that occur in its letters. The blended-spectrum
 presence kernel of two texts is the share of n-grams they have in common, normalised by both sets. Landmark
-texts give a Nystroem map of that kernel, and one ridge regression per language is fitted on the map.
+texts give a Nystroem map of that kernel, and one ridge regression per language is fitted on the map. Long texts would
+hold every n-gram, so a text is read in windows of bounded length, and the mean over all its windows counts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ class Settings:
     bits: int = 13  # the n-gram sets have 2 ** bits places
     orders: tuple = (1, 2, 3, 4)
     landmarks: int = 96
-    train_rows: int = 2_400  # bound of the training sample, over all languages
+    train_rows: int = 2_400  # bound of the training sample, over all languages; one row of each at least
+    window: int = 4_096  # letters and the spaces between them that one set of n-grams is taken from
     ridge: float = 1e-3
 
 
@@ -50,13 +52,16 @@ def letters_of(text: str) -> np.ndarray:
     return np.concatenate(([32], x, [32])).astype(np.uint32)
 
 
-def presence(text: str | None, s: Settings) -> np.ndarray | None:
-    """Bytes, one a place: whether an n-gram that hashes there occurs. None for a text without letters."""
+def presence(text: str | None, s: Settings) -> list[np.ndarray]:
+    """For each window of a text, bytes, one a place: whether an n-gram that hashes there occurs. Windows are of even
+    length, and none longer than the setting. No window for a text without letters."""
     if not text:
-        return None
+        return []
     x = letters_of(text).astype(np.uint64)
-    if not len(x):
-        return None
+    return [_places(part, s) for part in np.array_split(x, -(-len(x) // s.window))] if len(x) else []
+
+
+def _places(x: np.ndarray, s: Settings) -> np.ndarray:
     out = np.zeros(1 << s.bits, np.uint8)
     shift = np.uint64(64 - s.bits)
     gram = np.zeros(len(x), np.uint64)
@@ -79,28 +84,28 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model | None:
     """Fit on (doc_id, text, lang) rows. Null languages and texts without letters teach nothing.
 
     The sample is bounded: about `train_rows` rows, as many of each language as it has up to an equal
-    share, chosen by a hash of doc_id; only their n-gram sets (1 KB each) reach the driver. None if
-    nothing can be learned.
+    share, chosen by a hash of doc_id and text, repeated rows once; of each the n-gram set (1 KB) of one window, chosen
+    by a hash, reaches the driver. Rows without a doc_id are taken like others. None if nothing can be learned.
     """
     s = settings or Settings()
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.train_rows).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
     share = max(1, s.train_rows // len(counts))
-    limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 1.2 * share / n) * 1_000_000)))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit[F.col("lang")]).select("doc_id", "lang", "text")
+    limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(-int(-min(1.0, 1.2 * share / n) * 1_000_000 // 1)))])
+    chosen = labelled.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1_000_000)) < limit[F.col("lang")]).select("h", "lang", "text").distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [presence(t, s) for t in b["text"]]
+            got = [g[h % len(g)] if (g := presence(t, s)) else None for t, h in zip(b["text"], b["h"])]
             keep = [g is not None for g in got]
-            yield pd.DataFrame({"doc_id": b["doc_id"][keep].to_list(), "lang": pd.Series(b["lang"][keep].to_list(), dtype=object), "grams": pd.Series([np.packbits(g).tobytes() for g in got if g is not None], dtype=object)})
+            yield pd.DataFrame({"h": b["h"][keep].to_numpy(np.int64), "lang": pd.Series(b["lang"][keep].to_list(), dtype=object), "grams": pd.Series([np.packbits(g).tobytes() for g in got if g is not None], dtype=object)})
 
-    rows = chosen.mapInPandas(sets, "doc_id long, lang string, grams binary").toPandas()
+    rows = chosen.mapInPandas(sets, "h long, lang string, grams binary").toPandas()
     if not len(rows):
         return None
-    rows = rows.assign(h=pd.util.hash_array(rows["doc_id"].fillna(-1).to_numpy(np.int64))).sort_values(["h", "doc_id"])
+    rows = rows.assign(h=pd.util.hash_array(rows["h"].to_numpy(np.int64))).sort_values(["h", "lang", "grams"])
     rows = rows.groupby("lang", sort=True).head(share).reset_index(drop=True)
     x = _unit(np.unpackbits(np.stack([np.frombuffer(g, np.uint8) for g in rows["grams"]]), axis=1))
     languages = sorted(rows["lang"].unique())
@@ -135,28 +140,35 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         m = sent.value
         for texts in batches:
             best, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            if m is None:
+                yield pd.DataFrame({"lang_pred": best, "score": score})
+                continue
+            total, seen = np.zeros((len(texts), len(m.languages))), np.zeros(len(texts))
             rows, at = [], []
 
             def flush():
-                if rows:
-                    x = np.stack(rows).astype(np.float32)
-                    x /= np.sqrt(x.sum(axis=1, keepdims=True))
-                    y = (x @ m.landmarks) @ m.weights[:-1] + m.weights[-1]
-                    e = np.exp(4 * (y - y.max(axis=1, keepdims=True)))
-                    k = y.argmax(axis=1)
-                    best[at] = np.array(m.languages, object)[k]
-                    score[at] = (e / e.sum(axis=1, keepdims=True))[np.arange(len(k)), k]
-                    rows.clear()
-                    at.clear()
+                x = np.stack(rows).astype(np.float32)
+                x /= np.sqrt(x.sum(axis=1, keepdims=True))
+                np.add.at(total, at, (x @ m.landmarks) @ m.weights[:-1] + m.weights[-1])
+                np.add.at(seen, at, 1)
+                rows.clear()
+                at.clear()
 
             for i, t in enumerate(texts):
-                g = presence(t, m.settings) if m is not None else None
-                if g is not None:
+                for g in presence(t, m.settings):
                     rows.append(g)
                     at.append(i)
                     if len(rows) == block:
                         flush()
-            flush()
+            if rows:
+                flush()
+            told = np.flatnonzero(seen)
+            if len(told):
+                y = total[told] / seen[told, None]
+                e = np.exp(4 * (y - y.max(axis=1, keepdims=True)))
+                k = y.argmax(axis=1)
+                best[told] = np.array(m.languages, object)[k]
+                score[told] = (e / e.sum(axis=1, keepdims=True))[np.arange(len(k)), k]
             yield pd.DataFrame({"lang_pred": best, "score": score})
 
     out = F.pandas_udf(predict, "lang_pred string, score double")(F.coalesce(F.col(text), F.lit("")))
