@@ -15,12 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_](?:\w*[^\W_])?")
 QUOTES = "\"“”„«»‹›`"
-#: Words and marks before a hit that tell a quotation or a mention from abuse.
+#: Words and marks before a hit that tell a quotation or a mention from abuse, before training has a say.
 MENTION = re.compile(r"[\"“„«‹`]|\b(?:said|says|called|wrote|quote|quoted|word|term|dit|mot|dijo|palabra|sagte|wort)\b")
 
 
@@ -31,6 +31,7 @@ class Settings:
     least_odds: float = 3.0  # natural logarithm of the odds ratio that makes a term
     stem: tuple = (4, 5, 6, 7, 8)  # lengths of the word beginnings that may enter the lexicon
     window: int = 40  # characters of context before and after a hit
+    mention: float = -2.0  # context score of a hit in quotation marks after a word that tells of speech
 
 
 @dataclass
@@ -40,6 +41,7 @@ class Model:
     clean: frozenset  # words near the lexicon that training met in clean documents
     weights: np.ndarray
     settings: Settings
+    context: dict = field(default_factory=dict)  # what stands around hits -> how much likelier around abuse (logarithm)
     automaton: object = field(default=None, repr=False, compare=False)
 
 
@@ -133,12 +135,16 @@ KINDS = ("exact", "stem", "misspelt", "exact_quoted", "stem_quoted", "misspelt_q
 
 
 def features(text: str | None, m: Model, cache: dict) -> list[int]:
-    """Counts of hits by kind and context."""
+    """Counts of hits by kind and context: a hit whose context score is below -1 counts as quoted."""
     out = [0] * len(KINDS)
-    if not text:
-        return out
-    low = text.lower()
-    kinds = cache
+    low = (text or "").lower()
+    for start, end, k in hits_of(low, m, cache):
+        out[k + (3 if context_score(low, start, end, m) < -1 else 0)] += 1
+    return out
+
+
+def hits_of(low: str, m: Model, kinds: dict) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the hits of a lowered text; `kinds` remembers words."""
     hits = []
     for w in set(WORD.findall(low)):
         k = kinds.get(w)
@@ -149,11 +155,7 @@ def features(text: str | None, m: Model, cache: dict) -> list[int]:
             kinds[w] = k
         if k >= 0:
             hits.append((w, k))
-    for w, k in hits:
-        for at in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", low):
-            q = 3 if quoted(low, at.start(), at.end(), m.settings.window) else 0
-            out[k + q] += 1
-    return out
+    return [(at.start(), at.end(), k) for w, k in hits for at in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", low)]
 
 
 def kind_of(word: str, m: Model) -> int:
@@ -166,11 +168,21 @@ def kind_of(word: str, m: Model) -> int:
     return 2 if found and word not in m.clean else -1
 
 
-def quoted(low: str, start: int, end: int, window: int) -> bool:
-    """Whether a hit stands in a quotation: a mark opens before it and one closes after it, on its line."""
+def context(low: str, start: int, end: int, window: int) -> tuple[set[str], bool]:
+    """Words and quotation marks around a hit, on its line, told apart by side; and whether it stands in a quotation: a
+    mark opens before it after a word of speech, or as one, and one closes after it."""
     left = low[max(0, start - window) : start].rpartition("\n")[2]
     right = low[end : end + window].partition("\n")[0]
-    return any(q in left for q in QUOTES) and any(q in right for q in QUOTES) and MENTION.search(left) is not None
+    around = {f"<{w}" for w in WORD.findall(left)} | {f">{w}" for w in WORD.findall(right)}
+    around |= {f"<{q}" for q in QUOTES if q in left} | {f">{q}" for q in QUOTES if q in right}
+    return around, any(q in left for q in QUOTES) and any(q in right for q in QUOTES) and MENTION.search(left) is not None
+
+
+def context_score(low: str, start: int, end: int, m: Model) -> float:
+    """How much likelier the surroundings of a hit are around abuse, as a logarithm: what training learned of each word
+    and mark in the window, and the fixed part of a quotation."""
+    around, told = context(low, start, end, m.settings.window)
+    return sum(m.context.get(c, 0.0) for c in sorted(around & m.context.keys())) + (m.settings.mention if told else 0.0)
 
 
 def _ready(m: Model) -> Model:
@@ -228,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(total["toxic"] + total["clean"]))
 
-    def evidence(label: str):  # logarithm of the likelihood ratio, the part of one label
+    def evidence(label: str) -> Column:  # logarithm of the likelihood ratio, the part of one label
         return F.when(F.col(label) > 0, F.col(label) * F.log(F.col(label) / (share * F.lit(float(total[label]))))).otherwise(0.0)
 
     def strong(table: DataFrame, least: int) -> list[str]:
@@ -256,6 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     model.clean = frozenset(r["w"] for r in close.where(F.pandas_udf(near, "boolean")("w")).collect())
     vocabulary.unpersist()
 
+    model.context = _learn_context(sample, model)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, cache = _ready(model), {}
         for b in batches:
@@ -268,6 +282,34 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return model
 
 
+def _learn_context(sample: DataFrame, model: Model) -> dict:
+    """Words and marks around hits -> logarithm of how much likelier they are around hits of toxic texts, smoothed, where
+    the evidence is beyond chance. Texts count once; what is collected is bounded by the sample."""
+    least = model.settings.least_docs
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, cache = _ready(model), {}
+        for b in batches:
+            c: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, toxic in zip(b["text"], b["toxic"]):
+                low = (text or "").lower()
+                hits = hits_of(low, m, cache)
+                if hits:
+                    c[toxic].update({"", *(w for start, end, _ in hits for w in context(low, start, end, m.settings.window)[0])})
+            both = sorted(c[0].keys() | c[1].keys())
+            yield pd.DataFrame({"w": pd.Series(both, dtype=object), "clean": pd.Series([c[0][w] for w in both], dtype="int64"), "toxic": pd.Series([c[1][w] for w in both], dtype="int64")})
+
+    rows = sample.select("text", "toxic").distinct().mapInPandas(tell, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    told = rows.where((F.col("clean") + F.col("toxic") >= least) | (F.col("w") == "")).toPandas().set_index("w")
+    if "" not in told.index or not told.loc[""].all():
+        return {}
+    total, told = told.loc[""], told.drop(index="")
+    share = (told["clean"] + told["toxic"]) / (total["clean"] + total["toxic"])
+    evidence = sum(told[k] * np.log(np.maximum(told[k], 1e-9) / (share * total[k])) for k in ("clean", "toxic"))
+    weight = np.log((told["toxic"] + 1) / (total["toxic"] + 2)) - np.log((told["clean"] + 1) / (total["clean"] + 2))
+    return weight[evidence >= np.log(max(len(told), 1)) + 1].to_dict()
+
+
 def _logistic(counts: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Weighted logistic regression by Newton steps on log(1 + count), drawn towards a prior that holds where
     training shows nothing. A second fit sets the prior by the first: a misspelt hit weighs nearly what a whole
