@@ -8,15 +8,19 @@ no other document has never travel at all.
 1. Each batch of documents tells which anchors it holds; anchors of two documents or more are shared.
 2. Strings with shared anchors are range-partitioned by their anchor's bytes, the leading tokens of the
    suffixes below it, at splitters from a sample. Equal strings of one group of documents are combined first.
-3. Each bucket is sorted locally by multikey quicksort, 8 bytes at a time, and neighbours are compared.
+3. Each bucket is sorted locally by multikey quicksort, several bytes at a time and lengths first, and neighbours are
+   compared: equal strings, and then the windows of what is left, which are the suffixes cut to SPAN bytes.
    Splitters stand between different anchors only, so suffixes on the two sides of a boundary differ in their
-   first GRAM bytes and no repeat crosses it.
+   first GRAM bytes from the anchor on, and no repeat crosses it: comparing across boundaries finds nothing.
+   An anchor that very many groups of documents hold, as at the ends of a passage that a third of them share, is
+   not kept in one bucket: its windows are dealt one by one, by all their bytes.
 4. What was found goes back to the documents, which drop the covered bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +39,7 @@ from .common import groups_for, mix, partitions, text_bytes
 class Settings:
     span: int = 50  # bytes that make a repeat
     group_bytes: int = 12 << 20  # text of a group of documents
+    hot: int = 4_096  # tellings (of batches and groups) beyond which the windows of an anchor are dealt one by one
     sample_docs: int = 2_000  # bound of the sample that splitters come from; results don't depend on it
 
 
@@ -230,12 +235,12 @@ def _bucket_matches(doc: np.ndarray, anchor: np.ndarray, pool: np.ndarray, start
 
 def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """A group's rows in order of doc_id and text, their ids (null before all), bytes and offsets."""
-    table = table.append_column("_id", table["doc_id"].fill_null(np.iinfo(np.int64).min))
-    table = table.sort_by([("_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    table = table.append_column("_tessera_id", table["doc_id"].fill_null(np.iinfo(np.int64).min))
+    table = table.sort_by([("_tessera_id", "ascending"), ("text", "ascending")]).combine_chunks()
     text = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
     data, offsets = text_bytes(text)
-    return table, table["_id"].to_numpy(), data, offsets
+    return table, table["_tessera_id"].to_numpy(), data, offsets
 
 
 def remove_repeats(docs: DataFrame, settings: Settings | None = None, keep_text: bool = False) -> DataFrame:
@@ -244,19 +249,20 @@ def remove_repeats(docs: DataFrame, settings: Settings | None = None, keep_text:
     A byte goes if a string of `span` bytes that covers it also starts in a document with a smaller doc_id;
     strings are judged on the input. Null texts are empty, empty ones keep nothing, texts shorter than `span`
     stay whole. Repeated rows of one doc_id are one document to each other: neither is smaller. A null doc_id
-    counts as smaller than all. Other columns pass through. Kept text drops bytes of characters that were cut.
+    counts as smaller than all. Other columns pass through, those named like a result are replaced (and `_tessera_q`).
+    Kept text drops bytes of characters that were cut.
     """
     s = settings or Settings()
     spark = docs.sparkSession
-    clash = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "_q", "_id"]
+    clash = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "_tessera_q"]
     docs = docs.drop(*clash)
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     groups = groups_for(size["b"] or 0, s.group_bytes, partitions(spark))
-    # rows with one doc_id stay together; ids that are copies of each other spread
-    dealt = docs.withColumn("_q", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    # the text is part of the deal, so that rows without an id, or of one id, spread
+    dealt = docs.withColumn("_tessera_q", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     splitters = spark.sparkContext.broadcast(_splitters(docs, size["n"], groups, s))
-    shared = _shared(dealt.select("doc_id", "text", "_q"), groups, s)
-    found = _found(dealt.select("doc_id", "text", "_q"), shared, splitters, groups, s)
+    shared = _shared(dealt.select("doc_id", "text", "_tessera_q"), groups, s)
+    found = _found(dealt.select("doc_id", "text", "_tessera_q"), shared, splitters, groups, s)
     return _finish(dealt, found, s, keep_text)
 
 
@@ -273,7 +279,8 @@ def _splitters(docs: DataFrame, n: int, groups: int, s: Settings) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([raw[p : p + GRAM] for p in place], pa.binary())], ["gram"])
 
     share = min(1.0, s.sample_docs / max(n, 1))
-    rows = docs.where((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1) & (F.octet_length("text") < 200_000)).select("text").limit(s.sample_docs)
+    # of a long text a part will do here: only how even the buckets are depends on it
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(F.substring("text", 1, 100_000).alias("text")).limit(s.sample_docs)
     grams = sorted(r["gram"] for r in rows.mapInArrow(f, "gram binary").limit(20 * s.sample_docs).collect())
     if not grams:
         return np.zeros(0, f"S{GRAM}")
@@ -321,15 +328,16 @@ def _shared(dealt: DataFrame, groups: int, s: Settings) -> DataFrame:
         size = np.diff(np.append(edge, len(anchor)))
         # a document is in one batch: two batches are two documents
         told = np.logical_or.reduceat(many, edge) | (np.minimum.reduceat(batch, edge) != np.maximum.reduceat(batch, edge))
-        keep = np.repeat(told, size)
-        anchor, q = anchor[keep], q[keep]
+        keep, hot = np.repeat(told, size), np.repeat(size > s.hot, size)
+        anchor, q, hot = anchor[keep], q[keep], hot[keep]
         qs, blobs = [], []
         for k, at in _split(q.astype(np.int64), groups):
+            one, place = np.unique(anchor[at], return_index=True)
             qs.append(k)
-            blobs.append(_squeeze(np.diff(np.unique(anchor[at]), prepend=np.uint64(0))))
-        return pa.table({"_q": pa.array(qs, pa.int32()), "anchors": pa.array(blobs, pa.binary())})
+            blobs.append(_squeeze(np.diff(one, prepend=np.uint64(0)), hot[at][place].astype(np.uint8)))
+        return pa.table({"_tessera_q": pa.array(qs, pa.int32()), "anchors": pa.array(blobs, pa.binary())})
 
-    return dealt.mapInArrow(tell, "_b int, blob binary").groupBy("_b").applyInArrow(decide, "_q int, anchors binary")
+    return dealt.mapInArrow(tell, "_b int, blob binary").groupBy("_b").applyInArrow(decide, "_tessera_q int, anchors binary")
 
 
 def _found(dealt: DataFrame, shared: DataFrame, splitters, groups: int, s: Settings) -> DataFrame:
@@ -338,10 +346,18 @@ def _found(dealt: DataFrame, shared: DataFrame, splitters, groups: int, s: Setti
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
         bs, qs, blobs = [], [], []
         if docs.num_rows and told.num_rows:
-            q = docs["_q"][0].as_py()
+            q = docs["_tessera_q"][0].as_py()
             _, ids, data, offsets = _ordered(docs)
-            known = np.unique(np.concatenate([np.cumsum(_unsqueeze(x, np.uint64)[0], dtype=np.uint64) for x in told["anchors"].to_pylist()]))
+            parts = [_unsqueeze(x, np.uint64, np.uint8) for x in told["anchors"].to_pylist()]
+            known, at = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_index=True)
+            hot = np.concatenate([p[1] for p in parts]).astype(bool)[at]
             doc, first, size, anchor, place = runs(data, offsets, s.span, known)
+            alone = hot[np.searchsorted(known, anchor)]
+            if alone.any():  # their windows stand for themselves
+                of, window = _spread(first[alone], size[alone])
+                doc, anchor, place = (np.concatenate([x[~alone], x[alone][of]]) for x in (doc, anchor, place))
+                first, size = np.concatenate([first[~alone], window]), np.concatenate([size[~alone], np.ones(len(window), size.dtype)])
+                alone = np.arange(len(doc)) >= len(doc) - len(window)
             # equal strings: the smallest document's is sent, those of larger ones repeat it
             raw = data.tobytes()
             low: dict[bytes, int] = {}
@@ -355,22 +371,25 @@ def _found(dealt: DataFrame, shared: DataFrame, splitters, groups: int, s: Setti
                 bs.append(groups + q)
                 qs.append(q)
                 blobs.append(_squeeze(doc[local].astype(np.int32), (first - offsets[doc])[local].astype(np.int32), size[local].astype(np.int32)))
-            doc, first, size, anchor, place = doc[sent], first[sent], size[sent], anchor[sent], place[sent]
+            doc, first, size, anchor, place, alone = doc[sent], first[sent], size[sent], anchor[sent], place[sent], alone[sent]
             if len(doc):
                 grams = np.lib.stride_tricks.sliding_window_view(data, GRAM)[place].view(f"S{GRAM}").reshape(-1)
                 bucket = np.searchsorted(splitters.value, grams, side="right") if len(splitters.value) else np.zeros(len(doc), np.int64)
+                if alone.any():
+                    whole = np.array([zlib.crc32(raw[a : a + s.span]) for a in first[alone].tolist()], np.uint64)
+                    bucket[alone] = (mix(whole) % np.uint64(groups)).astype(np.int64)
                 for b, at in _split(bucket, groups):
                     pool = b"".join(raw[first[i] : first[i] + size[i] + s.span - 1] for i in at)
                     arrays = _squeeze(ids[doc[at]], doc[at].astype(np.int32), (first - offsets[doc])[at].astype(np.int32), size[at].astype(np.int32), anchor[at], np.frombuffer(pool, np.uint8))
                     bs.append(b)
                     qs.append(q)
                     blobs.append(arrays)
-        return pa.table({"_b": pa.array(bs, pa.int32()), "_q": pa.array(qs, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"_b": pa.array(bs, pa.int32()), "_tessera_q": pa.array(qs, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
-        qs, blobs = table["_q"].to_pylist(), table["blob"].to_pylist()
+        qs, blobs = table["_tessera_q"].to_pylist(), table["blob"].to_pylist()
         if table["_b"][0].as_py() >= groups:
-            return pa.table({"_q": pa.array(qs, pa.int32()), "hits": pa.array(blobs, pa.binary())})
+            return pa.table({"_tessera_q": pa.array(qs, pa.int32()), "hits": pa.array(blobs, pa.binary())})
         parts = [_unsqueeze(x, np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint8) for x in blobs]
         ids, doc, first, size, anchor = (np.concatenate([p[k] for p in parts]) for k in range(5))
         pool = np.concatenate([*(p[5] for p in parts), np.zeros(16, np.uint8)])
@@ -387,14 +406,14 @@ def _found(dealt: DataFrame, shared: DataFrame, splitters, groups: int, s: Setti
             w = which[at]
             out_q.append(k)
             out.append(_squeeze(doc[w], (first[w] + inner[at]).astype(np.int32), count[at].astype(np.int32)))
-        return pa.table({"_q": pa.array(out_q, pa.int32()), "hits": pa.array(out, pa.binary())})
+        return pa.table({"_tessera_q": pa.array(out_q, pa.int32()), "hits": pa.array(out, pa.binary())})
 
-    strings = dealt.groupBy("_q").cogroup(shared.groupBy("_q")).applyInArrow(send, "_b int, _q int, blob binary")
-    return strings.groupBy("_b").applyInArrow(compare, "_q int, hits binary")
+    strings = dealt.groupBy("_tessera_q").cogroup(shared.groupBy("_tessera_q")).applyInArrow(send, "_b int, _tessera_q int, blob binary")
+    return strings.groupBy("_b").applyInArrow(compare, "_tessera_q int, hits binary")
 
 
 def _finish(dealt: DataFrame, found: DataFrame, s: Settings, keep_text: bool) -> DataFrame:
-    names = [f.name for f in dealt.schema.fields if f.name != "_q" and (keep_text or f.name != "text")]
+    names = [f.name for f in dealt.schema.fields if f.name != "_tessera_q" and (keep_text or f.name != "text")]
     schema = T.StructType([dealt.schema[n] for n in names]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
 
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -422,4 +441,4 @@ def _finish(dealt: DataFrame, found: DataFrame, s: Settings, keep_text: bool) ->
         out |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table({f.name: out[f.name] for f in schema})
 
-    return dealt.groupBy("_q").cogroup(found.groupBy("_q")).applyInArrow(cut, schema)
+    return dealt.groupBy("_tessera_q").cogroup(found.groupBy("_tessera_q")).applyInArrow(cut, schema)

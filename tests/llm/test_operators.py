@@ -75,11 +75,24 @@ def brute_repeats(rows, span=50):
     return sorted(out, key=str)
 
 
-def test_repeats_equal_brute_force(docs, texts):
-    got = suffix.remove_repeats(docs.withColumn("n_spans", F.lit(1)).withColumn("_q", F.lit("x"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_repeats_equal_brute_force(docs, texts, hot):
+    got = suffix.remove_repeats(docs.withColumn("n_spans", F.lit(1)).withColumn("_q", F.lit("x")).withColumn("_id", F.lit("y")), suffix.Settings(hot=hot))
+    assert {"_q", "_id"} <= set(got.columns)
+    got = got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeats_of_a_passage_in_every_document(spark, hot):
+    """One passage between different neighbours, documents without an id and of one id."""
+    rng = np.random.default_rng(31)
+    shared = words(rng, 12)
+    rows = [(None if i % 9 == 0 else 7 if i % 9 == 1 else BIG + i, words(rng, 6) + " " + shared + " " + words(rng, 6)) for i in range(90)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, DOCS), suffix.Settings(hot=hot, group_bytes=2_000))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == brute_repeats(rows)
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(1)
     for _ in range(100):
@@ -343,6 +356,21 @@ def test_toxicity(spark):
     assert toxicity.fit(d, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
 
 
+def test_quotations_are_told_from_abuse(spark):
+    rng = np.random.default_rng(17)
+    rows, labels = [], []
+    for i in range(300):
+        told = words(rng, 12) + [" the remark about scumbags was", " you scumbags", ""][i % 3] + " " + words(rng, 12)
+        rows.append((i, told))
+        labels.append((i, int(i % 3 == 1)))
+    d = spark.createDataFrame(rows, DOCS)
+    m = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.Settings(least_odds=0.5))
+    assert "scumbags" in m.terms and m.context["<remark"] < 0 < m.context["<you"]
+    new = [(900, words(rng, 9) + " the remark about scumbags was " + words(rng, 5)), (901, words(rng, 9) + " you scumbags " + words(rng, 5)), (902, 'he said "scumbags" and left ' + words(rng, 5)), (903, "w " * 100_000 + "you scumbags"), (903, "w " * 100_000 + "you scumbags")]
+    got = toxicity.score(spark.createDataFrame(new, DOCS).selectExpr("*", "1 predicted", "'x' score"), m).collect()
+    assert sorted((r["doc_id"], r["predicted"]) for r in got) == [(900, 0), (901, 1), (902, 0), (903, 1), (903, 1)]
+
+
 def test_toxic_terms_of_a_small_group(spark):
     rng = np.random.default_rng(11)
     rows, labels = [], []
