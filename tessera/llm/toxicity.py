@@ -9,6 +9,7 @@ says of them; unseen misspellings inherit the weight of their term.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -211,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
     A term needs `least_docs` different toxic texts (a word beginning four times as many), the odds ratio, and evidence
     that chance would give to about one of the words tried; no share of the toxic rows, which a term of a small
-    language or source could not reach. Copies of a text count once, as the words of one are not chance in another.
+    language or source could not reach. Copies of a text count once, as the words of one are not chance in another,
+    and near copies hardly more: toxic texts count no more than the different neighbours that the word has in them.
 
     Word counts are combined per batch before they are shuffled; what reaches the driver is bounded by the sample and
     nothing else: the lexicon, the clean words near it, and a table of feature counts.
@@ -243,15 +245,29 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     def evidence(label: str) -> Column:  # logarithm of the likelihood ratio, the part of one label
         return F.when(F.col(label) > 0, F.col(label) * F.log(F.col(label) / (share * F.lit(float(total[label]))))).otherwise(0.0)
 
-    def strong(table: DataFrame, least: int) -> list[str]:
+    def strong(table: DataFrame, least: int) -> tuple[list, float]:
         tried = table.where((F.col("w") != "") & (F.col("toxic") >= least))
-        told = tried.where((odds >= s.least_odds) & (evidence("toxic") + evidence("clean") >= float(np.log(max(tried.count(), 1)))))
-        return [r["w"] for r in told.orderBy("w").collect()]
+        chance = float(np.log(max(tried.count(), 1)))
+        return tried.where((odds >= s.least_odds) & (evidence("toxic") + evidence("clean") >= chance)).select("w", "toxic", "clean").collect(), chance
 
-    terms = strong(vocabulary.where(F.length("w") >= 3), s.least_docs)
+    words_ = strong(vocabulary.where(F.length("w") >= 3), s.least_docs)
     beginnings = vocabulary.select(F.explode(F.array(*[F.when(F.length("w") > n, F.substring("w", 1, n)) for n in s.stem])).alias("w"), "clean", "toxic")
     beginnings = beginnings.where("w is not null").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("*").alias("forms"))
-    stems = strong(beginnings.where("forms >= 5"), 4 * s.least_docs)
+    heads = strong(beginnings.where("forms >= 5"), 4 * s.least_docs)
+    settings_of = _contexts_of(sample, frozenset(r["w"] for r in words_[0]), frozenset(r["w"] for r in heads[0]), s)
+
+    def kept(found: tuple[list, float], least: int, head: bool) -> list[str]:
+        """Those that still pass if their toxic texts count no more than the surroundings that they were met in."""
+        out = []
+        for r in found[0]:
+            t, c = min(r["toxic"], settings_of.get((r["w"], head), 0)), r["clean"]
+            both = (t + c) / (total["toxic"] + total["clean"])
+            weight = sum(n * np.log(n / (both * total[k])) for n, k in ((t, "toxic"), (c, "clean")) if n)
+            if t >= least and weight >= found[1] and np.log((t + 0.5) / (total["toxic"] + 1)) - np.log((c + 0.5) / (total["clean"] + 1)) >= s.least_odds:
+                out.append(r["w"])
+        return sorted(out)
+
+    terms, stems = kept(words_, s.least_docs, False), kept(heads, 4 * s.least_docs, True)
     whole = set(terms)
     stems = [p for p in stems if not any(p[:n] in whole for n in range(3, len(p) + 1))]
     # a word that only begins like a stem needs no entry of its own
@@ -282,6 +298,28 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return model
 
 
+def _contexts_of(sample: DataFrame, terms: frozenset, stems: frozenset, s: Settings) -> dict:
+    """(word, whether it is a beginning) -> number of different surroundings in toxic texts: the words before and after,
+    and for a beginning the word itself."""
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            met = set()
+            for text in b["text"]:
+                all_ = ["", *WORD.findall((text or "").lower()), ""]
+                for before, w, after in zip(all_, all_[1:], all_[2:]):
+                    if w in terms:
+                        met.add((w, False, zlib.crc32(f"{before} {after}".encode("utf-8", "replace"))))
+                    for p in _stems(w, s):
+                        if p in stems:
+                            met.add((p, True, zlib.crc32(f"{before} {w} {after}".encode("utf-8", "replace"))))
+            rows = list(met)
+            yield pd.DataFrame({"w": pd.Series([m[0] for m in rows], dtype=object), "head": pd.Series([m[1] for m in rows], dtype=bool), "c": pd.Series([m[2] for m in rows], dtype="int64")})
+
+    found = sample.where("toxic = 1").select("text").distinct().mapInPandas(tell, "w string, head boolean, c long").distinct()
+    return {(r["w"], r["head"]): r["count"] for r in found.groupBy("w", "head").count().collect()}
+
+
 def _learn_context(sample: DataFrame, model: Model) -> dict:
     """Words and marks around hits -> logarithm of how much likelier they are around hits of toxic texts, smoothed, where
     the evidence is beyond chance. Texts count once; what is collected is bounded by the sample."""
