@@ -64,7 +64,7 @@ def _cells(spark, d):
 
 
 def _event_vectors(spark, d):
-    kinds = [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
+    kinds = [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
     wide = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).pivot("event_type", kinds).agg(F.count(F.lit(1))).fillna(0)
     return wide.select("id", F.array(*[F.col(f"`{k}`").cast("double") for k in kinds]).alias("features"))
 
@@ -107,7 +107,7 @@ def s10_cluster_report(spark, d):
 
 def _nation_vectors(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    kinds = [r[0] for r in o.select("o_orderpriority").distinct().orderBy(1).limit(100).collect()]
+    kinds = [r[0] for r in o.select("o_orderpriority").distinct().orderBy(1).collect()]
     wide = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").cast("long").alias("id")).pivot("o_orderpriority", kinds).agg(F.count(F.lit(1))).fillna(0)
     return wide.select("id", F.array(*[F.col(f"`{k}`").cast("double") for k in kinds]).alias("features"))
 
@@ -151,7 +151,7 @@ def w8_feature_tops(spark, d):
 def w10_aligned_series(spark, d):
     li, s, n = table(spark, d, "lineitem"), table(spark, d, "supplier"), table(spark, d, "nation")
     volumes = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("ticker"), F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("volume"))
-    names = [r[0] for r in volumes.select("ticker").distinct().orderBy("ticker").limit(100).collect()]
+    names = [r[0] for r in volumes.select("ticker").distinct().orderBy("ticker").collect()]
     wide = N.aligned_series(volumes, names)
     return wide.unpivot(["k"], names, "ticker", "volume").select("k", "ticker", F.round("volume", 4).alias("volume"))
 

@@ -150,3 +150,11 @@ ORACLE_SQL = {
 SELECT 't0' AS tree, round(sum(abs(x*x+2*y+3*x+5-t)), 2) AS score FROM h UNION ALL SELECT 't1', round(sum(abs(x*y-t)), 2) FROM h UNION ALL SELECT 't2', round(sum(abs(CASE WHEN x > 25 THEN x*x ELSE y END - t)), 2) FROM h UNION ALL SELECT 't3', round(sum(abs(sqrt(x*x + pow(floor(y)::BIGINT % 2, 2)) - t)), 2) FROM h UNION ALL SELECT 't4', round(sum(abs(x-7-t)), 2) FROM h""",
     "a40_standings": "WITH m AS (SELECT o_custkey % 50 AS p1, o_orderkey % 50 AS p2, o_orderkey % 3 - 1 AS w FROM orders) SELECT player, sum(points)::BIGINT AS points FROM (SELECT p1 AS player, CASE w WHEN 1 THEN 2 WHEN -1 THEN 1 ELSE 0 END AS points FROM m UNION ALL SELECT p2, CASE w WHEN 0 THEN 2 WHEN -1 THEN 1 ELSE 0 END FROM m) GROUP BY 1",
 }
+
+ORACLE_SQL["a37_dorm_cost"] = """
+WITH RECURSIVE r AS (
+  SELECT p_partkey AS cand_id, 0 AS pos, ['A','A','B','B','C','C','D','D','E','E'] AS l, 0 AS cost FROM part
+  UNION ALL
+  SELECT cand_id, pos + 1, list_concat(l[1:g], l[g + 2:]), cost + CASE l[g + 1] WHEN ['A','B','C','D','E'][pos % 5 + 1] THEN 0 WHEN ['A','B','C','D','E'][(pos * 3 + 1) % 5 + 1] THEN 1 ELSE 3 END
+  FROM (SELECT *, least((cand_id * (pos + 3)) % (10 - pos), len(l) - 1) AS g FROM r WHERE pos < 10))
+SELECT cand_id, cost::BIGINT AS cost FROM r WHERE pos = 10"""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bayes, groups, models, online, plans, ratings, search, text
+from . import bayes, groups, models, online, plans, ratings, readers, search, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (ratings, text, bayes, models, search, groups, plans, online):
+for _module in (ratings, text, bayes, models, search, groups, plans, online, readers):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

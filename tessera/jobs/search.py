@@ -50,11 +50,20 @@ def _ranks(spark, d):
     return ids.select("node", ((F.col("node") * 37 % 101) / 50.0 + 0.15).alias("score"))
 
 
-def _scores(spark, d):
+def _linked_words(spark, d):
     words = table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("x"))
     n = table(spark, d, "documents").count()
-    told = words.select((F.col("p_partkey") % n).alias("from_id"), (F.col("p_partkey") * 7 % n).alias("to_id"), F.when(F.length("x") % 2 == 0, "for").otherwise("that").alias("word"))
-    return S.search_scores(_index(spark, d), _ask(spark), _doc_links(spark, d), _ranks(spark, d), linked_words=told)
+    return words.select((F.col("p_partkey") % n).alias("from_id"), (F.col("p_partkey") * 7 % n).alias("to_id"), F.when(F.length("x") % 2 == 0, "for").otherwise("that").alias("word"))
+
+
+def _scores(spark, d):
+    return S.search_scores(_index(spark, d), _ask(spark), _doc_links(spark, d), _ranks(spark, d), linked_words=_linked_words(spark, d))
+
+
+def j10_anchor_hits(spark, d):
+    docs = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id")
+    results = docs.withColumn("query", F.explode(F.array(*[F.lit(q) for q, _ in WORDS])))
+    return S.anchor_hits(_linked_words(spark, d), _ask(spark), _ranks(spark, d), results, "doc_id").select("query", "doc_id", F.round("linktext", 6).alias("linktext"))
 
 
 def a13_search_scores(spark, d):
@@ -94,7 +103,7 @@ def m18_click_net_train(spark, d):
     return u.select("hidden", "url", F.round("w", 6).alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (m1_build_index, p24_links, j2_match_postings, j3_phrase_match, a12_pagerank, a13_search_scores, w7_ranked_search, a41_outbound_relevant, m16_click_net_nodes, m17_click_net_score, m18_click_net_train)}
+QUERIES = {f.__name__: f for f in (m1_build_index, p24_links, j2_match_postings, j3_phrase_match, a12_pagerank, j10_anchor_hits, a13_search_scores, w7_ranked_search, a41_outbound_relevant, m16_click_net_nodes, m17_click_net_score, m18_click_net_train)}
 
 _I = r"""i AS (SELECT doc_id, word, location FROM (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS location FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\W+'), lambda w: w <> ''), lambda w: lower(w)) AS l FROM documents))
 WHERE word NOT IN ('the', 'of', 'to', 'and', 'a', 'in', 'is', 'it'))"""
@@ -133,3 +142,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DE
     "m16_click_net_nodes": f"WITH {_CL} SELECT 'w' || (word::VARCHAR) AS a, hidden AS b, round(w, 6) AS w FROM wh UNION ALL SELECT hidden, 'u' || (url::VARCHAR), w FROM hu",
     "m17_click_net_score": f"WITH {_CL} SELECT query, url, round(score, 6) AS score FROM o",
 }
+
+ORACLE_SQL["j10_anchor_hits"] = """
+WITH n AS (SELECT count(*) AS c FROM documents),
+t AS (SELECT p_partkey % c AS from_id, p_partkey * 7 % c AS doc_id, CASE WHEN length(x) % 2 = 0 THEN 'q1' ELSE 'q2' END AS query FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS x FROM part), n)
+SELECT query, t.doc_id, round(sum((from_id * 37 % 101) / 50.0 + 0.15), 6) AS linktext FROM t JOIN documents f ON f.doc_id = from_id JOIN documents r ON r.doc_id = t.doc_id WHERE t.doc_id % 3 = 0 GROUP BY 1, 2"""

@@ -149,7 +149,7 @@ def u4_already_indexed(spark, d):
 
 def s3_write_matrix(spark, d):
     cells = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("row_id"), F.col("event_type").alias("col_id")).agg(F.round(F.sum("value"), 4).alias("value"))
-    kinds = [r[0] for r in cells.select("col_id").distinct().orderBy("col_id").limit(100).collect()]
+    kinds = [r[0] for r in cells.select("col_id").distinct().orderBy("col_id").collect()]
     return M.to_wide(cells, kinds).unpivot(["row_id"], kinds, "col_id", "value").select("row_id", "col_id", F.round("value", 4).alias("value"))
 
 
@@ -204,3 +204,9 @@ SELECT node, 0 AS level FROM s UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT
     "u4_already_indexed": "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
     "s3_write_matrix": "WITH e AS (SELECT user_id::VARCHAR AS row_id, event_type AS col_id, round(sum(value), 4) AS value FROM events GROUP BY 1, 2) SELECT r.row_id, c.col_id, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT row_id FROM e) r CROSS JOIN (SELECT DISTINCT col_id FROM e) c LEFT JOIN e ON e.row_id = r.row_id AND e.col_id = c.col_id",
 }
+
+_P2 = r"regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', '', 'gis'), '<style\b.*?</style\s*>', '', 'gis')"
+_P2 = rf"regexp_replace(regexp_replace({_P2}, '<!--.*?-->', chr(10), 'gs'), '<[^>]*>', chr(10), 'g')"
+for _name, _sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
+    _P2 = f"replace({_P2}, '{_name}', {_sign})"
+ORACLE_SQL["p2_page_text"] = f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_P2}, chr(10)), lambda t: trim(t)), lambda t: t <> ''), chr(10)) AS text FROM pages"
