@@ -84,12 +84,15 @@ def top_matches(ratings: DataFrame, persons: DataFrame, n: int = 5, similarity:
     """The n users most like each person, by similarity, ties to the larger name. Users without a common
     item have similarity 0 and rank above negative ones: each person's n largest of those are enough."""
     told = sims_of(ratings, persons, similarity).select("user", "other", F.round("sim", 6).alias("sim"))
-    # a person can need at most n users that share nothing; the largest (met + n + 1) names hold them
+    # users by falling name; a person takes the first n places that neither it nor anyone met holds, found in its own row
     met = told.groupBy("user").agg(F.count("*").alias("met"))
-    users = ratings.select(F.col("user").alias("other")).distinct()
     most = met.agg(F.max("met")).first()[0] or 0
-    far = users.orderBy(F.desc("other")).limit(int(most) + n + 1)
-    zero = persons.distinct().crossJoin(F.broadcast(far)).where("user <> other").join(told, ["user", "other"], "left_anti").select("user", "other", F.lit(0.0).alias("sim"))
+    users = ratings.select(F.col("user").alias("other")).distinct()
+    places = users.orderBy(F.desc("other")).limit(int(most) + n + 1).withColumn("place", F.row_number().over(Window.orderBy(F.desc("other"))))
+    taken = told.select("user", "other").unionByName(persons.distinct().select("user", F.col("user").alias("other"))).join(places, "other", "left")
+    taken = taken.groupBy("user").agg(F.count("*").cast("int").alias("met"), F.collect_set("place").alias("held"))
+    free = F.slice(F.array_except(F.sequence(F.lit(1), F.col("met") + n), "held"), 1, n)
+    zero = taken.select("user", F.explode(free).alias("place")).join(places, "place").select("user", "other", F.lit(0.0).alias("sim"))
     rank = Window.partitionBy("user").orderBy(F.desc("sim"), F.desc("other"))
     return told.unionByName(zero).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import words_all
+from tessera.shared import Scratch
 
 #: Words that the index leaves out.
 STOP_WORDS = ["the", "of", "to", "and", "a", "in", "is", "it"]
@@ -50,16 +51,17 @@ def link_words(links: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, links: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, score) from 1.0 by rounds of 0.15 + 0.85 * sum(score / out-degree) over distinct sources;
     out-degrees count repeated links, and nothing is passed on from nodes without links. All nodes move at once.
-    Lineage is cut every five rounds in the shared folder, where the session names one."""
+    Edges and every round's ranks are tables in the shared folder; ranks of the round before last are deleted."""
+    scratch = Scratch(nodes.sparkSession)
     degree = links.groupBy("from_id").agg(F.count("*").alias("degree"))
-    edges = links.distinct().join(degree, "from_id").select("from_id", "to_id", (damping / F.col("degree")).alias("w")).persist()
+    edges = scratch.save("edges", links.distinct().join(degree, "from_id").select("from_id", "to_id", (damping / F.col("degree")).alias("w")))
+    nodes = scratch.save("nodes", nodes.select("node"))
     rank = nodes.select("node", F.lit(1.0).alias("score"))
-    durable = nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or nodes.sparkSession.sparkContext.getCheckpointDir()
-    for i in range(rounds):
+    for _ in range(rounds):
         passed = edges.join(rank, edges.from_id == rank.node).groupBy(F.col("to_id").alias("node")).agg(F.sum(F.col("w") * F.col("score")).alias("got"))
-        rank = nodes.join(passed, "node", "left").select("node", (1 - damping + F.coalesce("got", F.lit(0.0))).alias("score"))
-        if durable and i % 5 == 4:
-            rank = rank.checkpoint()
+        rank = scratch.save("rank", nodes.join(passed, "node", "left").select("node", (1 - damping + F.coalesce("got", F.lit(0.0))).alias("score")))
+        scratch.drop_older("rank")
+    scratch.drop("edges", "nodes")
     return rank
 
 
