@@ -163,7 +163,13 @@ def test_jump_hash():
 
 
 def test_shards(docs, texts):
-    rows = sharding.assign_shards(docs, 4).collect()
+    keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("doc_id", F.lit(-1))).alias("k")).collect()}
+    crc = sorted((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts)
+    rows = sharding.assign_shards(docs.selectExpr("*", "1 slot", "2 shard", "3 _chunk"), 4, rows_per_chunk=2).collect()
+    for r in rows:
+        key = np.array([keys[r["doc_id"]]])
+        assert (r["shard"], r["grown_shard"]) == (sharding.jump(key, 4)[0], sharding.jump(key, 5)[0])
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == crc
     assert len(rows) == len(texts)
     for s in range(4):
         mine = sorted(r["slot"] for r in rows if r["shard"] == s)
@@ -360,7 +366,7 @@ def test_quotations_are_told_from_abuse(spark):
     rng = np.random.default_rng(17)
     rows, labels = [], []
     for i in range(300):
-        told = words(rng, 12) + [" the remark about scumbags was", " you scumbags", ""][i % 3] + " " + words(rng, 12)
+        told = words(rng, 12) + (" you scumbags" if i % 3 == 1 else " the remark about scumbags was" if i % 6 == 0 else "") + " " + words(rng, 12)
         rows.append((i, told))
         labels.append((i, int(i % 3 == 1)))
     d = spark.createDataFrame(rows, DOCS)
@@ -485,3 +491,41 @@ def test_empty_tables(spark, nothing):
     assert tokens.count_tokens(nothing, tokenizer_file("piece_bpe_32k.model")).count() == 0
     assert packing.pack_pieces(packing.cut_pieces(nothing, tokenizer_file("byte_bpe_50k.json"))).count() == 0
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """Each stage against brute force over what the one before kept, and the packing of what is left."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(41)
+    base = [words(rng, 60) for _ in range(40)]
+    shared, item = words(rng, 14), words(rng, 16)
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100, base[3]), (101, base[4] + " tail"), (102, words(rng, 30) + " " + shared + " " + words(rng, 30)), (103, words(rng, 30) + " " + shared + " " + words(rng, 30))]
+    rows += [(104, words(rng, 20) + " " + item + " " + words(rng, 20)), (105, None), (106, ""), (None, words(rng, 25)), (107, "word " * 3000)]
+    toxic = [(200 + i, f"{words(rng, 20)} you scumbags {words(rng, 20)}") for i in range(12)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows + toxic, DOCS).selectExpr("*", "'en' lang", "'web' source", "cast(length(text) as long) n_chars", "1 score", "'x' hits").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i, _ in rows if i is not None] + [(i, 1) for i, _ in toxic[:9]], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    at = spark.read.parquet(f"{d}/documents.parquet")
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, at, d).write.parquet(f"{d}/stage{k}")
+        at = spark.read.parquet(f"{d}/stage{k}")
+        assert at.columns == corpus_pipeline.COLUMNS
+        kept.append([(r["doc_id"], r["text"]) for r in at.collect()])
+    assert sorted(kept[0], key=str) == sorted(rows, key=str)  # all toxic ones go, whether labelled or not
+    alone = {i for i, _, c, stays in brute_components([r for r in kept[0] if r[0] is not None]) if stays}
+    assert sorted(kept[1], key=str) == sorted([r for r in kept[0] if r[0] is None or r[0] in alone], key=str)
+    cut = {i: digest for i, _, _, _, digest in brute_repeats(kept[1])}
+    assert {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in kept[2]} == cut and len(kept[2]) == len(kept[1])
+    hit = {i: n for i, _, n, _, _, _ in brute_contamination(kept[2], [("1", item)])}
+    assert hit[104] == 16 and {i for i, t in kept[3] if t != dict(kept[2])[i]} == {i for i, n in hit.items() if n}
+    assert item not in dict(kept[3])[104]
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    told = {}
+    for r in corpus_pipeline.run(spark, d).collect():
+        told[r["doc_id"]] = told.get(r["doc_id"], 0) + r["length"]
+    assert told == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in kept[3]}
