@@ -70,6 +70,23 @@ def wine_price(rating: Column, age: Column) -> Column:
     return F.greatest(F.when(age > peak, late).otherwise(base * (5 * ((age + 1) / peak))), F.lit(0.0))
 
 
+def wine_sets(rows: DataFrame) -> DataFrame:
+    """P25: rows(id, rating, age, aisle, bottle, noise, sale) with the prices of three sets: set 1 with a noise of 20 %,
+    set 2 by the size of the bottle with a noise of 10 % (the aisle tells nothing), and set 3, which is set 1 with half
+    of the rows sold at 0.6. `noise` and `sale` are from 0 to 1."""
+    price = wine_price(F.col("rating"), F.col("age"))
+    first = price * (F.col("noise") * 0.4 + 0.8)
+    second = price * (F.col("bottle") / 750.0) * (F.col("noise") * 0.2 + 0.9)
+    third = F.when(F.col("sale") < 0.5, first * 0.6).otherwise(first)
+    return rows.select("id", "rating", "age", "aisle", "bottle", first.alias("price1"), second.alias("price2"), third.alias("price3"))
+
+
+def hidden_sets(rows: DataFrame) -> DataFrame:
+    """P25: rows(id, x, y) with the two targets to be found: x*x + 2y + 3x + 5, and y * sin x."""
+    x, y = F.col("x"), F.col("y")
+    return rows.select("id", "x", "y", (x * x + 2 * y + 3 * x + 5).alias("polynomial"), (y * F.sin(x)).alias("sine"))
+
+
 def region_of_state(rows: DataFrame, regions: DataFrame) -> DataFrame:
     """rows(location, rating, ...) with the region of their state and the rating rounded half up; unknown states go.
     regions(state, region) is a dimension."""

@@ -113,7 +113,11 @@ def _nation_vectors(spark, d):
 
 
 def m3_hcluster(spark, d):
-    return spark.createDataFrame(C.hcluster(_nation_vectors(spark, d), "straight"), "id long, left long, right long, distance double")
+    return C.hcluster(_nation_vectors(spark, d), "straight").select("id", "left", "right", F.round("distance", 6).alias("distance"))
+
+
+def m3_hcluster_rounds(spark, d):
+    return C.hcluster(_nation_vectors(spark, d), "straight", all_nearest=True).select("id", "left", "right", F.round("distance", 6).alias("distance"), "round")
 
 
 def m4_mds(spark, d):
@@ -156,7 +160,7 @@ def w10_aligned_series(spark, d):
     return wide.unpivot(["k"], names, "ticker", "volume").select("k", "ticker", F.round("volume", 4).alias("volume"))
 
 
-QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m6_prune_tree, m7_tree_classify, a11_vector_distances, j7_all_pairs, m2_kmeans, a42_kmeans_total, s10_cluster_report, m3_hcluster, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
+QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m6_prune_tree, m7_tree_classify, a11_vector_distances, j7_all_pairs, m2_kmeans, a42_kmeans_total, s10_cluster_report, m3_hcluster, m3_hcluster_rounds, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
 
 _R = "r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN floor(o_totalprice / 20000)::DOUBLE END AS price, month(o_orderdate)::DOUBLE AS month, o_orderpriority AS priority, o_orderstatus AS label, o_totalprice AS value FROM orders)"
 _H = "(SELECT -sum(c / t * log2(c / t)) FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS t FROM r {0} GROUP BY label))"
@@ -176,12 +180,12 @@ _EITHER = "list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] <
 
 
 def _kmeans_sql(k: int, rounds: int) -> str:
-    sql = f"v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings), c0 AS (SELECT id AS cluster, f FROM v ORDER BY id LIMIT {k})"
+    sql = f"v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings), c0 AS MATERIALIZED (SELECT id AS cluster, f FROM v ORDER BY id LIMIT {k})"
     dist = "list_sum(list_transform(generate_series(1, len(v.f)), lambda i: (v.f[i] - c.f[i]) * (v.f[i] - c.f[i])))"
     for r in range(rounds + 1):
-        sql += f", a{r} AS (SELECT id, f, cluster, d2 FROM (SELECT v.id, v.f, c.cluster, {dist} AS d2, row_number() OVER (PARTITION BY v.id ORDER BY round({dist}, 12), c.cluster) AS k FROM v, c{r} c) WHERE k = 1)"
+        sql += f", a{r} AS MATERIALIZED (SELECT id, f, cluster, d2 FROM (SELECT v.id, v.f, c.cluster, {dist} AS d2, row_number() OVER (PARTITION BY v.id ORDER BY round({dist}, 12), c.cluster) AS k FROM v, c{r} c) WHERE k = 1)"
         if r < rounds:
-            sql += f", c{r + 1} AS (SELECT c.cluster, coalesce(m.f, c.f) AS f FROM c{r} c LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS f FROM (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(f) AS x, generate_subscripts(f, 1) AS pos FROM a{r}) GROUP BY 1, 2) GROUP BY 1) m ON m.cluster = c.cluster)"
+            sql += f", c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.f, c.f) AS f FROM c{r} c LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS f FROM (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(f) AS x, generate_subscripts(f, 1) AS pos FROM a{r}) GROUP BY 1, 2) GROUP BY 1) m ON m.cluster = c.cluster)"
     return sql
 
 
@@ -207,3 +211,4 @@ d AS (SELECT a.id AS i, b.id AS j, sqrt(sum((a.n-b.n)*(a.n-b.n))) AS d FROM f a
 g AS (SELECT i, sum((a.x-b.x)/q*(q-d)/d) AS gx, sum((a.y-b.y)/q*(q-d)/d) AS gy FROM (SELECT d.*, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS q, a, b FROM d JOIN pt a ON a.id = i JOIN pt b ON b.id = j WHERE d > 0) WHERE q > 0 GROUP BY 1)
 SELECT id, round(x - 0.01*coalesce(gx, 0), 6) AS x, round(y - 0.01*coalesce(gy, 0), 6) AS y FROM pt LEFT JOIN g ON g.i = pt.id""",
 }
+ORACLE_SQL["a42_kmeans_total"] = " UNION ALL ".join(f"SELECT * FROM (WITH {_kmeans_sql(k, 10)} SELECT {k}::INT AS k, round(sum(sqrt(d2)), 4) AS total FROM a10)" for k in (4, 8))

@@ -85,9 +85,19 @@ def p23_wine_price(spark, d):
 
 
 def p25_synthetic_wine(spark, d):
-    n = table(spark, d, "part").count()
-    rows = spark.range(n).select("id", (F.rand(1) * 50 + 50.5).alias("rating"), (F.rand(2) * 50).alias("age"))
-    return rows.select("id", "rating", "age", (N.wine_price(F.col("rating"), F.col("age")) * (F.rand(3) * 0.4 + 0.8)).alias("price"))
+    """Noise and the rest come from the keys of parts, so that every run gives the same set."""
+    key = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        key.alias("id"), (51 + key * 7919 % 4900 / 100.0).alias("rating"), F.col("p_size").cast("double").alias("age"), (key % 20 + 1).alias("aisle"),
+        F.element_at(F.array(*map(F.lit, (375, 750, 1500, 3000))), (key % 4 + 1).cast("int")).alias("bottle"), (key * 104729 % 1000 / 1000.0).alias("noise"), (key * 15485863 % 1000 / 1000.0).alias("sale"))
+    made = N.wine_sets(rows)
+    return made.select("id", F.round("rating", 2).alias("rating"), "age", "aisle", "bottle", *[F.round(c, 5).alias(c) for c in ("price1", "price2", "price3")])
+
+
+def p25_hidden_sets(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 41).cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    made = N.hidden_sets(rows.select(F.struct("l_orderkey", "l_linenumber").alias("id"), "x", "y"))
+    return made.select("id.*", "x", "y", F.round("polynomial", 5).alias("polynomial"), F.round("sine", 5).alias("sine"))
 
 
 def p17_numeric_pairs(spark, d):
@@ -165,7 +175,7 @@ def m20_svm_rbf(spark, d):
     return K.svm(rows.where("id % 20 <> 0"), "rbf", 2.0)(rows)
 
 
-QUERIES = {f.__name__: f for f in (w4_knn, w5_knn_estimate, w5_weighted_knn, j11_range_probability, w6_probability_curve, p17_numeric_pairs, p18_rescale, p19_minmax_scale, p20_kernels, p21_weights, p22_region_of_state, p23_wine_price, p25_synthetic_wine, a34_error_rate, m8_cross_validate, m9_tune, a29_interest_counts, a30_class_centroids, a31_linear_classify, a32_kernel_offset, a33_kernel_classify, m20_svm_linear, m20_svm_rbf)}
+QUERIES = {f.__name__: f for f in (w4_knn, w5_knn_estimate, w5_weighted_knn, j11_range_probability, w6_probability_curve, p17_numeric_pairs, p18_rescale, p19_minmax_scale, p20_kernels, p21_weights, p22_region_of_state, p23_wine_price, p25_synthetic_wine, p25_hidden_sets, a34_error_rate, m8_cross_validate, m9_tune, a29_interest_counts, a30_class_centroids, a31_linear_classify, a32_kernel_offset, a33_kernel_classify, m20_svm_linear, m20_svm_rbf)}
 
 _DIST = "list_sum(list_transform(generate_series(1, len(a.e)), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))"
 _V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label::DOUBLE AS result FROM embeddings)"
@@ -202,3 +212,10 @@ SELECT a.query, a.i, round(any_value(a.cum), 5) AS cumulative, round(sum(exp(-(0
     "p17_numeric_pairs": """SELECT o_orderkey AS id, (o_orderstatus = 'F')::INT AS match, (20 + o_orderkey % 50)::DOUBLE AS f0, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE 0.0 END::DOUBLE AS f1, CASE o_orderkey % 3 WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END::DOUBLE AS f2,
 (20 + c_custkey % 50)::DOUBLE AS f3, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE 0.0 END::DOUBLE AS f4, CASE c_custkey % 3 WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END::DOUBLE AS f5, 1.0::DOUBLE AS f6, 0.0::DOUBLE AS f7 FROM orders JOIN customer ON o_custkey = c_custkey""",
 }
+
+ORACLE_SQL["p25_synthetic_wine"] = """
+WITH r AS (SELECT p_partkey AS id, 51 + (p_partkey * 7919 % 4900) / 100.0::DOUBLE AS rating, p_size::DOUBLE AS age, p_partkey % 20 + 1 AS aisle, [375, 750, 1500, 3000][p_partkey % 4 + 1] AS bottle, (p_partkey * 104729 % 1000) / 1000.0::DOUBLE AS noise, (p_partkey * 15485863 % 1000) / 1000.0::DOUBLE AS sale FROM part),
+p AS (SELECT *, greatest(CASE WHEN age > rating - 50 THEN rating/2*(5-(age-(rating-50))) ELSE rating/2*(5*((age+1)/(rating-50))) END, 0) AS price FROM r)
+SELECT id, round(rating, 2) AS rating, age, aisle, bottle, round(price * (noise*0.4+0.8), 5) AS price1, round(price * (bottle/750.0::DOUBLE) * (noise*0.2+0.9), 5) AS price2, round(price * (noise*0.4+0.8) * CASE WHEN sale < 0.5 THEN 0.6 ELSE 1 END, 5) AS price3 FROM p"""
+ORACLE_SQL["p25_hidden_sets"] = """
+SELECT l_orderkey, l_linenumber, x, y, round(x*x + 2*y + 3*x + 5, 5) AS polynomial, round(y * sin(x), 5) AS sine FROM (SELECT l_orderkey, l_linenumber, (l_partkey % 41)::DOUBLE AS x, l_quantity::DOUBLE AS y FROM lineitem)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import clicknet as C
@@ -71,6 +72,20 @@ def a13_search_scores(spark, d):
     return _scores(spark, d).select("query", "doc_id", *[F.round(c, 6).alias(c) for c in names])
 
 
+def _one_score(column):
+    def query(spark, d):
+        return _scores(spark, d).select("query", "doc_id", F.round(column, 6).alias("score"))
+
+    return query
+
+
+def a20_normalise_scores(spark, d):
+    """Inbound links of each node, scaled within five groups of nodes in both directions."""
+    counts = links(spark, d).groupBy("to_id").agg(F.count("*").cast("double").alias("n"))
+    by = Window.partitionBy(F.col("to_id") % 5)
+    return counts.select("to_id", F.round(S.normalise(F.col("n"), False, by), 6).alias("more"), F.round(S.normalise(F.col("n"), True, by), 6).alias("less"))
+
+
 def w7_ranked_search(spark, d):
     names = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"))
     return S.ranked_search(_scores(spark, d), names)
@@ -103,7 +118,11 @@ def m18_click_net_train(spark, d):
     return u.select("hidden", "url", F.round("w", 6).alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (m1_build_index, p24_links, j2_match_postings, j3_phrase_match, a12_pagerank, j10_anchor_hits, a13_search_scores, w7_ranked_search, a41_outbound_relevant, m16_click_net_nodes, m17_click_net_score, m18_click_net_train)}
+QUERIES = {f.__name__: f for f in (m1_build_index, p24_links, j2_match_postings, j3_phrase_match, a12_pagerank, j10_anchor_hits, a13_search_scores, w7_ranked_search, a41_outbound_relevant, m16_click_net_nodes, m17_click_net_score, m18_click_net_train, a20_normalise_scores)}
+
+#: Queries of one score each, by its column.
+SCORES = {"a14_score_location": "location", "a15_score_distance": "distance", "a16_score_inbound": "inbound", "a17_score_pagerank": "rank", "a18_score_linktext": "linktext", "a19_score_length": "length"}
+QUERIES.update({name: _one_score(column) for name, column in SCORES.items()})
 
 _I = r"""i AS (SELECT doc_id, word, location FROM (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS location FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\W+'), lambda w: w <> ''), lambda w: lower(w)) AS l FROM documents))
 WHERE word NOT IN ('the', 'of', 'to', 'and', 'a', 'in', 'is', 'it'))"""
@@ -147,3 +166,7 @@ ORACLE_SQL["j10_anchor_hits"] = """
 WITH n AS (SELECT count(*) AS c FROM documents),
 t AS (SELECT p_partkey % c AS from_id, p_partkey * 7 % c AS doc_id, CASE WHEN length(x) % 2 = 0 THEN 'q1' ELSE 'q2' END AS query FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS x FROM part), n)
 SELECT query, t.doc_id, round(sum((from_id * 37 % 101) / 50.0 + 0.15), 6) AS linktext FROM t JOIN documents f ON f.doc_id = from_id JOIN documents r ON r.doc_id = t.doc_id WHERE t.doc_id % 3 = 0 GROUP BY 1, 2"""
+
+ORACLE_SQL.update({name: f'WITH {_SCORES} SELECT query, doc_id, round("{column}", 6) AS score FROM s' for name, column in SCORES.items()})
+ORACLE_SQL["a20_normalise_scores"] = f"""WITH {LINKS_SQL}, n AS (SELECT to_id, count(*)::DOUBLE AS n FROM links GROUP BY 1)
+SELECT to_id, round(n / max(n) OVER w, 6) AS more, round(min(n) OVER w / n, 6) AS less FROM n WINDOW w AS (PARTITION BY to_id % 5)"""

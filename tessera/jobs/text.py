@@ -210,3 +210,19 @@ _P2 = rf"regexp_replace(regexp_replace({_P2}, '<!--.*?-->', chr(10), 'gs'), '<[^
 for _name, _sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
     _P2 = f"replace({_P2}, '{_name}', {_sign})"
 ORACLE_SQL["p2_page_text"] = f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_P2}, chr(10)), lambda t: trim(t)), lambda t: t <> ''), chr(10)) AS text FROM pages"
+
+
+def _features_sql(titles: str, by: str, flags: str) -> str:
+    """Features in the order of their bytes: what `b` gives as prefixed words, words and pairs of the body, flags."""
+    words = r"list_filter(regexp_split_to_array({0}, '\W+'), lambda w: length(w) > 2 AND length(w) < 20)"
+    told = ", ".join(f"list_transform({words.format(c)}, lambda w: '{p}:' || lower(w))" for p, c in (t.split("=") for t in titles.split()))
+    capitals = "10 * len(list_filter(raw, lambda w: w = upper(w) AND w <> lower(w))) > 3 * len(raw)"
+    return f"""w AS (SELECT *, {words.format("body")} AS raw FROM b), l AS (SELECT *, list_transform(raw, lambda w: lower(w)) AS low FROM w),
+f AS (SELECT *, list_sort(list_distinct(list_filter(flatten([{told}, low, CASE WHEN len(low) > 1 THEN list_transform(generate_series(1, len(low) - 1), lambda i: low[i] || ' ' || low[i + 1]) ELSE [] END, [{by}, CASE WHEN len(raw) > 0 AND {capitals} THEN 'UPPERCASE' END{flags}]]), lambda x: x IS NOT NULL))) AS f FROM l)"""
+
+
+_ENTRY = ", CASE WHEN length(body) > 250 THEN 'EXCLENGTH' END, CASE WHEN len(raw) > 0 AND 10 * len(list_filter(raw, lambda w: length(w) > 16)) > 3 * len(raw) THEN 'PREPOFLONGWORDS' END"
+ORACLE_SQL["p8_entry_features"] = f"""WITH b AS (SELECT doc_id, source, coalesce(split_part(text, chr(10), 1), '') AS title, coalesce(substr(text, length(split_part(text, chr(10), 1)) + 2), '') AS body FROM documents),
+{_features_sql("Title=title", "'Publisher:' || source", _ENTRY)} SELECT doc_id, len(f)::BIGINT AS n, md5(array_to_string(f, '|')) AS digest FROM f"""
+ORACLE_SQL["p9_mail_features"] = f"""WITH b AS (SELECT conv_id, turn, coalesce("role", '') AS sender, coalesce(array_to_string(string_split(text, ' ')[1:5], ' '), '') AS subject, coalesce(text, '') AS body FROM conversations),
+{_features_sql("From=sender Subject=subject", "'Ip' || conv_id::VARCHAR", "")} SELECT conv_id, turn, len(f)::BIGINT AS n, md5(array_to_string(f, '|')) AS digest FROM f"""

@@ -70,10 +70,33 @@ def test_knn_equals_brute_force(spark):
         assert [got[q, k + 1] for k in range(4)] == sorted(range(300), key=lambda i: (d[i], i))[:4]
 
 
-def test_hierarchy_joins_the_closest(spark):
-    v = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 1.0]), (2, [5.0, 5.0]), (3, [5.0, 5.5])], "id long, features array<double>")
-    merges = cluster.hcluster(v, "straight")
-    assert [m[1:3] for m in merges] == [(2, 3), (0, 1), (-2, -1)] or [set(m[1:3]) for m in merges] == [{2, 3}, {0, 1}, {-1, -2}]
+def brute_merges(vs, all_nearest):
+    """Merges of vectors {id: array} by plain Euclidean distances."""
+    alive, out, made, step = dict(vs), [], 0, 0
+    while len(alive) > 1:
+        near = sorted((round(float(np.sqrt(((alive[i] - alive[j]) ** 2).sum())), 12), i, j) for i in alive for j in alive if i < j)
+        best = {n: next(p for p in near if n in p[1:]) for n in alive}
+        chosen = sorted({p for p in near if best[p[1]] == best[p[2]] == p}) if all_nearest else near[:1]
+        for d, i, j in chosen:
+            made += 1
+            out.append((-made, i, j, round(d, 9), step))
+            alive[-made] = (alive.pop(i) + alive.pop(j)) / 2
+        step += 1
+    return out
+
+
+@pytest.mark.parametrize("all_nearest", [False, True])
+def test_hierarchy_equals_brute_force(spark, all_nearest):
+    rng = np.random.default_rng(2)
+    vs = {i: rng.integers(0, 6, 3).astype(float) for i in range(9)}  # ties and equal vectors
+    rows = [(i, x.tolist()) for i, x in vs.items()] + [(None, [1.0, 2.0, 3.0]), (50, None)]
+    merges = cluster.hcluster(spark.createDataFrame(rows, "id long, features array<double>").repartition(3), "straight", all_nearest).collect()
+    assert sorted(((r["id"], r["left"], r["right"], round(r["distance"], 9), r["round"]) for r in merges), reverse=True) == brute_merges(vs, all_nearest)
+
+
+def test_hierarchy_of_few_vectors(spark):
+    one = spark.createDataFrame([(1, [0.0])], "id long, features array<double>")
+    assert cluster.hcluster(one).count() == 0 and cluster.hcluster(one.limit(0)).count() == 0
 
 
 def test_nmf_cost_never_rises(spark):
