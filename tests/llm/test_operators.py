@@ -305,6 +305,13 @@ def test_near_vectors_in_a_tight_group(spark):
     assert found_vectors(spark, vs, block=8, sample=4) == brute_vectors(vs)
 
 
+def test_near_vectors_where_a_sample_has_one_vector(spark):
+    """Nodes that get no net, as only one of their vectors was drawn, or none."""
+    rng = np.random.default_rng(24)
+    vs = [(i, (rng.normal(size=4) + 3 * (i % 5)).tolist(), i % 7) for i in range(140)]
+    assert found_vectors(spark, vs, block=2, sample=1) == brute_vectors(vs)
+
+
 def test_language(spark):
     rng = np.random.default_rng(6)
     make = {"xx": "abcde", "yy": "cdefg"}
