@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         m, cache = _ready(model), {}
         for b in batches:
             c = Counter((toxic, *features(text, m, cache)) for text, toxic in zip(b["text"], b["toxic"]))
-            yield pd.DataFrame({"toxic": [k[0] for k in c], "f": [list(k[1:]) for k in c], "n": list(c.values())})
+            yield pd.DataFrame({"toxic": [k[0] for k in c], "f": pd.Series([list(k[1:]) for k in c], dtype=object), "n": list(c.values())})
 
     table = sample.mapInPandas(count, "toxic int, f array<int>, n long").groupBy("toxic", "f").agg(F.sum("n").alias("n")).toPandas()
     model.weights = _logistic(np.array(table["f"].tolist(), float), table["toxic"].to_numpy(float), table["n"].to_numpy(float))
