@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embdup, html, langid, neardup, packing, sharding, suffix, tokens, toxicity
+from . import decontam, embdup, html, langid, neardup, packing, sharding, suffix, tokens, toxicity, variants
 from tessera.shared import save
 
 from .common import crc_mod, read
@@ -70,6 +70,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(read(spark, sf_dir, "documents", "doc_id", "text"), drop_every=199)
+    return variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pack": op9_pack,
     "op10_main_text": op10_main_text,
+    "op11_variants": op11_variants,
 }
 
 ORACLES = {
@@ -102,5 +108,27 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    # crc32 bit by bit over the bytes of '<doc_id>:<run>'; forms are followed by a recursive join
+    "op11_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+per AS (SELECT doc_id, run, count(*) AS c, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+bits AS (
+  SELECT run, c, list_concat([4294967295::BIGINT], flatten(list_transform(generate_series(1, len(x) // 2),
+    lambda i: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: (((strpos('0123456789ABCDEF', x[2*i-1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2*i]) - 1) >> k) & 1)))) AS b FROM per),
+crc AS (SELECT run, c, xor(list_reduce(b, lambda s, v: xor(s >> 1, (xor(s, v) & 1) * 3988292384::BIGINT)), 4294967295::BIGINT) AS h FROM bits),
+dropped AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM crc),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM dropped WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+less AS (SELECT word, n, i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS d FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.d = b.d WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS f, max(m) AS fn FROM pairs GROUP BY 1),
+known AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN fn >= 5 * n THEN f END AS form, CASE WHEN fn >= 5 * n THEN fn END AS form_n FROM words LEFT JOIN best USING (word)),
+roots AS (SELECT word, form AS at FROM known UNION ALL SELECT r.word, k.form FROM roots r JOIN known k ON r.at = k.word),
+last AS (SELECT r.word, r.at AS root FROM roots r JOIN known k ON r.at = k.word WHERE k.form IS NULL)
+SELECT known.word, form, coalesce(root, known.word) AS root, n, n_near, form_n FROM known LEFT JOIN last ON known.word = last.word
 """,
 }
