@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embdup, html, langid, neardup, packing, sharding, suffix, tokens, toxicity, variants
+from . import decontam, embdup, html, langid, neardup, packing, phrases, sharding, suffix, tokens, toxicity, variants
 from tessera.shared import save
 
 from .common import crc_mod, read
@@ -75,6 +75,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read(spark, sf_dir, "documents", "lang", "text"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_pack": op9_pack,
     "op10_main_text": op10_main_text,
     "op11_variants": op11_variants,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLES = {
@@ -130,5 +135,24 @@ known AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN fn >=
 roots AS (SELECT word, form AS at FROM known UNION ALL SELECT r.word, k.form FROM roots r JOIN known k ON r.at = k.word),
 last AS (SELECT r.word, r.at AS root FROM roots r JOIN known k ON r.at = k.word WHERE k.form IS NULL)
 SELECT known.word, form, coalesce(root, known.word) AS root, n, n_near, form_n FROM known LEFT JOIN last ON known.word = last.word
+""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+cuts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k+1:], ' ') AS q FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+scored AS (SELECT x.lang, x.m, x.phrase, x.a, k, l.f AS l, r.f AS r, (2000000 * x.a) // (l.f + r.f) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.p AND l.m = x.k JOIN f r ON r.lang = x.lang AND r.phrase = x.q AND r.m = x.m - x.k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (SELECT lang, a, w, n, unnest(generate_series(1, m - n + 1)) AS i FROM c, (SELECT unnest([2, 3]) AS n) WHERE n < m)),
+cover AS (SELECT lang, phrase, max(a) AS cover FROM inner_ GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN cover USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 80 * a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM kept JOIN sizes USING (lang)) WHERE rank <= 2000
 """,
 }
