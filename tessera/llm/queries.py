@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embdup, html, langid, neardup, packing, phrases, sharding, suffix, tokens, toxicity, variants
+from . import decontam, embdup, html, langid, neardup, packing, phrases, sharding, substring, suffix, tokens, toxicity, variants
 from tessera.shared import save
 
 from .common import crc_mod, read
@@ -79,6 +79,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(read(spark, sf_dir, "documents", "lang", "text"))
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
@@ -92,6 +96,7 @@ QUERIES = {
     "op10_main_text": op10_main_text,
     "op11_variants": op11_variants,
     "op12_phrases": op12_phrases,
+    "op13_passages": op13_passages,
 }
 
 ORACLES = {
@@ -154,5 +159,15 @@ inner_ AS (SELECT lang, a, n, array_to_string(w[i : i + n - 1], ' ') AS phrase F
 cover AS (SELECT lang, phrase, max(a) AS cover FROM inner_ GROUP BY 1, 2),
 kept AS (SELECT best.* FROM best LEFT JOIN cover USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 80 * a)
 SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM kept JOIN sizes USING (lang)) WHERE rank <= 2000
+""",
+    "op13_passages": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM later),
+gone AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY 1),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM places ANTI JOIN covered USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
