@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric as N
 from tessera.operators import kernel as K
 from tessera.operators import knn
+from tessera.operators import plans as P
 from tessera.sources.tables import table
 
 
@@ -127,6 +128,38 @@ def m9_tune(spark, d):
     return rows.groupBy().agg(F.min_by("k", F.struct("cost", "k")).alias("k"), F.round(F.min("cost"), 3).alias("cost"))
 
 
+def m8_trials(spark, d):
+    """A hundred random splits in one job."""
+    return knn.cross_validate(_parts(spark, d), knn.random_split(100, 0.05), knn.knn_estimator(3)).select("fold", F.round("mse", 3).alias("mse"))
+
+
+def m8_hold_out(spark, d):
+    """Fifteen rows held out in each of twenty trials, estimated by weights of the distance."""
+    return knn.cross_validate(_parts(spark, d), knn.hold_out(20, 15), knn.knn_estimator(5, "gaussian")).select("fold", F.round("mse", 3).alias("mse"))
+
+
+def m8_mean(spark, d):
+    """The same splits for an estimator that is no neighbour: the mean of the rest."""
+    return knn.cross_validate(_parts(spark, d), knn.random_split(100, 0.05), knn.mean_estimator).select("fold", F.round("mse", 3).alias("mse"))
+
+
+def _scales(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("cand_id"), F.array((F.col("n_nationkey") * 7 % 20).cast("int"), (F.col("n_nationkey") * 3 % 11 + 1).cast("int")).alias("genes"))
+
+
+def m9_scales(spark, d):
+    """A table of candidate scales, scored in one job."""
+    return knn.tune_scales(_parts(spark, d), _scales(spark, d), knn.random_split(2, 0.05)).select("cand_id", F.round("cost", 3).alias("cost"))
+
+
+def m9_scale_search(spark, d):
+    """Scales found by annealing from the first of them."""
+    parts = _parts(spark, d)
+    starts = _scales(spark, d).where("cand_id < 5").select(F.col("cand_id").alias("start"), "genes")
+    found = P.anneal(starts, lambda c: knn.tune_scales(parts, c, knn.random_split(2, 0.05)), 20, cool=0.02)
+    return found.select("start", F.array_join("genes", ",").alias("genes"), F.round("cost", 3).alias("cost"))
+
+
 def _lines(spark, d):
     lines = table(spark, d, "lineitem")
     keyed = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.avg(F.col("l_quantity").cast("double")).alias("q"), F.avg(F.col("l_discount").cast("double")).alias("t"), F.avg(F.col("l_tax").cast("double")).alias("x"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("match"))
@@ -175,7 +208,7 @@ def m20_svm_rbf(spark, d):
     return K.svm(rows.where("id % 20 <> 0"), "rbf", 2.0)(rows)
 
 
-QUERIES = {f.__name__: f for f in (w4_knn, w5_knn_estimate, w5_weighted_knn, j11_range_probability, w6_probability_curve, p17_numeric_pairs, p18_rescale, p19_minmax_scale, p20_kernels, p21_weights, p22_region_of_state, p23_wine_price, p25_synthetic_wine, p25_hidden_sets, a34_error_rate, m8_cross_validate, m9_tune, a29_interest_counts, a30_class_centroids, a31_linear_classify, a32_kernel_offset, a33_kernel_classify, m20_svm_linear, m20_svm_rbf)}
+QUERIES = {f.__name__: f for f in (w4_knn, w5_knn_estimate, w5_weighted_knn, j11_range_probability, w6_probability_curve, p17_numeric_pairs, p18_rescale, p19_minmax_scale, p20_kernels, p21_weights, p22_region_of_state, p23_wine_price, p25_synthetic_wine, p25_hidden_sets, a34_error_rate, m8_cross_validate, m8_trials, m8_hold_out, m8_mean, m9_tune, m9_scales, m9_scale_search, a29_interest_counts, a30_class_centroids, a31_linear_classify, a32_kernel_offset, a33_kernel_classify, m20_svm_linear, m20_svm_rbf)}
 
 _DIST = "list_sum(list_transform(generate_series(1, len(a.e)), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))"
 _V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label::DOUBLE AS result FROM embeddings)"
@@ -184,6 +217,14 @@ _N = f"""{_V}, near AS (SELECT * FROM (SELECT query, id, dist, result, row_numbe
 _L = """l AS (SELECT l_orderkey AS id, avg(l_quantity::DOUBLE) AS q, avg(l_discount::DOUBLE) AS t, avg(l_tax::DOUBLE) AS x, max((l_returnflag = 'R')::INT) AS match FROM lineitem GROUP BY 1)"""
 _P = "p AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, (p_partkey % 50)::DOUBLE AS b, p_retailprice::DOUBLE AS r FROM part)"
 _CV = """, m AS (SELECT a.id, a.r AS actual, a.id % 5 AS fold, b.r, row_number() OVER (PARTITION BY a.id ORDER BY round(sqrt((a.a-b.a)*(a.a-b.a)+(a.b-b.b)*(a.b-b.b)), 9), b.id) AS k FROM p a JOIN p b ON a.id % 5 <> b.id % 5)"""
+_PD = "round(sqrt((a.a-b.a)*(a.a-b.a)+(a.b-b.b)*(a.b-b.b)), 9)"
+
+
+def _held(trials):
+    """The hash of each part and trial."""
+    return f"h AS (SELECT id, t::INT AS t, ('0x' || md5(id::VARCHAR || ':' || t::VARCHAR)[1:8])::BIGINT / 4294967296.0::DOUBLE AS share FROM p, generate_series(0, {trials - 1}) s(t))"
+
+
 _K = f"""{_V}, s AS (SELECT a.id, a.result < 5 AS m, avg(exp(-1.0 * {_DIST})) FILTER (WHERE b.result >= 5) AS k0, avg(exp(-1.0 * {_DIST})) FILTER (WHERE b.result < 5) AS k1 FROM v a, v b GROUP BY 1, 2),
 o AS (SELECT avg(k1) FILTER (WHERE m) - avg(k0) FILTER (WHERE NOT m) AS "offset" FROM s)"""
 
@@ -204,6 +245,16 @@ SELECT a.query, a.i, round(any_value(a.cum), 5) AS cumulative, round(sum(exp(-(0
     "a34_error_rate": f"WITH {_P} SELECT round(avg((a*20+900-r)*(a*20+900-r)), 3) AS mse, round(avg((a*20+900=r)::INT), 6) AS accuracy, round(pow(corr(a*20+900, r), 2), 6) AS r2 FROM p",
     "m8_cross_validate": f"WITH {_P}{_CV} SELECT fold, round(avg((g-actual)*(g-actual)), 3) AS mse FROM (SELECT id, fold, any_value(actual) AS actual, avg(r) AS g FROM m WHERE k <= 3 GROUP BY 1, 2) GROUP BY 1",
     "m9_tune": f"WITH {_P}{_CV}, c AS (SELECT kk AS k, avg(mse) AS cost FROM (SELECT kk, fold, avg((g-actual)*(g-actual)) AS mse FROM (SELECT kk, id, fold, any_value(actual) AS actual, avg(r) AS g FROM m, (SELECT unnest([1,3,5])::INT AS kk) WHERE k <= kk GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1) SELECT arg_min(k, (cost, k)) AS k, round(min(cost), 3) AS cost FROM c",
+    "m8_trials": f"""WITH {_P}, {_held(100)}, m AS (SELECT a.t AS fold, a.id, a.r AS actual, b.r, row_number() OVER (PARTITION BY a.t, a.id ORDER BY {_PD}, b.id) AS k FROM (SELECT p.*, t FROM p JOIN h USING (id) WHERE share < 0.05) a JOIN p b ON true JOIN h ON h.id = b.id AND h.t = a.t AND NOT share < 0.05)
+SELECT fold, round(avg((g - actual) * (g - actual)), 3) AS mse FROM (SELECT fold, id, any_value(actual) AS actual, avg(r) AS g FROM m WHERE k <= 3 GROUP BY 1, 2) GROUP BY 1""",
+    "m8_hold_out": f"""WITH {_P}, {_held(20)}, o AS (SELECT id, t FROM h QUALIFY row_number() OVER (PARTITION BY t ORDER BY share, id) <= 15),
+m AS (SELECT a.t AS fold, a.id, a.r AS actual, b.r, {_PD} AS dist, row_number() OVER (PARTITION BY a.t, a.id ORDER BY {_PD}, b.id) AS k FROM (SELECT p.*, t FROM p JOIN o USING (id)) a JOIN p b ON true ANTI JOIN o ON o.id = b.id AND o.t = a.t)
+SELECT fold, round(avg((g - actual) * (g - actual)), 3) AS mse FROM (SELECT fold, id, any_value(actual) AS actual, sum(exp(-dist * dist / 50) * r) / sum(exp(-dist * dist / 50)) AS g FROM m WHERE k <= 5 GROUP BY 1, 2) GROUP BY 1""",
+    "m8_mean": f"""WITH {_P}, {_held(100)}, g AS (SELECT t, avg(r) FILTER (WHERE NOT share < 0.05) AS guess FROM h JOIN p USING (id) GROUP BY 1)
+SELECT t AS fold, round(avg((guess - r) * (guess - r)), 3) AS mse FROM h JOIN p USING (id) JOIN g USING (t) WHERE share < 0.05 GROUP BY 1""",
+    "m9_scales": f"""WITH {_P}, {_held(2)}, c AS (SELECT n_nationkey::BIGINT AS cand_id, n_nationkey * 7 % 20 AS u, n_nationkey * 3 % 11 + 1 AS v FROM nation),
+m AS (SELECT cand_id, a.t, a.id, a.r AS actual, b.r, row_number() OVER (PARTITION BY cand_id, a.t, a.id ORDER BY round(sqrt((a.a-b.a)*(a.a-b.a)*u*u+(a.b-b.b)*(a.b-b.b)*v*v), 9), b.id) AS k FROM c, (SELECT p.*, t FROM p JOIN h USING (id) WHERE share < 0.05) a JOIN p b ON true JOIN h ON h.id = b.id AND h.t = a.t AND NOT share < 0.05)
+SELECT cand_id, round(avg((g - actual) * (g - actual)), 3) AS cost FROM (SELECT cand_id, t, id, any_value(actual) AS actual, avg(r) AS g FROM m WHERE k <= 3 GROUP BY 1, 2, 3) GROUP BY 1""",
     "a29_interest_counts": "SELECT interest, count(*) AS n FROM (SELECT unnest(string_split(replace(p_name, ' ', ':'), ':') || string_split(replace(p_type, ' ', ':'), ':')) AS interest FROM part) WHERE interest <> '' GROUP BY 1",
     "a30_class_centroids": f"WITH {_L} SELECT match, round(avg(q), 6) AS x0, round(avg(t), 6) AS x1, round(avg(x), 6) AS x2 FROM l GROUP BY 1",
     "a31_linear_classify": f"WITH {_L}, c AS (SELECT match, avg(q) AS q, avg(t) AS t, avg(x) AS x FROM l GROUP BY 1) SELECT l.id, CASE WHEN (l.q*a.q+l.t*a.t+l.x*a.x)-(l.q*b.q+l.t*b.t+l.x*b.x)+((b.q*b.q+b.t*b.t+b.x*b.x)-(a.q*a.q+a.t*a.t+a.x*a.x))/2 > 0 THEN 0 ELSE 1 END AS guess FROM l, c a, c b WHERE a.match = 0 AND b.match = 1",
