@@ -332,7 +332,7 @@ def _found(chunks: DataFrame, shared: DataFrame, buckets: int, s: Settings) -> D
                     texts[i] = text
             local = np.flatnonzero(~sent)
             if len(local):
-                names.append(-1)
+                names.append(-1 - chunk)
                 blobs.append(_squeeze(row[local].astype(np.int32), inner[local].astype(np.int64), size[local].astype(np.int64)))
             live = np.flatnonzero(sent)
             if len(live):
@@ -346,10 +346,12 @@ def _found(chunks: DataFrame, shared: DataFrame, buckets: int, s: Settings) -> D
                     pool = b"\n".join(texts[k] for k in i)
                     names.append(b)
                     blobs.append(_squeeze(ids[row[i]], version[row[i]], row[i].astype(np.int32), inner[i].astype(np.int64), size[i].astype(np.int64), np.where(alone[i], np.uint64(0), anchor[i] + np.uint64(1)), np.frombuffer(pool, np.uint8)))
-        return pa.table({"b": pa.array(names, pa.int32()), "chunk": pa.array([chunk] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"b": pa.array(names, pa.int64()), "chunk": pa.array([chunk] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
         chunk, blobs = table["chunk"].to_numpy(), table["blob"].to_pylist()
+        if table["b"][0].as_py() < 0:  # what a chunk has found itself
+            return pa.table({"chunk": pa.array(chunk), "hits": pa.array(blobs, pa.binary())})
         parts = [_unsqueeze(x, np.int64, np.int64, np.int32, np.int64, np.int64, np.uint64, np.uint8) for x in blobs]
         ids, version, row, inner, size, anchor = (np.concatenate([p[k] for p in parts]) for k in range(6))
         texts = [t for p in parts for t in p[6].tobytes().split(b"\n")]
@@ -362,10 +364,8 @@ def _found(chunks: DataFrame, shared: DataFrame, buckets: int, s: Settings) -> D
             out.append(_squeeze(row[w], inner[w] + first[at], count[at]))
         return pa.table({"chunk": pa.array(names, pa.int64()), "hits": pa.array(out, pa.binary())})
 
-    sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send, "b int, chunk long, blob binary")
-    sent = Scratch(chunks.sparkSession).save("sent", sent)
-    local = sent.where("b < 0").select("chunk", F.col("blob").alias("hits"))
-    return local.union(sent.where("b >= 0").groupBy("b").applyInArrow(compare, "chunk long, hits binary"))
+    sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send, "b long, chunk long, blob binary")
+    return sent.groupBy("b").applyInArrow(compare, "chunk long, hits binary")
 
 
 def seen_earlier(ids: np.ndarray, version: np.ndarray, inner: np.ndarray, size: np.ndarray, anchor: np.ndarray, texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
