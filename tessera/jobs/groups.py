@@ -59,6 +59,41 @@ def m7_tree_classify(spark, d):
     return T.tree_classify(_rows(spark, d), _tree(spark, d), NUMBERS, WORDS).select("id", "label", F.round("share", 6).alias("share"))
 
 
+def m5_gini(spark, d):
+    return T.grow_tree(_rows(spark, d), NUMBERS, WORDS, "label", 0.0001, 2, "gini").select("node", "col", "num", "word", F.round("gain", 7).alias("gain"), F.to_json("counts").alias("counts"))
+
+
+def _priced(spark, d):
+    o = table(spark, d, "orders")
+    month = F.when(F.col("o_orderkey") % 10 != 0, F.month("o_orderdate").cast("double"))
+    return o.select(F.col("o_orderkey").alias("id"), month.alias("month"), (F.col("o_custkey") % 40).cast("double").alias("desk"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice").cast("double") / 100000).alias("value"))
+
+
+def _regression(spark, d):
+    return T.grow_tree(_priced(spark, d), ["month", "desk"], ["priority", "status"], "value", 0.0, 2, "variance")
+
+
+def m5_regression(spark, d):
+    return _regression(spark, d).select("node", "col", "num", "word", F.round("gain", 6).alias("gain"), "n", F.round("mean", 6).alias("mean"))
+
+
+def m5_multiway(spark, d):
+    tree = T.grow_multiway(_rows(spark, d), NUMBERS, WORDS, "label", 0.0001, 2, 2)
+    return tree.select("node", "col", F.array_join(F.transform("nums", lambda x: x.cast("int").cast("string")), ",").alias("nums"), F.array_join("words", ",").alias("words"), F.round("gain", 7).alias("gain"), F.to_json("counts").alias("counts"))
+
+
+def m7_ranges(spark, d):
+    """Observations of a range of prices, through the tree of two levels."""
+    low = (F.col("id") % 13).cast("double")
+    rows = _rows(spark, d).withColumn("price", F.struct(low.alias("low"), (low + F.col("id") % 4).alias("high"))).drop("label")
+    tree = T.grow_tree(_rows(spark, d), NUMBERS, WORDS, "label", 0.0001, 2)
+    return T.tree_classify(rows, tree, NUMBERS, WORDS).select("id", "label", F.round("share", 6).alias("share"))
+
+
+def m7_estimate(spark, d):
+    return T.tree_estimate(_priced(spark, d), _regression(spark, d), ["month", "desk"], ["priority", "status"]).select("id", F.round("guess", 6).alias("guess"))
+
+
 def _cells(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("row"), F.col("event_type").alias("col")).agg(F.count("*").cast("double").alias("value"))
 
@@ -160,7 +195,7 @@ def w10_aligned_series(spark, d):
     return wide.unpivot(["k"], names, "ticker", "volume").select("k", "ticker", F.round("volume", 4).alias("volume"))
 
 
-QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m6_prune_tree, m7_tree_classify, a11_vector_distances, j7_all_pairs, m2_kmeans, a42_kmeans_total, s10_cluster_report, m3_hcluster, m3_hcluster_rounds, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
+QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m5_gini, m5_regression, m5_multiway, m6_prune_tree, m7_tree_classify, m7_ranges, m7_estimate, a11_vector_distances, j7_all_pairs, m2_kmeans, a42_kmeans_total, s10_cluster_report, m3_hcluster, m3_hcluster_rounds, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
 
 _R = "r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN floor(o_totalprice / 20000)::DOUBLE END AS price, month(o_orderdate)::DOUBLE AS month, o_orderpriority AS priority, o_orderstatus AS label, o_totalprice AS value FROM orders)"
 _H = "(SELECT -sum(c / t * log2(c / t)) FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS t FROM r {0} GROUP BY label))"
@@ -189,7 +224,83 @@ def _kmeans_sql(k: int, rounds: int) -> str:
     return sql
 
 
+_PRICED = "v0 AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN month(o_orderdate)::DOUBLE END AS month, (o_custkey % 40)::DOUBLE AS desk, o_orderpriority AS priority, o_orderstatus AS status, o_totalprice::DOUBLE / 100000 AS label FROM orders)"
+_LONG = "l AS (SELECT id, label, 'price' AS col, price AS num, NULL::VARCHAR AS word FROM r UNION ALL SELECT id, label, 'month', month, NULL FROM r UNION ALL SELECT id, label, 'priority', NULL, priority FROM r)"
+_LONG_PRICED = "l AS (SELECT id, label, 'month' AS col, month AS num, NULL::VARCHAR AS word FROM v0 UNION ALL SELECT id, label, 'desk', desk, NULL FROM v0 UNION ALL SELECT id, label, 'priority', NULL, priority FROM v0 UNION ALL SELECT id, label, 'status', NULL, status FROM v0)"
+_YES = "(l.num IS NULL AND l.word IS NULL OR l.num >= b.num OR l.word = b.word)"
+_NO = "(l.num IS NULL AND l.word IS NULL OR NOT (coalesce(l.num >= b.num, FALSE) OR coalesce(l.word = b.word, FALSE)))"
+
+
+def _tree_sql(depth: int, score: str, min_gain: float, base: str, long: str, rows: str) -> str:
+    """Tables of a tree, level by level: at<k>(id, node, w) where rows stand, with the weight that classification gives
+    them, and b<k> the best tests. Every test of every node is counted against all its rows."""
+    sql = f"{base}, {long}, at0 AS MATERIALIZED (SELECT id, 1::BIGINT AS node, 1.0::DOUBLE AS w FROM {rows})"
+    for k in range(depth):
+        sql += f", x{k} AS MATERIALIZED (SELECT node, l.* FROM l JOIN at{k} USING (id)), t{k} AS (SELECT DISTINCT node, col, num, word FROM x{k} WHERE num IS NOT NULL OR word IS NOT NULL)"
+        pairs = f"FROM t{k} b JOIN x{k} l ON l.node = b.node AND l.col = b.col"
+        if score == "variance":
+            sql += f", m{k} AS (SELECT b.node, b.col, b.num, b.word, count(*)::DOUBLE AS n, var_pop(l.label) AS v, count(*) FILTER (WHERE {_YES})::DOUBLE AS ty, var_pop(l.label) FILTER (WHERE {_YES}) AS vy, count(*) FILTER (WHERE {_NO}) AS tx, var_pop(l.label) FILTER (WHERE {_NO}) AS vx {pairs} GROUP BY 1, 2, 3, 4), g{k} AS (SELECT node, col, num, word, v - ty / n * vy - (1 - ty / n) * vx AS gain FROM m{k} WHERE ty > 0 AND tx > 0)"
+        else:
+            part = "sum(CASE WHEN {0} > 0 THEN -{0}/{1}*log2({0}/{1}) ELSE 0 END)" if score == "entropy" else "(1 - sum({0}/{1}*{0}/{1}))"
+            sql += f", c{k} AS (SELECT b.node, b.col, b.num, b.word, l.label, count(*) FILTER (WHERE {_YES})::DOUBLE AS y, count(*) FILTER (WHERE {_NO})::DOUBLE AS x, count(*)::DOUBLE AS a {pairs} GROUP BY 1, 2, 3, 4, 5), s{k} AS (SELECT *, sum(y) OVER w AS ty, sum(x) OVER w AS tx, sum(a) OVER w AS ta FROM c{k} WINDOW w AS (PARTITION BY node, col, num, word))"
+            sql += f", g{k} AS (SELECT node, col, num, word, {part.format('a', 'ta')} - any_value(ty/ta) * {part.format('y', 'ty')} - (1 - any_value(ty/ta)) * {part.format('x', 'tx')} AS gain FROM s{k} WHERE ty > 0 AND tx > 0 GROUP BY 1, 2, 3, 4)"
+        sql += f", b{k} AS MATERIALIZED (SELECT node, col, num, word, gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, col, num, word) AS k FROM g{k}) WHERE k = 1 AND gain > {min_gain} + 1e-9)"
+        sql += f", p{k} AS (SELECT at{k}.id, at{k}.w, b.node, CASE WHEN b.num IS NOT NULL THEN l.num >= b.num ELSE l.word = b.word END AS passed FROM at{k} JOIN b{k} b USING (node) JOIN l ON l.id = at{k}.id AND l.col = b.col)"
+        sql += f", z{k} AS MATERIALIZED (SELECT id, w, passed, node, unnest(CASE WHEN passed IS NULL THEN [2 * node, 2 * node + 1] WHEN passed THEN [2 * node] ELSE [2 * node + 1] END) AS child FROM p{k}), n{k} AS (SELECT node, child, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY node) AS both FROM z{k} GROUP BY 1, 2)"
+        sql += f", at{k + 1} AS MATERIALIZED (SELECT id, z.child AS node, CASE WHEN passed IS NULL THEN w * m.n / m.both ELSE w END AS w FROM z{k} z JOIN n{k} m ON m.node = z.node AND m.child = z.child)"
+    return sql
+
+
+def _tree_nodes_sql(depth: int, labels: bool, rows: str, digits: int) -> str:
+    """Nodes of all levels with what they tell."""
+    what = """'{' || string_agg('"' || label || '":' || c, ',' ORDER BY label) || '}' AS counts""" if labels else "sum(c)::BIGINT AS n, round(sum(s) / sum(c), 6) AS mean"
+    per = "count(*) AS c" if labels else "count(*) AS c, sum(label) AS s"
+    tests = [f"b{k}" for k in range(depth)] + ["(SELECT * FROM b0 LIMIT 0)"]
+    return " UNION ALL ".join(f"SELECT e.node, b.col, b.num, b.word, round(b.gain, {digits}) AS gain, e.* EXCLUDE (node) FROM (SELECT node, {what} FROM (SELECT node, label, {per} FROM at{k} JOIN {rows} USING (id) GROUP BY 1, 2) GROUP BY 1) e LEFT JOIN {b} b ON b.node = e.node" for k, b in enumerate(tests))
+
+
+def _leaves_sql(depth: int) -> str:
+    return " UNION ALL ".join(f"SELECT at{k}.* FROM at{k}" + (f" ANTI JOIN b{k} USING (node)" if k < depth else "") for k in range(depth + 1))
+
+
+def _ranges_sql() -> str:
+    """Observations of a range, through two levels: to both branches that it touches, by the rows of these."""
+    sql = "nodes AS (SELECT node, count(*)::DOUBLE AS n FROM (SELECT node FROM at0 UNION ALL SELECT node FROM at1 UNION ALL SELECT node FROM at2) GROUP BY 1), q0 AS (SELECT id, (id % 13)::DOUBLE AS low, (id % 13 + id % 4)::DOUBLE AS high, month, priority, 1::BIGINT AS node, 1.0::DOUBLE AS w FROM r)"
+    for k in range(2):
+        sql += f", f{k} AS (SELECT q.*, CASE WHEN b.col = 'price' THEN CASE WHEN low >= b.num THEN TRUE WHEN high < b.num THEN FALSE END WHEN b.col = 'month' THEN month >= b.num ELSE priority = b.word END AS passed FROM q{k} q JOIN b{k} b USING (node)), e{k} AS (SELECT *, unnest(CASE WHEN passed IS NULL THEN [2 * node, 2 * node + 1] WHEN passed THEN [2 * node] ELSE [2 * node + 1] END) AS child FROM f{k})"
+        sql += f", q{k + 1} AS (SELECT id, low, high, month, priority, child AS node, CASE WHEN passed IS NULL THEN w * a.n / (a.n + o.n) ELSE w END AS w FROM e{k} JOIN nodes a ON a.node = child JOIN nodes o ON o.node = xor(child, 1))"
+    return sql + ", done AS (SELECT id, node, w FROM q0 ANTI JOIN b0 USING (node) UNION ALL SELECT id, node, w FROM q1 ANTI JOIN b1 USING (node) UNION ALL SELECT id, node, w FROM q2)"
+
+
+def _multiway_sql(depth: int) -> str:
+    """A tree of up to three branches: all sets of one and two thresholds or words are tried."""
+    sql = f"{_R}, {_LONG}, at0 AS MATERIALIZED (SELECT id, 'r' AS node FROM r)"
+    branch = "CASE WHEN l.word IS NULL AND b.word1 IS NULL THEN CASE WHEN l.num >= b.num2 THEN 2 WHEN l.num >= b.num1 THEN 1 ELSE 0 END ELSE CASE WHEN l.word = b.word1 THEN 1 WHEN l.word = b.word2 THEN 2 ELSE 0 END END"
+    for k in range(depth):
+        sql += f", x{k} AS MATERIALIZED (SELECT node, l.* FROM l JOIN at{k} USING (id)), t{k} AS (SELECT DISTINCT node, col, num, word FROM x{k} WHERE num IS NOT NULL OR word IS NOT NULL)"
+        sql += f", y{k} AS MATERIALIZED (SELECT node, col, num AS num1, NULL AS num2, word AS word1, NULL AS word2, 1 AS size FROM t{k} UNION ALL SELECT a.node, a.col, a.num, b.num, a.word, b.word, 2 FROM t{k} a JOIN t{k} b ON a.node = b.node AND a.col = b.col AND (a.num < b.num OR a.word < b.word))"
+        sql += f", c{k} AS (SELECT b.node, b.col, num1, num2, word1, word2, size, {branch} AS branch, l.label, sum(c) AS c FROM y{k} b JOIN (SELECT node, col, num, word, label, count(*)::DOUBLE AS c FROM x{k} GROUP BY 1, 2, 3, 4, 5) l ON l.node = b.node AND l.col = b.col GROUP BY ALL)"
+        sql += f", s{k} AS (SELECT *, sum(c) OVER (PARTITION BY node, col, num1, num2, word1, word2, branch) AS n, sum(c) OVER (PARTITION BY node, col, num1, num2, word1, word2) AS t, sum(c) OVER (PARTITION BY node, col, num1, num2, word1, word2, label) AS whole FROM c{k})"
+        sql += f", g{k} AS (SELECT node, col, num1, num2, word1, word2, size, (sum(c * log2(c / n)) - sum(c * log2(whole / t))) / any_value(t) AS gain FROM s{k} GROUP BY ALL)"
+        sql += f", b{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, col, size, num1, num2, word1, word2) AS k FROM g{k}) WHERE k = 1 AND gain > 0.0001 + 1e-9)"
+        sql += f", at{k + 1} AS MATERIALIZED (SELECT at{k}.id, b.node || '.' || {branch} AS node FROM at{k} JOIN b{k} b USING (node) JOIN l ON l.id = at{k}.id AND l.col = b.col)"
+    counts = """'{' || string_agg('"' || label || '":' || c, ',' ORDER BY label) || '}' AS counts"""
+    tests = [f"b{k}" for k in range(depth)] + ["(SELECT * FROM b0 LIMIT 0)"]
+    return f"WITH {sql} " + " UNION ALL ".join(f"SELECT e.node, b.col, CASE WHEN num1 IS NOT NULL THEN concat_ws(',', num1::INT, num2::INT) END AS nums, CASE WHEN word1 IS NOT NULL THEN concat_ws(',', word1, word2) END AS words, round(b.gain, 7) AS gain, counts FROM (SELECT node, {counts} FROM (SELECT node, label, count(*) AS c FROM at{k} JOIN r USING (id) GROUP BY 1, 2) GROUP BY 1) e LEFT JOIN {b} b ON b.node = e.node" for k, b in enumerate(tests))
+
+
+_SIZES = "sizes AS (SELECT node, label, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY node) AS n FROM (SELECT id, node FROM leaf) JOIN r USING (id) GROUP BY 1, 2)"
+_T3, _T2 = _tree_sql(3, "entropy", 0.0001, _R, _LONG, "r"), _tree_sql(2, "entropy", 0.0001, _R, _LONG, "r")
+_TG, _TV = _tree_sql(2, "gini", 0.0001, _R, _LONG, "r"), _tree_sql(2, "variance", 0.0, _PRICED, _LONG_PRICED, "v0")
+
 ORACLE_SQL = {
+    "m5_grow_tree": f"WITH {_T3} {_tree_nodes_sql(3, True, 'r', 7)}",
+    "m5_gini": f"WITH {_TG} {_tree_nodes_sql(2, True, 'r', 7)}",
+    "m5_regression": f"WITH {_TV} {_tree_nodes_sql(2, False, 'v0', 6)}",
+    "m5_multiway": _multiway_sql(2),
+    "m7_tree_classify": f"WITH {_T3}, leaf AS ({_leaves_sql(3)}), {_SIZES} SELECT leaf.id, label, round(sum(w * c / n), 6) AS share FROM leaf JOIN sizes USING (node) GROUP BY 1, 2",
+    "m7_estimate": f"WITH {_TV}, leaf AS ({_leaves_sql(2)}), e AS (SELECT node, avg(label) AS mean FROM leaf JOIN v0 USING (id) GROUP BY 1) SELECT leaf.id, round(sum(w * mean), 6) AS guess FROM leaf JOIN e USING (node) GROUP BY 1",
+    "m7_ranges": f"WITH {_T2}, leaf AS ({_leaves_sql(2)}), {_SIZES}, {_ranges_sql()} SELECT done.id, label, round(sum(w * c / n), 6) AS share FROM done JOIN sizes USING (node) GROUP BY 1, 2",
     "a26_impurity": f"WITH {_R}, c AS (SELECT priority, label, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY priority) AS t FROM r GROUP BY 1, 2) SELECT priority, sum(c)::BIGINT AS n, round(1 - sum(c/t*c/t), 6) AS gini, round(-sum(c/t*log2(c/t)), 6) AS entropy FROM c GROUP BY 1",
     "a26_variance": f"WITH {_R} SELECT priority, count(value) AS n, round(var_pop(value) / 1e6, 3) AS variance FROM r GROUP BY 1",
     "a27_split_gain": f"WITH {_G} SELECT col, num, word, n, n_true, round(gain, 7) AS gain FROM g",
