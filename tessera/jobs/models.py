@@ -198,17 +198,34 @@ def a33_kernel_classify(spark, d):
     return K.kernel_classify(rows, rows, K.kernel_offset(rows, 1.0), 1.0)
 
 
-def m20_svm_linear(spark, d):
+def _svm_rows(spark, d, kind):
+    """Orders that differ in quantity and discount: by a line for the linear kernel, by a ring for the others."""
     rows = _scaled(spark, d)
+    x, y = F.col("features")[0], F.col("features")[1]
+    told = x + y > 1.0 if kind == "line" else (x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) > 0.06
+    return rows.select("id", "features", told.cast("int").alias("match"))
+
+
+def m20_svm_linear(spark, d):
+    rows = _svm_rows(spark, d, "line")
     return K.svm(rows.where("id % 20 <> 0"))(rows)
 
 
+def m20_svm_polynomial(spark, d):
+    rows = _svm_rows(spark, d, "ring")
+    return K.svm(rows.where("id % 20 <> 0"), "polynomial")(rows)
+
+
 def m20_svm_rbf(spark, d):
-    rows = _scaled(spark, d)
-    return K.svm(rows.where("id % 20 <> 0"), "rbf", 2.0)(rows)
+    rows = _svm_rows(spark, d, "ring")
+    return K.svm(rows.where("id % 20 <> 0"), "rbf", 4.0)(rows)
+
+
+def m20_svm_folds(spark, d):
+    return K.svm_folds(_svm_rows(spark, d, "ring"), 3, "polynomial")
 
 
-QUERIES = {f.__name__: f for f in (w4_knn, w5_knn_estimate, w5_weighted_knn, j11_range_probability, w6_probability_curve, p17_numeric_pairs, p18_rescale, p19_minmax_scale, p20_kernels, p21_weights, p22_region_of_state, p23_wine_price, p25_synthetic_wine, p25_hidden_sets, a34_error_rate, m8_cross_validate, m8_trials, m8_hold_out, m8_mean, m9_tune, m9_scales, m9_scale_search, a29_interest_counts, a30_class_centroids, a31_linear_classify, a32_kernel_offset, a33_kernel_classify, m20_svm_linear, m20_svm_rbf)}
+QUERIES = {f.__name__: f for f in (w4_knn, w5_knn_estimate, w5_weighted_knn, j11_range_probability, w6_probability_curve, p17_numeric_pairs, p18_rescale, p19_minmax_scale, p20_kernels, p21_weights, p22_region_of_state, p23_wine_price, p25_synthetic_wine, p25_hidden_sets, a34_error_rate, m8_cross_validate, m8_trials, m8_hold_out, m8_mean, m9_tune, m9_scales, m9_scale_search, a29_interest_counts, a30_class_centroids, a31_linear_classify, a32_kernel_offset, a33_kernel_classify, m20_svm_linear, m20_svm_polynomial, m20_svm_rbf, m20_svm_folds)}
 
 _DIST = "list_sum(list_transform(generate_series(1, len(a.e)), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))"
 _V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label::DOUBLE AS result FROM embeddings)"

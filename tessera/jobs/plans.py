@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import expressions as E
 from tessera.operators import plans as P
+from tessera.shared import save
 from tessera.sources.tables import table
 
 HUB = "HUB"
@@ -17,7 +18,7 @@ def _flights(spark, d):
     there = F.col("l_orderkey") % 2 == 0
     depart = (300 + F.col("l_partkey") % 900).cast("int")
     rows = li.select(F.when(there, place).otherwise(HUB).alias("origin"), F.when(there, F.lit(HUB)).otherwise(place).alias("dest"), depart.alias("depart_min"), (depart + 60 + 3 * F.col("l_quantity")).cast("int").alias("arrive_min"), F.floor(F.col("l_extendedprice") / 500).cast("int").alias("price"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return P.numbered_flights(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]).where("idx < 10").select("origin", "dest", "idx", "depart_min", "arrive_min", "price")
+    return P.numbered_flights(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]).select("origin", "dest", "idx", "depart_min", "arrive_min", "price")
 
 
 def _people(spark):
@@ -26,7 +27,17 @@ def _people(spark):
 
 def _candidates(spark, d):
     n = table(spark, d, "part").select(F.col("p_partkey").alias("cand_id"))
-    return n.select("cand_id", F.array(*[((F.col("cand_id") * (i + 7) + i) % 9).cast("int") for i in range(12)]).alias("genes"))
+    return n.select("cand_id", _genes(F.col("cand_id")))
+
+
+def _genes(key):
+    """Twelve numbers of no route in particular."""
+    return F.array(*[((key * (7_919 * i + 101) + 31 * i) % 1_000_003).cast("int") for i in range(12)]).alias("genes")
+
+
+def _plan(spark, d, candidates):
+    flights = save(_flights(spark, d))
+    return P.plan_flights(P.wrapped(candidates, _people(spark), flights, HUB), _people(spark), flights, HUB)
 
 
 def s5_flights(spark, d):
@@ -34,12 +45,18 @@ def s5_flights(spark, d):
 
 
 def j9_plan_flights(spark, d):
-    plan = P.plan_flights(_candidates(spark, d), _people(spark), _flights(spark, d), HUB)
+    plan = _plan(spark, d, _candidates(spark, d))
     return plan.select("cand_id", "name", F.col("out.price").alias("out_price"), F.col("back.depart_min").alias("back_depart"))
 
 
 def _cost(spark, d):
-    return lambda c: P.plan_cost(P.plan_flights(c, _people(spark), _flights(spark, d), HUB))
+    flights = save(_flights(spark, d))
+    return lambda c: P.plan_cost(P.plan_flights(P.wrapped(c, _people(spark), flights, HUB), _people(spark), flights, HUB))
+
+
+def _most(spark, d):
+    """The largest number of a flight of any route."""
+    return _flights(spark, d).agg(F.max("idx")).first()[0] or 0
 
 
 def a36_plan_cost(spark, d):
@@ -51,7 +68,7 @@ def w11_cheapest_plan(spark, d):
 
 
 def j14_plan_detail(spark, d):
-    return P.plan_detail(P.plan_flights(_candidates(spark, d), _people(spark), _flights(spark, d), HUB), w11_cheapest_plan(spark, d))
+    return P.plan_detail(_plan(spark, d, _candidates(spark, d)), w11_cheapest_plan(spark, d))
 
 
 ROOMS = ["A", "B", "C", "D", "E"]
@@ -82,21 +99,21 @@ def a38_layout_cost(spark, d):
 
 def m10_random_search(spark, d):
     n = table(spark, d, "part").count()
-    return P.cheapest_plan(_cost(spark, d)(P.random_candidates(spark, n, 12, 8)))
+    return P.cheapest_plan(_cost(spark, d)(P.random_candidates(spark, n, 12, _most(spark, d))))
 
 
 def m11_hill_climb(spark, d):
-    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("start"), F.array(*[((F.col("s_suppkey") * (i + 7) + i) % 9).cast("int") for i in range(12)]).alias("genes"))
-    return P.hill_climb(starts, _cost(spark, d), 8, 3).select("start", F.array_join("genes", ",").alias("genes"), F.col("cost").cast("double").alias("cost"))
+    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("start"), _genes(F.col("s_suppkey")))
+    return P.hill_climb(starts, _cost(spark, d), 1_000_002, 3).select("start", F.array_join("genes", ",").alias("genes"), F.col("cost").cast("double").alias("cost"))
 
 
 def m12_anneal(spark, d):
-    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("start"), F.array(*[((F.col("s_suppkey") * (i + 7) + i) % 9).cast("int") for i in range(12)]).alias("genes"))
-    return P.anneal(starts, _cost(spark, d), 8, cool=0.05).select("start", F.array_join("genes", ",").alias("genes"), F.col("cost").cast("double").alias("cost"))
+    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("start"), _genes(F.col("s_suppkey")))
+    return P.anneal(starts, _cost(spark, d), 1_000_002, cool=0.05).select("start", F.array_join("genes", ",").alias("genes"), F.col("cost").cast("double").alias("cost"))
 
 
 def m13_genetic(spark, d):
-    return P.genetic(spark, _cost(spark, d), 12, 8, rounds=3).select("cand_id", F.array_join("genes", ",").alias("genes"), F.col("cost").cast("double").alias("cost"))
+    return P.genetic(spark, _cost(spark, d), 12, _most(spark, d), rounds=3).select("cand_id", F.array_join("genes", ",").alias("genes"), F.col("cost").cast("double").alias("cost"))
 
 
 def _hidden(spark, d):
@@ -127,9 +144,10 @@ QUERIES = {f.__name__: f for f in (s5_flights, j9_plan_flights, a36_plan_cost, w
 
 _F = """f AS (SELECT * FROM (SELECT origin, dest, depart_min, arrive_min, price, row_number() OVER (PARTITION BY origin, dest ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, price)::INT - 1 AS idx FROM (
   SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'N' || ((l_suppkey % 6)::VARCHAR) ELSE 'HUB' END AS origin, CASE WHEN l_orderkey % 2 = 0 THEN 'HUB' ELSE 'N' || ((l_suppkey % 6)::VARCHAR) END AS dest, (300 + l_partkey % 900)::INT AS depart_min,
-  (300 + l_partkey % 900 + 60 + 3 * l_quantity)::INT AS arrive_min, floor(l_extendedprice / 500)::INT AS price, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)) WHERE idx < 10)"""
-_PLAN = _F + """, g AS (SELECT p_partkey AS cand_id, i // 2 AS pos, i % 2 AS way, ((p_partkey * (i + 7) + i) % 9)::INT AS idx FROM part, generate_series(0, 11) t(i)),
-pl AS (SELECT g.cand_id, g.pos, g.way, f.depart_min, f.arrive_min, f.price FROM g JOIN f ON f.idx = g.idx AND f.origin = CASE WHEN way = 0 THEN 'N' || (pos::VARCHAR) ELSE 'HUB' END AND f.dest = CASE WHEN way = 0 THEN 'HUB' ELSE 'N' || (pos::VARCHAR) END),
+  (300 + l_partkey % 900 + 60 + 3 * l_quantity)::INT AS arrive_min, floor(l_extendedprice / 500)::INT AS price, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)))"""
+_PLAN = _F + """, g AS (SELECT p_partkey AS cand_id, i // 2 AS pos, i % 2 AS way, (p_partkey * (7919 * i + 101) + 31 * i) % 1000003 AS gene FROM part, generate_series(0, 11) t(i)),
+rn AS (SELECT origin, dest, count(*) AS n FROM f GROUP BY 1, 2),
+pl AS (SELECT g.cand_id, g.pos, g.way, f.depart_min, f.arrive_min, f.price FROM g JOIN rn ON rn.origin = CASE WHEN way = 0 THEN 'N' || (pos::VARCHAR) ELSE 'HUB' END AND rn.dest = CASE WHEN way = 0 THEN 'HUB' ELSE 'N' || (pos::VARCHAR) END JOIN f ON f.idx = g.gene % rn.n AND f.origin = CASE WHEN way = 0 THEN 'N' || (pos::VARCHAR) ELSE 'HUB' END AND f.dest = CASE WHEN way = 0 THEN 'HUB' ELSE 'N' || (pos::VARCHAR) END),
 p2 AS (SELECT o.cand_id, 'P' || (o.pos::VARCHAR) AS name, o.depart_min AS od, o.arrive_min AS oa, o.price AS op, b.depart_min AS bd, b.arrive_min AS ba, b.price AS bp FROM pl o JOIN pl b ON b.cand_id = o.cand_id AND b.pos = o.pos WHERE o.way = 0 AND b.way = 1),
 cost AS (SELECT cand_id, (sum(op + bp) + 0.5 * sum(oa - od + ba - bd) + 20 * sum((od < 480)::INT + (bd < 480)::INT) + count(*) * max(oa) - sum(oa) + sum(bd) - count(*) * min(bd) + CASE WHEN max(oa) > min(bd) THEN 50 ELSE 0 END)::DOUBLE AS cost FROM p2 GROUP BY 1)"""
 _LAY = """l AS (SELECT s_suppkey AS cand_id, 'n' || (i::VARCHAR) AS name, 20.0::DOUBLE + (s_suppkey * (i + 3) * 37 + i * 91) % 360 AS x, 20.0::DOUBLE + (s_suppkey * (i + 5) * 53 + i * 17) % 360 AS y FROM supplier, generate_series(0, 7) t(i)),

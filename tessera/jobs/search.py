@@ -29,7 +29,7 @@ def p24_links(spark, d):
 
 
 def j2_match_postings(spark, d):
-    rows = S.match_postings(_index(spark, d), ["for", "from"])
+    rows = S.match_postings(_index(spark, d), ["for", "zzxqj", "from"])  # the second is in no text
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("loc0") + F.col("loc1")).alias("places"))
 
 

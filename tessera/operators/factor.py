@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shared import save as _durable
+
 EPS = 1e-26
 
 
@@ -66,10 +68,6 @@ def nmf_step(cells: DataFrame, rows: DataFrame, cols: DataFrame, k: int) -> tupl
     return rows, cols
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def nmf_cost(cells: DataFrame, rows: DataFrame, cols: DataFrame, k: int) -> float:
     """Squared error without the dense product: sum V^2 - 2 sum V.WH + trace(W'W HH')."""
     a = cells.join(rows.select(F.col("key").alias("row"), F.col("f").alias("fr")), "row").join(cols.select(F.col("key").alias("col"), F.col("f").alias("fc")), "col")

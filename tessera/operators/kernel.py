@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import dot, sq_length
+from tessera.shared import save
 
 
 def interest_counts(pairs: DataFrame) -> DataFrame:
@@ -64,14 +65,13 @@ def kernel_classify(points: DataFrame, rows: DataFrame, offset: DataFrame, gamma
     return sums.select("id", F.when(F.col("s0") / F.col("n0") - F.col("s1") / F.col("n1") + F.col("offset") > 0, 0).otherwise(1).alias("guess"))
 
 
-def svm(rows: DataFrame, kernel: str = "linear", gamma: float = 1.0, features: int = 64, seed: int = 1):
-    """A support-vector classifier of rows(features, match): linear, polynomial of degree 2, or rbf by random
-    Fourier features. Returns a function from rows(id, features) to (id, guess)."""
-    from pyspark.ml.classification import LinearSVC
+def _svm_map(rows: DataFrame, kernel: str, gamma: float, features: int, seed: int):
+    """A function from rows(features) to rows with a vector v whose dot product stands for the kernel."""
     from pyspark.ml.feature import PolynomialExpansion
     from pyspark.ml.functions import array_to_vector
 
-    width = rows.select(F.size("features")).first()[0]
+    first = rows.select(F.size("features")).first()
+    width = first[0] if first else 0
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, np.sqrt(2 * gamma), (features, width)), rng.uniform(0, 2 * np.pi, features)
 
@@ -80,7 +80,39 @@ def svm(rows: DataFrame, kernel: str = "linear", gamma: float = 1.0, features: i
         if kernel == "rbf":
             x = F.array(*[F.cos(dot(x, F.array(*[F.lit(float(c)) for c in w[i]])) + float(b[i])) * float(np.sqrt(2 / features)) for i in range(features)])
         df = df.withColumn("x", array_to_vector(x))
-        return PolynomialExpansion(degree=2, inputCol="x", outputCol="v").transform(df) if kernel == "polynomial" else df.withColumnRenamed("x", "v")
+        return PolynomialExpansion(degree=2, inputCol="x", outputCol="v").transform(df).drop("x") if kernel == "polynomial" else df.withColumnRenamed("x", "v")
+
+    if kernel not in ("linear", "polynomial", "rbf"):
+        raise ValueError(f"no kernel {kernel}")
+    return mapped
 
-    model = LinearSVC(featuresCol="v", labelCol="label", maxIter=30, regParam=0.01).fit(mapped(rows.withColumn("label", F.col("match").cast("double"))))
+
+def svm(rows: DataFrame, kernel: str = "linear", gamma: float = 1.0, features: int = 64, seed: int = 1, rounds: int = 30, penalty: float = 0.0001):
+    """A support-vector classifier of rows(features, match): linear, polynomial of degree 2, or rbf by random
+    Fourier features. Returns a function from rows(id, features) to (id, guess). The mapped rows are written to the
+    shared folder, and the fit reads them there, round by round. Rows of one class alone are told to be of that class."""
+    from pyspark.ml.classification import LinearSVC
+
+    mapped = _svm_map(rows, kernel, gamma, features, seed)
+    ready = save(mapped(rows.select("features", F.col("match").cast("double").alias("label"))).select("v", "label"))
+    least, most = ready.agg(F.min("label"), F.max("label")).first()
+    if least is None:
+        raise ValueError("no rows to learn from")
+    if least == most:
+        return lambda points: points.select("id", F.lit(int(least)).alias("guess"))
+    model = LinearSVC(featuresCol="v", labelCol="label", maxIter=rounds, regParam=penalty).fit(ready)
     return lambda points: model.transform(mapped(points)).select("id", F.col("prediction").cast("int").alias("guess"))
+
+
+def svm_folds(rows: DataFrame, folds: int, kernel: str = "linear", **settings) -> DataFrame:
+    """(fold, n, accuracy, majority) of rows(id, features, match): a model for each fold of a hash of the ids, learnt
+    from the others and judged on it, beside the share of the fold's larger class."""
+    rows = save(rows.select("id", "features", F.col("match").cast("int").alias("match"), F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int").alias("fold")))
+    told = None
+    for k in range(folds):
+        test = rows.where(F.col("fold") == k)
+        guess = svm(rows.where(F.col("fold") != k), kernel, **settings)(test).join(test.select("id", "match", "fold"), "id")
+        told = guess if told is None else told.unionByName(guess)
+    share = F.avg((F.col("guess") == F.col("match")).cast("double"))
+    ones = F.avg(F.col("match").cast("double"))
+    return told.groupBy("fold").agg(F.count("*").alias("n"), share.alias("accuracy"), F.greatest(ones, 1 - ones).alias("majority"))

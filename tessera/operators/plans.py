@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def numbered_flights(flights: DataFrame, order: list[str]) -> DataFrame:
-    """Flights with idx, their place (from 0) within origin and destination in a given order."""
-    return flights.withColumn("idx", F.row_number().over(Window.partitionBy("origin", "dest").orderBy(*order)) - 1)
+from tessera.shared import save as _durable
+
+
+def numbered_flights(flights: DataFrame, order: list[str], chunks: int = 512) -> DataFrame:
+    """Flights with idx, their place (from 0) within origin and destination in a given order, whose first column is a
+    number. Chunks of that order are numbered apart, from where the chunks before them end, so that no task sorts a route."""
+    at = [i / chunks for i in range(1, chunks)]
+    bounds = flights.agg(F.array_distinct(F.percentile_approx(order[0], at, 10_000)).alias("bounds"))  # one row
+    key = F.col(order[0])
+    cut = flights.join(F.broadcast(bounds)).withColumn("chunk", F.coalesce(F.size(F.filter("bounds", lambda b: b <= key)), F.lit(-1))).drop("bounds")
+    sizes = cut.groupBy("origin", "dest", "chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("origin", "dest").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("origin", "dest", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("origin", "dest", "chunk").orderBy(*order)) - 1
+    return cut.withColumn("place", place).join(starts, ["origin", "dest", "chunk"]).withColumn("idx", (F.col("start") + F.col("place")).cast("int")).drop("chunk", "place", "start")
+
+
+def wrapped(candidates: DataFrame, people: DataFrame, flights: DataFrame, dest: str) -> DataFrame:
+    """Candidates whose genes count on from a route's first flight after its last one, so that any whole number picks a
+    flight of any route. A route without flights keeps its genes."""
+    sizes = flights.groupBy("origin", "dest").agg(F.count("*").alias("n"))
+    genes = candidates.select("cand_id", F.posexplode("genes").alias("g", "gene")).withColumn("pos", F.floor(F.col("g") / 2))
+    there = F.col("g") % 2 == 0
+    rows = genes.join(people.select("pos", F.col("origin").alias("home")), "pos")
+    rows = rows.select("cand_id", "g", "gene", F.when(there, F.col("home")).otherwise(F.lit(dest)).alias("origin"), F.when(there, F.lit(dest)).otherwise(F.col("home")).alias("dest"))
+    rows = rows.join(sizes, ["origin", "dest"], "left").select("cand_id", "g", F.coalesce(F.pmod("gene", "n"), "gene").cast("int").alias("gene"))
+    return rows.groupBy("cand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "gene"))), lambda x: x["gene"]).alias("genes"))
 
 
 def plan_flights(candidates: DataFrame, people: DataFrame, flights: DataFrame, dest: str) -> DataFrame:
@@ -153,7 +176,3 @@ def genetic(spark, cost, genes: int, most: int, population: int = 50, elite: flo
         made = F.when(F.col("mutate"), F.transform("ga", lambda g, i: F.when(i == F.col("at"), F.greatest(F.least(g + F.col("way"), F.lit(most)), F.lit(0))).otherwise(g))).otherwise(F.concat(F.slice("ga", F.lit(1), F.col("at")), F.slice("gb", F.col("at") + 1, F.lit(genes))))
         people = _durable(ranked.select(F.col("rank").cast("long").alias("cand_id"), "genes").unionByName(drawn.select("cand_id", made.alias("genes"))))
     return people
-
-
-def _durable(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()

@@ -67,8 +67,11 @@ def pagerank(nodes: DataFrame, links: DataFrame, rounds: int = 20, damping: floa
 
 def match_postings(index: DataFrame, words: list[str], key: str = "doc_id", phrase: bool = False) -> DataFrame:
     """(key, loc0, loc1, ...): all combinations of places of the words in a page; with phrase, only places
-    in a row, joined on the place, so that nothing multiplies. Words are not lowered; no words give no rows."""
-    words = [w for w in words if w]
+    in a row, joined on the place, so that nothing multiplies. Words are not lowered. Words that the index does not have
+    are skipped; no word that it has gives no rows."""
+    wanted = [w for w in words if w]
+    have = {r["word"] for r in index.where(F.col("word").isin(wanted)).select("word").distinct().collect()} if wanted else set()  # at most the words asked for
+    words = [w for w in wanted if w in have]
     if not words:
         return index.select(key, F.col("location").alias("loc0")).limit(0)
     out = None

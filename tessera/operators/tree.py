@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.shared import Scratch
+from tessera.shared import Scratch, save
 
 
 def impurity(rows: DataFrame, by: list[str], label: str = "label") -> DataFrame:
@@ -211,7 +211,7 @@ def prune_tree(nodes: DataFrame, min_gain: float, literal: bool = False) -> Data
         kept = nodes.join(gone, keys, "left_anti").join(merged, keys, "left")
         cut = F.col("merged").isNotNull()
         nodes = kept.select("tree", "node", *[F.when(~cut, F.col(c)).alias(c) for c in ("col", "num", "word", "gain")], F.coalesce("merged", "counts").alias("counts"))
-        nodes = nodes.checkpoint() if nodes.sparkSession.conf.get("spark.checkpoint.dir", None) else nodes.persist()
+        nodes = save(nodes)
 
 
 def _reached(rows: DataFrame, nodes: DataFrame, numbers: list[str], words: list[str], depth: int) -> DataFrame:

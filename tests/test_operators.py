@@ -47,7 +47,10 @@ def test_phrase_needs_neighbours(spark):
     index = search.postings(docs, "doc_id")
     assert [r["doc_id"] for r in search.match_postings(index, ["bank", "america"], phrase=True).collect()] == [2]
     assert search.match_postings(index, ["bank", "america"]).count() == 2
-    assert search.match_postings(index, ["bank", "nothing"]).count() == 0
+    known = search.match_postings(index, ["bank"]).collect()
+    assert known and search.match_postings(index, ["bank", "nothing"]).collect() == known
+    assert sorted(r["doc_id"] for r in search.match_postings(index, ["nothing", "bank", "never", "america"], phrase=True).collect()) == [2]
+    assert search.match_postings(index, ["nothing"]).count() == 0 and search.match_postings(index, []).count() == 0
 
 
 def test_click_makes_its_url_rise(spark):
