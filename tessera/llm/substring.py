@@ -371,6 +371,7 @@ def _found(chunks: DataFrame, shared: DataFrame, buckets: int, s: Settings) -> D
 def seen_earlier(ids: np.ndarray, version: np.ndarray, inner: np.ndarray, size: np.ndarray, anchor: np.ndarray, texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, first window, windows) of the windows of runs that occur at an earlier place (id, version, start)."""
     hits: list[tuple[int, int, int]] = []
+    twins: dict[int, list[int]] = {}  # runs at the same place of equal rows
     order = np.lexsort((inner, version, ids, anchor)).tolist()
     shard: list[list[int]] = []
     words = 0
@@ -406,6 +407,8 @@ def seen_earlier(ids: np.ndarray, version: np.ndarray, inner: np.ndarray, size:
                 different.append(i)
             elif (ids[e], version[e], inner[e]) < (ids[i], version[i], inner[i]):
                 hits.append((i, 0, int(size[i])))
+            else:
+                twins.setdefault(e, []).append(i)
         # a run alone under its anchor has no partner, and anchor 0 has single windows, which are equal or not
         if len(different) > 1 and anchor[order[at]]:
             shard.append(different)
@@ -415,6 +418,7 @@ def seen_earlier(ids: np.ndarray, version: np.ndarray, inner: np.ndarray, size:
                 words = 0
         at = to
     judge()
+    hits += [(i, first, count) for e, first, count in hits for i in twins.get(e, ())]
     found = np.array(hits, np.int64).reshape(-1, 3)
     return found[:, 0], found[:, 1], found[:, 2]
 
