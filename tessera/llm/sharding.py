@@ -41,19 +41,20 @@ def assign_shards(docs: DataFrame, shards: int = 24, rows_per_chunk: int = 50_00
     Returns doc_id, size (UTF-8 bytes of the text and 8, a null text has none), text_crc32, law, shard,
     slot (gapless from 0 within a shard) and grown_shard (the shard if one more is appended). A null
     doc_id hashes as a key of its own. Copies of a text are told apart by doc_id, so a large group of
-    copies spreads over all shards. Slots need no shard in one task: a shard is cut into chunks by a hash,
-    the chunks are counted (map-side combined), and each row's slot is its chunk's start and its number in it.
+    copies spreads over all shards. Slots need no shard in one task: a shard is cut into chunks by a hash of
+    id and text, so that rows of one id or none spread over them; the chunks are counted (map-side combined), and each row's slot is its chunk's start and its number in it.
     """
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
     )
     chunks = groups_for(docs.count(), shards * rows_per_chunk, 16)
-    chunk = F.pmod(F.hash(F.coalesce("doc_id", F.lit(-1)), F.lit(7)), F.lit(chunks))
-    rows = rows.select("*", shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"), chunk.alias("_chunk"))
-    counted = docs.select(shard_of(key, shards).alias("shard"), chunk.alias("_chunk")).groupBy("shard", "_chunk").count()
+    chunk_of = lambda c: F.pmod(F.hash(F.coalesce("doc_id", F.lit(-1)), c, F.lit(7)), F.lit(chunks))
+    rows = rows.select("*", shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"), chunk_of(F.col("text_crc32")).alias("_chunk"))
+    counted = docs.select(shard_of(key, shards).alias("shard"), chunk_of(crc).alias("_chunk")).groupBy("shard", "_chunk").count()
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("shard", "_chunk").orderBy("doc_id", "size", "text_crc32")
