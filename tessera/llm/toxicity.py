@@ -147,7 +147,8 @@ def features(text: str | None, m: Model, cache: dict) -> list[int]:
 def hits_of(low: str, m: Model, kinds: dict) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the hits of a lowered text; `kinds` remembers words."""
     hits = []
-    for w in set(WORD.findall(low)):
+    for at in WORD.finditer(low):
+        w = at.group()
         k = kinds.get(w)
         if k is None:
             k = kind_of(w, m)
@@ -155,8 +156,8 @@ def hits_of(low: str, m: Model, kinds: dict) -> list[tuple[int, int, int]]:
                 kinds.clear()
             kinds[w] = k
         if k >= 0:
-            hits.append((w, k))
-    return [(at.start(), at.end(), k) for w, k in hits for at in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", low)]
+            hits.append((at.start(), at.end(), k))
+    return hits
 
 
 def kind_of(word: str, m: Model) -> int:
@@ -171,9 +172,14 @@ def kind_of(word: str, m: Model) -> int:
 
 def context(low: str, start: int, end: int, window: int) -> tuple[set[str], bool]:
     """Words and quotation marks around a hit, on its line, told apart by side; and whether it stands in a quotation: a
-    mark opens before it after a word of speech, or as one, and one closes after it."""
-    left = low[max(0, start - window) : start].rpartition("\n")[2]
-    right = low[end : end + window].partition("\n")[0]
+    mark opens before it after a word of speech, or as one, and one closes after it. A word that the window cuts is none."""
+    first, last = max(0, start - window), min(len(low), end + window)
+    while first < start and first and low[first - 1].isalnum() and low[first].isalnum():
+        first += 1
+    while last > end and last < len(low) and low[last].isalnum() and low[last - 1].isalnum():
+        last -= 1
+    left = low[first:start].rpartition("\n")[2]
+    right = low[end:last].partition("\n")[0]
     around = {f"<{w}" for w in WORD.findall(left)} | {f">{w}" for w in WORD.findall(right)}
     around |= {f"<{q}" for q in QUOTES if q in left} | {f">{q}" for q in QUOTES if q in right}
     return around, any(q in left for q in QUOTES) and any(q in right for q in QUOTES) and MENTION.search(left) is not None

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import phrases, substring, suffix, variants
+from tessera.llm import packing, phrases, sharding, substring, suffix, toxicity, variants
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -213,3 +213,4 @@ def test_packed_arrays_come_back():
     arrays = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.int32), np.array([1, 2], np.uint8)]
     back = suffix._unsqueeze(suffix._squeeze(*arrays), np.uint64, np.int32, np.uint8)
     assert all(np.array_equal(a, b) for a, b in zip(arrays, back))
+
