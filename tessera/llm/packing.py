@@ -130,12 +130,21 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: i
     return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def least_bins(lengths: np.ndarray, size: int) -> int:
+    """What no packing can do with less: the volume, and for each k the pieces of which no bin holds more than k."""
+    out = -(-int(lengths.sum()) // size)
+    for k in range(1, 8):
+        out = max(out, -(-int((lengths * (k + 1) > size).sum()) // k))
+    return out
+
+
 def pack(lengths: np.ndarray, size: int, rounds: int = 40) -> list[list[int]]:
     """Bins of indices, each of at most `size` in all: best fit in falling order, then a local search.
 
     The search takes one underfull bin after another, the emptiest first, and tries to place its pieces in
     other underfull bins: a move where a gap is wide enough, an exchange of one piece for a shorter one, or of
-    one for two shorter ones, whichever raises the sum of squared fills. A bin that empties is saved.
+    one for two shorter ones, whichever raises the sum of squared fills. A bin that empties is saved. It ends where no
+    packing can do with fewer bins, so that pieces which can't share bins are not searched at all.
     """
     order = np.argsort(-lengths, kind="stable")
     bins: list[list[int]] = []
@@ -152,8 +161,9 @@ def pack(lengths: np.ndarray, size: int, rounds: int = 40) -> list[list[int]]:
         if room > n:
             insort(gaps, (room - n, b))
     under = {b: size - room for room, b in gaps}
+    least = least_bins(lengths, size)
     for _ in range(rounds):
-        if not _improve(bins, under, lengths, size):
+        if sum(map(bool, bins)) <= least or not _improve(bins, under, lengths, size):
             break
     return [b for b in bins if b]
 
