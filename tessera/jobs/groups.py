@@ -127,6 +127,15 @@ def m2_kmeans(spark, d):
     return C.kmeans(_vectors(spark, d), _start(spark, d, 6), 3)[0].select("id", "cluster", F.round("d", 6).alias("d"))
 
 
+def m2_kmeans_pearson(spark, d):
+    return C.kmeans(_vectors(spark, d), _start(spark, d, 6), 3, "pearson")[0].select("id", "cluster", F.round("d", 6).alias("d"))
+
+
+def m2_kmeans_random(spark, d):
+    """From eight random centroids in the ranges of the columns, until nothing moves."""
+    return C.kmeans(_vectors(spark, d), 8, 20)[0].select("id", "cluster", F.round("d", 6).alias("d"))
+
+
 def a42_kmeans_total(spark, d):
     rows = None
     for k in (4, 8):
@@ -155,6 +164,14 @@ def m3_hcluster_rounds(spark, d):
     return C.hcluster(_nation_vectors(spark, d), "straight", all_nearest=True).select("id", "left", "right", F.round("distance", 6).alias("distance"), "round")
 
 
+def m3_heights(spark, d):
+    """A tree of merges over the keys of parts: -k merges 2k and 2k + 1, which are merges themselves as far as keys go."""
+    parts = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_retailprice").cast("double") / 1000).alias("distance"))
+    child = lambda c: F.when(c <= F.col("n"), -c).otherwise(c)
+    merges = parts.join(F.broadcast(parts.agg(F.max("k").alias("n")))).select((-F.col("k")).alias("id"), child(F.col("k") * 2).alias("left"), child(F.col("k") * 2 + 1).alias("right"), "distance")
+    return C.heights(merges).select("id", "height", F.round("depth", 6).alias("depth"))
+
+
 def m4_mds(spark, d):
     return C.mds(_nation_vectors(spark, d), "pearson", rounds=3)
 
@@ -195,7 +212,7 @@ def w10_aligned_series(spark, d):
     return wide.unpivot(["k"], names, "ticker", "volume").select("k", "ticker", F.round("volume", 4).alias("volume"))
 
 
-QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m5_gini, m5_regression, m5_multiway, m6_prune_tree, m7_tree_classify, m7_ranges, m7_estimate, a11_vector_distances, j7_all_pairs, m2_kmeans, a42_kmeans_total, s10_cluster_report, m3_hcluster, m3_hcluster_rounds, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
+QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m5_gini, m5_regression, m5_multiway, m6_prune_tree, m7_tree_classify, m7_ranges, m7_estimate, a11_vector_distances, j7_all_pairs, m2_kmeans, m2_kmeans_pearson, m2_kmeans_random, m3_heights, a42_kmeans_total, s10_cluster_report, m3_hcluster, m3_hcluster_rounds, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
 
 _R = "r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN floor(o_totalprice / 20000)::DOUBLE END AS price, month(o_orderdate)::DOUBLE AS month, o_orderpriority AS priority, o_orderstatus AS label, o_totalprice AS value FROM orders)"
 _H = "(SELECT -sum(c / t * log2(c / t)) FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS t FROM r {0} GROUP BY label))"
@@ -214,9 +231,12 @@ _BOTH = "list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] <>
 _EITHER = "list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] <> 0 OR y[i] <> 0)::INT))"
 
 
-def _kmeans_sql(k: int, rounds: int) -> str:
+def _kmeans_sql(k: int, rounds: int, distance: str = "squares") -> str:
     sql = f"v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings), c0 AS MATERIALIZED (SELECT id AS cluster, f FROM v ORDER BY id LIMIT {k})"
     dist = "list_sum(list_transform(generate_series(1, len(v.f)), lambda i: (v.f[i] - c.f[i]) * (v.f[i] - c.f[i])))"
+    if distance == "pearson":
+        den = "sqrt(greatest((list_dot_product(v.f, v.f) - pow(list_sum(v.f), 2) / len(v.f)) * (list_dot_product(c.f, c.f) - pow(list_sum(c.f), 2) / len(v.f)), 0))"
+        dist = f"(CASE WHEN {den} > 1e-12 THEN 1 - (list_dot_product(v.f, c.f) - list_sum(v.f) * list_sum(c.f) / len(v.f)) / {den} ELSE 0 END)"
     for r in range(rounds + 1):
         sql += f", a{r} AS MATERIALIZED (SELECT id, f, cluster, d2 FROM (SELECT v.id, v.f, c.cluster, {dist} AS d2, row_number() OVER (PARTITION BY v.id ORDER BY round({dist}, 12), c.cluster) AS k FROM v, c{r} c) WHERE k = 1)"
         if r < rounds:
@@ -312,6 +332,10 @@ SELECT array_to_string(list_transform(any_value(cuts), lambda x: x::INT::VARCHAR
 round(1 - list_sum(list_transform(generate_series(1, len(x)), lambda i: sqrt(x[i]*x[i]+y[i]*y[i])))/n, 6) AS pythagoras, round(1 - list_sum(list_transform(generate_series(1, len(x)), lambda i: abs(x[i]-y[i])))/n, 6) AS manhattan FROM p""",
     "j7_all_pairs": f"WITH {_E} SELECT i, j, round(sqrt({_D2}), 6) AS d FROM p",
     "m2_kmeans": f"WITH {_kmeans_sql(6, 3)} SELECT id, cluster, round(sqrt(d2), 6) AS d FROM a3",
+    "m3_heights": """WITH RECURSIVE m AS (SELECT p_partkey AS k, p_retailprice::DOUBLE / 1000 AS d FROM part WHERE p_partkey > 0), s AS (SELECT k, c, d, (SELECT max(k) FROM m) AS n FROM (SELECT k, unnest([2 * k, 2 * k + 1]) AS c, d FROM m)),
+w AS (SELECT k AS root, k AS node, FALSE AS leaf, 0.0::DOUBLE AS far FROM m UNION ALL SELECT w.root, s.c, s.c > s.n, w.far + s.d FROM w JOIN s ON s.k = w.node WHERE NOT w.leaf)
+SELECT -root AS id, count(*) FILTER (WHERE leaf) AS height, round(max(far), 6) AS depth FROM w GROUP BY 1""",
+    "m2_kmeans_pearson": f"WITH {_kmeans_sql(6, 3, 'pearson')} SELECT id, cluster, round(d2, 6) AS d FROM a3",
     "s10_cluster_report": f"WITH {_kmeans_sql(6, 3)} SELECT cluster, 'v' || (id::VARCHAR) AS label FROM a3",
     "a35_matrix_cost": "WITH a AS (SELECT user_id, event_type, count(*) AS v FROM events GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE value > 1 GROUP BY 1, 2) SELECT round(sum(pow(coalesce(a.v, 0) - coalesce(b.v, 0), 2)), 4) AS cost FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type",
     "w8_feature_tops": "WITH l AS (SELECT vec_id AS key, unnest(embedding)::DOUBLE AS weight, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings) SELECT feature, key, round(weight, 6) AS weight, k FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(weight, 6) DESC, key DESC)::INT AS k FROM l) WHERE k <= 6",

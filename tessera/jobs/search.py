@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import clicknet as C
+from tessera.operators import docnet as D
 from tessera.operators import search as S
 from tessera.sources.tables import LINKS_SQL, links, nodes, table
 
@@ -118,7 +119,27 @@ def m18_click_net_train(spark, d):
     return u.select("hidden", "url", F.round("w", 6).alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (m1_build_index, p24_links, j2_match_postings, j3_phrase_match, a12_pagerank, j10_anchor_hits, a13_search_scores, w7_ranked_search, a41_outbound_relevant, m16_click_net_nodes, m17_click_net_score, m18_click_net_train, a20_normalise_scores)}
+def _entries(spark, d):
+    """Parts as documents: the words of their names, and the maker as category."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("words"), F.col("p_brand").alias("category"))
+
+
+def m19_doc_net_scores(spark, d):
+    """Entries by a new net, and by one that a batch of all has trained."""
+    e = _entries(spark, d)
+    net = D.doc_nodes(e)
+    asked = e.select(F.col("id").alias("query"), "words")
+    new, trained = D.doc_scores(asked, *net), D.doc_scores(asked, *D.doc_train(e, *net, rate=0.001))
+    return new.join(trained.withColumnRenamed("score", "after"), ["query", "category"]).select("query", "category", F.round("score", 6).alias("score"), F.round("after", 6).alias("after"))
+
+
+def m19_doc_net_train(spark, d):
+    e = _entries(spark, d)
+    words, categories = D.doc_train(e, *D.doc_nodes(e), rate=0.001)
+    return words.select(F.col("word").alias("a"), F.col("hidden").alias("b"), F.round("w", 6).alias("w")).union(categories.select("hidden", "category", F.round("w", 6)))
+
+
+QUERIES = {f.__name__: f for f in (m19_doc_net_scores, m19_doc_net_train, m1_build_index, p24_links, j2_match_postings, j3_phrase_match, a12_pagerank, j10_anchor_hits, a13_search_scores, w7_ranked_search, a41_outbound_relevant, m16_click_net_nodes, m17_click_net_score, m18_click_net_train, a20_normalise_scores)}
 
 #: Queries of one score each, by its column.
 SCORES = {"a14_score_location": "location", "a15_score_distance": "distance", "a16_score_inbound": "inbound", "a17_score_pagerank": "rank", "a18_score_linktext": "linktext", "a19_score_length": "length"}
@@ -170,3 +191,17 @@ SELECT query, t.doc_id, round(sum((from_id * 37 % 101) / 50.0 + 0.15), 6) AS lin
 ORACLE_SQL.update({name: f'WITH {_SCORES} SELECT query, doc_id, round("{column}", 6) AS score FROM s' for name, column in SCORES.items()})
 ORACLE_SQL["a20_normalise_scores"] = f"""WITH {LINKS_SQL}, n AS (SELECT to_id, count(*)::DOUBLE AS n FROM links GROUP BY 1)
 SELECT to_id, round(n / max(n) OVER w, 6) AS more, round(min(n) OVER w / n, 6) AS less FROM n WINDOW w AS (PARTITION BY to_id % 5)"""
+
+_NET = """e AS (SELECT p_partkey AS query, list_sort(list_distinct(string_split(concat_ws(' ', p_name, p_type), ' '))) AS words, p_brand AS category FROM part),
+n AS (SELECT DISTINCT array_to_string(words, '_') AS hidden, words FROM e), k AS (SELECT DISTINCT category FROM e), x AS (SELECT query, unnest(words) AS word FROM e),
+wh AS (SELECT unnest(words) AS word, hidden, 1.0::DOUBLE / len(words) AS w FROM n), hu AS (SELECT hidden, category, 0.1::DOUBLE AS w FROM n, k),
+overlap AS (SELECT x.query, wh.hidden, sum(wh.w + 0.2) AS s FROM x JOIN wh USING (word) GROUP BY 1, 2),
+ah AS MATERIALIZED (SELECT e.query, n.hidden, tanh(coalesce(s, 0) - 0.2 * len(e.words)) AS ah FROM e CROSS JOIN n LEFT JOIN overlap ON overlap.query = e.query AND overlap.hidden = n.hidden),
+o AS MATERIALIZED (SELECT query, category, tanh(sum(ah * w)) AS score FROM ah JOIN hu USING (hidden) GROUP BY 1, 2),
+od AS MATERIALIZED (SELECT o.query, o.category, ((o.category = e.category)::INT - score) * (1 - score * score) AS d FROM o JOIN e USING (query)),
+hd AS MATERIALIZED (SELECT ah.query, hidden, (1 - ah * ah) * sum(od.d) * 0.1 AS d FROM ah JOIN od USING (query) GROUP BY ah.query, hidden, ah),
+w2 AS MATERIALIZED (SELECT word, hidden, coalesce(wh.w, -0.2) + coalesce(c.d, 0) AS w FROM (SELECT word, hidden, sum(0.001 * d) AS d FROM hd JOIN x USING (query) GROUP BY 1, 2) c FULL JOIN wh USING (word, hidden)),
+u2 AS MATERIALIZED (SELECT hidden, category, 0.1 + sum(0.001 * d * ah) AS w FROM ah JOIN od USING (query) GROUP BY 1, 2)"""
+ORACLE_SQL["m19_doc_net_train"] = f"WITH {_NET} SELECT word AS a, hidden AS b, round(w, 6) AS w FROM w2 UNION ALL SELECT hidden, category, round(w, 6) FROM u2"
+ORACLE_SQL["m19_doc_net_scores"] = f"""WITH {_NET}, h2 AS (SELECT query, hidden, tanh(sum(w)) AS ah FROM x JOIN w2 USING (word) GROUP BY 1, 2), o2 AS (SELECT query, category, tanh(sum(ah * w)) AS after FROM h2 JOIN u2 USING (hidden) GROUP BY 1, 2)
+SELECT query, category, round(score, 6) AS score, round(after, 6) AS after FROM o JOIN o2 USING (query, category)"""

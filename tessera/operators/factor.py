@@ -89,30 +89,90 @@ def nmf(cells: DataFrame, k: int = 10, rounds: int = 50, seed: int = 1, start: t
     return rows, cols, cost
 
 
-def nmf_projected(cells: DataFrame, k: int = 10, rounds: int = 5, seed: int = 1, inner: int = 30) -> tuple[DataFrame, DataFrame, float]:
-    """Alternating non-negative least squares by projected gradient. Each key's problem stands alone once the k x k
-    Gram of the other side is known, so a half-step is one map over the keys."""
-    rows, cols = start_factors(cells, k, seed)
+def least_squares(x: np.ndarray, g: np.ndarray, gram: np.ndarray, tolerance: float, most: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative x, a row each, with the least x gram x' / 2 - g x', by projected gradient, and how many rounds each row
+    took (1: it stood at its solution). All rows at once: each has a step of its own, which is searched by Armijo's rule,
+    shortened until it lowers the cost enough or lengthened while it does. A row ends when the norm of its projected
+    gradient is below the tolerance."""
+    x, step, rounds = x.copy(), np.ones(len(x)), np.ones(len(x), np.int64)
+    live = np.arange(len(x))
+    for turn in range(1, most):
+        grad = x[live] @ gram - g[live]
+        norm = np.sqrt((np.where((grad < 0) | (x[live] > 0), grad, 0) ** 2).sum(axis=1))
+        going = norm >= tolerance
+        rounds[live] = turn
+        live, grad = live[going], grad[going]
+        if not len(live):
+            break
+        at, best = np.arange(len(live)), x[live].copy()
+        shorter = np.zeros(len(live), bool)
+        for inner in range(19):
+            if not len(at):
+                break
+            now = x[live[at]]
+            new = np.maximum(now - step[live[at], None] * grad[at], 0)
+            d = new - now
+            enough = 0.99 * (grad[at] * d).sum(axis=1) + 0.5 * ((d @ gram) * d).sum(axis=1) < 0
+            if inner == 0:
+                shorter[at] = ~enough
+            down = shorter[at]
+            done_down, stop_up = down & enough, ~down & (~enough | (inner > 0) & (best[at] == new).all(axis=1))
+            best[at[done_down]] = new[done_down]
+            longer = ~down & ~stop_up
+            best[at[longer]] = new[longer]
+            step[live[at[down & ~enough]]] *= 0.1
+            step[live[at[longer]]] *= 10
+            at = at[(down & ~enough) | longer]
+        x[live] = best
+    return x, rounds
+
+
+def _solved(cells: DataFrame, side: DataFrame, by: str, other: DataFrame, k: int, tolerance: float) -> DataFrame:
+    """(key, f, took): one side solved against the other, a map over its keys."""
+    gram, kind = _gram(other, k), dict(side.dtypes)["key"]
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                g = np.stack([np.zeros(k) if v is None else np.asarray(v, float) for v in b["g"]])
+                x, rounds = least_squares(np.stack(b["f"].to_list()).astype(float), g, gram, tolerance)
+                yield pd.DataFrame({"key": b["key"], "f": list(x), "took": rounds})
 
-    def half(side: DataFrame, by: str, other: DataFrame) -> DataFrame:
-        gram = _gram(other, k)
-        rate = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
+    return _durable(side.select("key", "f").join(_weighted(cells, by, other, k), "key", "left").mapInPandas(f, f"key {kind}, f array<double>, took long"))
 
-        def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    x = np.stack(b["f"].to_list()).astype(float)
-                    g = np.stack([np.zeros(k) if v is None else np.asarray(v, float) for v in b["g"]])
-                    for _ in range(inner):
-                        x = np.maximum(x - rate * (x @ gram - g), 0)
-                    yield pd.DataFrame({"key": b["key"], "f": list(x)})
 
-        kind = dict(side.dtypes)["key"]
-        return _durable(side.join(_weighted(cells, by, other, k), "key", "left").mapInPandas(f, f"key {kind}, f array<double>"))
+def _gradient(cells: DataFrame, side: DataFrame, by: str, other: DataFrame, k: int, projected: bool = True) -> float:
+    """Sum of the squares of one side's gradient, or of its projection on what may still move."""
+    gram = _gram(other, k)
+    below = lambda i: F.aggregate(F.zip_with("f", F.array(*[F.lit(float(v)) for v in gram[:, i]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    rows = side.select("key", "f").join(_weighted(cells, by, other, k), "key", "left")
+    grads = [below(i) - F.coalesce(F.col("g")[i], F.lit(0.0)) for i in range(k)]
+    parts = [F.when((d < 0) | (F.col("f")[i] > 0) | F.lit(not projected), d * d).otherwise(0.0) for i, d in enumerate(grads)]
+    return rows.agg(F.sum(sum(parts[1:], parts[0]))).first()[0] or 0.0
 
+
+def nmf_projected(cells: DataFrame, k: int = 10, rounds: int = 5, seed: int = 1, tolerance: float = 1e-8, start: tuple | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """Alternating non-negative least squares by projected gradient. Each key's problem stands alone once the k x k
+    Gram of the other side is known, so a half-step is one map over the keys.
+
+    Half-steps end at 0.001 of the first gradient's norm; a side that stands there already has its tolerance cut to a
+    tenth. All ends when the projected gradient of both sides is below `tolerance` times the first norm, or after
+    `rounds`. start gives both sides' factors (key, f). No cells give no factors."""
+    rows, cols = start or start_factors(cells, k, seed)
+    n_rows, n_cols = rows.count(), cols.count()
+    if not n_rows or not n_cols:
+        return rows, cols, 0.0
+    first = float(np.sqrt(_gradient(cells, rows, "row", cols, k, False) + _gradient(cells, cols, "col", rows, k, False)))
+    at_rows = at_cols = max(0.001, tolerance) * first
     for _ in range(rounds):
-        cols = half(cols, "col", rows)
-        rows = half(rows, "row", cols)
+        left = _gradient(cells, rows, "row", cols, k) + _gradient(cells, cols, "col", rows, k)
+        if np.sqrt(left) < tolerance * first:
+            break
+        rows = _solved(cells, rows, "row", cols, k, at_rows / np.sqrt(n_rows))
+        at_rows *= 0.1 if rows.agg(F.max("took")).first()[0] == 1 else 1.0
+        cols = _solved(cells, cols, "col", rows, k, at_cols / np.sqrt(n_cols))
+        at_cols *= 0.1 if cols.agg(F.max("took")).first()[0] == 1 else 1.0
+    rows, cols = rows.select("key", "f"), cols.select("key", "f")
     return rows, cols, nmf_cost(cells, rows, cols, k)
 
 
