@@ -60,8 +60,7 @@ def t4_stream_clicks(spark, d):
     clicks = e.select(F.col("event_id").alias("query"), words.alias("words"), F.array(*[(F.col("user_id") + k) % 5 + 100 for k in range(3)]).alias("urls"), (F.col("user_id") % 5 + 100).alias("selected"))
     folder = _scratch(spark)
     O.stream_clicks(clicks, folder, f"{folder}/log", 0.001)
-    last = spark.read.parquet(f"{folder}/done").agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{folder}/urlw/{last}").select("hidden", "url", F.round("w", 6).alias("w"))
+    return O.click_net(spark, folder)[1].select("hidden", "url", F.round("w", 6).alias("w"))
 
 
 def t5_first_titles(spark, d):

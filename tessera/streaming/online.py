@@ -45,9 +45,39 @@ def _mark(spark: SparkSession, folder: str, batch: int) -> None:
     spark.range(batch, batch + 1).select(F.col("id").alias("batch")).write.mode("append").parquet(f"{folder}/done")
 
 
+#: Batches after which the increments of a state are merged into one table.
+MERGE_EVERY = 16
+
+
+def state(spark: SparkSession, folder: str, name: str, keys: list[str], value: str) -> DataFrame | None:
+    """(keys, value) of a state kept as increments: the last merged table and the increments since, added up by key. None
+    before the first batch."""
+    merged = _last_version(spark, f"{folder}/{name}/merged")
+    try:
+        steps = spark.read.parquet(f"{folder}/{name}/steps")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    if merged is not None:
+        base = spark.read.parquet(f"{folder}/{name}/merged/{merged}")
+        steps = steps.where(F.col("batch") > merged).select(*keys, value).unionByName(base.select(*keys, value))
+    return steps.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def _add(changes: DataFrame, folder: str, name: str, keys: list[str], value: str, batch: int) -> None:
+    """Write what a batch adds to a state: as much as the batch has. Now and then increments are merged."""
+    spark = changes.sparkSession
+    changes.select(*keys, value).write.mode("overwrite").parquet(f"{folder}/{name}/steps/batch={batch}")
+    merged = _last_version(spark, f"{folder}/{name}/merged")
+    if batch - (-1 if merged is None else merged) >= MERGE_EVERY:
+        state(spark, folder, name, keys, value).write.mode("overwrite").parquet(f"{folder}/{name}/merged/{batch}")
+        _mark(spark, f"{folder}/{name}/merged", batch)
+
+
 def guess_then_train(docs: DataFrame, folder: str, checkpoint: str) -> None:
     """For each micro-batch of docs(doc_id, category, features): guess with the counts so far, write the guesses to
-    folder/guesses, then add the batch to the counts. Versions of the counts are numbered by batch."""
+    folder/guesses, then add the batch to the counts, which are kept as increments (`state`)."""
     spark = docs.sparkSession
     is_new = _once_per_batch(spark, folder)
 
@@ -56,16 +86,14 @@ def guess_then_train(docs: DataFrame, folder: str, checkpoint: str) -> None:
             return
         batch = batch.persist()
         new_fc, new_cc = bayes.class_counts(batch)
-        before = _last_version(spark, folder)
-        if before is None:
-            guesses, fc, cc = batch.select("doc_id", F.lit("unknown").alias("guess")), new_fc, new_cc
+        if _last_version(spark, folder) is None:
+            guesses = batch.select("doc_id", F.lit("unknown").alias("guess"))
         else:
-            old_fc, old_cc = spark.read.parquet(f"{folder}/fc/{before}"), spark.read.parquet(f"{folder}/cc/{before}")
+            old_fc, old_cc = state(spark, folder, "fc", ["feature", "category"], "n"), state(spark, folder, "cc", ["category"], "n")
             guesses = bayes.bayes_classify(bayes.bayes_scores(batch, old_fc, old_cc)).select("doc_id", F.col("category").alias("guess"))
-            fc, cc = bayes.add_counts(old_fc, new_fc), bayes.add_counts(old_cc, new_cc)
         guesses.write.mode("overwrite").parquet(f"{folder}/guesses/batch={number}")
-        fc.write.mode("overwrite").parquet(f"{folder}/fc/{number}")
-        cc.write.mode("overwrite").parquet(f"{folder}/cc/{number}")
+        _add(new_fc, folder, "fc", ["feature", "category"], "n", number)
+        _add(new_cc, folder, "cc", ["category"], "n", number)
         _mark(spark, folder, number)
         batch.unpersist()
 
@@ -101,8 +129,17 @@ def stream_index(pages: DataFrame, folder: str, checkpoint: str) -> None:
     pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+WORD_EDGE, URL_EDGE = ["word", "hidden"], ["hidden", "url"]
+
+
+def click_net(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+    """Edges (word, hidden, w) and (hidden, url, w) of the net that stream_clicks keeps in a folder."""
+    return state(spark, folder, "words", WORD_EDGE, "w"), state(spark, folder, "urlw", URL_EDGE, "w")
+
+
 def stream_clicks(clicks: DataFrame, folder: str, checkpoint: str, rate: float = 0.5) -> None:
-    """T4: train the click net with each micro-batch of clicks(query, words, urls, selected); new word sets get nodes."""
+    """T4: train the click net with each micro-batch of clicks(query, words, urls, selected); new word sets get nodes.
+    Weights are kept as increments, those of a batch being the edges that it makes or changes: `click_net` adds them up."""
     spark = clicks.sparkSession
     is_new = _once_per_batch(spark, folder)
 
@@ -111,14 +148,17 @@ def stream_clicks(clicks: DataFrame, folder: str, checkpoint: str, rate: float =
             return
         batch = batch.persist()
         words, urls = clicknet.hidden_nodes(batch)
-        before = _last_version(spark, folder)
-        if before is not None:
-            old_words, old_urls = spark.read.parquet(f"{folder}/words/{before}"), spark.read.parquet(f"{folder}/urlw/{before}")
+        old_words = old_urls = None
+        if _last_version(spark, folder) is not None:
+            old_words, old_urls = click_net(spark, folder)
             words = old_words.unionByName(words.join(old_words.select("word", "hidden"), ["word", "hidden"], "left_anti").select("word", "hidden", "w"))
             urls = old_urls.unionByName(urls.join(old_urls.select("hidden", "url"), ["hidden", "url"], "left_anti").select("hidden", "url", "w"))
         words, urls = clicknet.net_train(batch, words, urls, rate)
-        words.write.mode("overwrite").parquet(f"{folder}/words/{number}")
-        urls.write.mode("overwrite").parquet(f"{folder}/urlw/{number}")
+        for name, new, old, keys in (("words", words, old_words, WORD_EDGE), ("urlw", urls, old_urls, URL_EDGE)):
+            if old is not None:
+                both = new.join(old.withColumnRenamed("w", "before"), keys, "left")
+                new = both.where("before is null or w <> before").select(*keys, (F.col("w") - F.coalesce("before", F.lit(0.0))).alias("w"))
+            _add(new, folder, name, keys, "w", number)
         _mark(spark, folder, number)
         batch.unpersist()
 
