@@ -75,5 +75,7 @@ QUERIES = {f.__name__: f for f in (t1_stream_train, t2_guess_then_train, t3_stre
 _W = r"list_distinct(list_transform(list_filter(regexp_split_to_array(text, '\W+'), lambda w: length(w) > 2 AND length(w) < 20), lambda w: lower(w)))"
 ORACLE_SQL = {
     "t1_stream_train": f"SELECT feature, category, count(*) AS n FROM (SELECT lang AS category, unnest({_W}) AS feature FROM documents) GROUP BY 1, 2",
+    # the postings of each page, whose html is the same under one url
+    "t3_stream_index": r"SELECT url, count(*) AS n FROM (SELECT url, unnest(list_transform(list_filter(regexp_split_to_array(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\W+'), lambda w: w <> ''), lambda w: lower(w))) AS word FROM (SELECT url, any_value(html) AS html FROM pages GROUP BY 1)) WHERE word NOT IN ('the', 'of', 'to', 'and', 'a', 'in', 'is', 'it') GROUP BY 1",
     "t5_first_titles": "SELECT DISTINCT split_part(text, chr(10), 1) AS title FROM documents",
 }
