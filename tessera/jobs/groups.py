@@ -194,6 +194,17 @@ def m14_nmf(spark, d):
     return cols.select("key", *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(3)], F.lit(cost).alias("cost"))
 
 
+def m14_nmf_step(spark, d):
+    """One update of both sides from given factors."""
+    cells = _cells(spark, d)
+    start = lambda n: F.array(*[((n * (2 * i + 3) + i) % 11 + 1) / 11.0 for i in range(3)]).alias("f")
+    rows = cells.select(F.col("row").alias("key")).distinct().select("key", start(F.col("key")))
+    cols = cells.select(F.col("col").alias("key")).distinct().select("key", start(F.length("key")))
+    rows, cols = N.nmf_step(cells, rows, cols, 3)
+    told = rows.select(F.col("key").cast("string").alias("key"), "f").union(cols.select("key", "f"))
+    return told.select("key", *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(3)])
+
+
 def m15_nmf_projected(spark, d):
     rows, cols, cost = N.nmf_projected(_cells(spark, d), 3, 2)
     return cols.select("key", *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(3)], F.lit(cost).alias("cost"))
@@ -212,7 +223,7 @@ def w10_aligned_series(spark, d):
     return wide.unpivot(["k"], names, "ticker", "volume").select("k", "ticker", F.round("volume", 4).alias("volume"))
 
 
-QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m5_gini, m5_regression, m5_multiway, m6_prune_tree, m7_tree_classify, m7_ranges, m7_estimate, a11_vector_distances, j7_all_pairs, m2_kmeans, m2_kmeans_pearson, m2_kmeans_random, m3_heights, a42_kmeans_total, s10_cluster_report, m3_hcluster, m3_hcluster_rounds, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
+QUERIES = {f.__name__: f for f in (a26_impurity, a26_variance, a27_split_gain, w9_best_split, a28_multiway_split, m5_grow_tree, m5_gini, m5_regression, m5_multiway, m6_prune_tree, m7_tree_classify, m7_ranges, m7_estimate, a11_vector_distances, j7_all_pairs, m2_kmeans, m2_kmeans_pearson, m2_kmeans_random, m3_heights, a42_kmeans_total, s10_cluster_report, m3_hcluster, m3_hcluster_rounds, m4_mds, m4_mds_step, a35_matrix_cost, m14_nmf, m14_nmf_step, m15_nmf_projected, w8_feature_tops, w10_aligned_series)}
 
 _R = "r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN floor(o_totalprice / 20000)::DOUBLE END AS price, month(o_orderdate)::DOUBLE AS month, o_orderpriority AS priority, o_orderstatus AS label, o_totalprice AS value FROM orders)"
 _H = "(SELECT -sum(c / t * log2(c / t)) FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS t FROM r {0} GROUP BY label))"
@@ -338,6 +349,13 @@ SELECT -root AS id, count(*) FILTER (WHERE leaf) AS height, round(max(far), 6) A
     "m2_kmeans_pearson": f"WITH {_kmeans_sql(6, 3, 'pearson')} SELECT id, cluster, round(d2, 6) AS d FROM a3",
     "s10_cluster_report": f"WITH {_kmeans_sql(6, 3)} SELECT cluster, 'v' || (id::VARCHAR) AS label FROM a3",
     "a35_matrix_cost": "WITH a AS (SELECT user_id, event_type, count(*) AS v FROM events GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE value > 1 GROUP BY 1, 2) SELECT round(sum(pow(coalesce(a.v, 0) - coalesce(b.v, 0), 2)), 4) AS cost FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type",
+    "m14_nmf_step": """WITH v AS (SELECT user_id AS r, event_type AS c, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2), i AS (SELECT unnest([0, 1, 2]) AS i),
+w AS (SELECT r, i, ((r * (2 * i + 3) + i) % 11 + 1) / 11.0::DOUBLE AS f FROM (SELECT DISTINCT r FROM v), i), h AS (SELECT c, i, ((length(c) * (2 * i + 3) + i) % 11 + 1) / 11.0::DOUBLE AS f FROM (SELECT DISTINCT c FROM v), i),
+gw AS (SELECT a.i, b.i AS j, sum(a.f * b.f) AS g FROM w a JOIN w b USING (r) GROUP BY 1, 2), th AS (SELECT c, i, sum(v * f) AS t FROM v JOIN w USING (r) GROUP BY 1, 2), bh AS (SELECT c, g.j AS i, sum(f * g) AS b FROM h JOIN gw g ON g.i = h.i GROUP BY 1, 2),
+h2 AS (SELECT c, i, f * t / (b + 1e-26) AS f FROM h JOIN th USING (c, i) JOIN bh USING (c, i)),
+gh AS (SELECT a.i, b.i AS j, sum(a.f * b.f) AS g FROM h2 a JOIN h2 b USING (c) GROUP BY 1, 2), tw AS (SELECT r, i, sum(v * f) AS t FROM v JOIN h2 USING (c) GROUP BY 1, 2), bw AS (SELECT r, g.j AS i, sum(f * g) AS b FROM w JOIN gh g ON g.i = w.i GROUP BY 1, 2),
+w2 AS (SELECT r, i, f * t / (b + 1e-26) AS f FROM w JOIN tw USING (r, i) JOIN bw USING (r, i)), x AS (SELECT r::VARCHAR AS key, i, f FROM w2 UNION ALL SELECT c, i, f FROM h2)
+SELECT key, round(max(f) FILTER (WHERE i = 0), 6) AS f0, round(max(f) FILTER (WHERE i = 1), 6) AS f1, round(max(f) FILTER (WHERE i = 2), 6) AS f2 FROM x GROUP BY 1""",
     "w8_feature_tops": "WITH l AS (SELECT vec_id AS key, unnest(embedding)::DOUBLE AS weight, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings) SELECT feature, key, round(weight, 6) AS weight, k FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(weight, 6) DESC, key DESC)::INT AS k FROM l) WHERE k <= 6",
     "w10_aligned_series": """WITH v AS (SELECT n_name AS ticker, l_shipdate::DATE AS date, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2),
 m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM v GROUP BY ticker)) SELECT k, ticker, round(volume, 4) AS volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date)::INT AS k FROM v), m WHERE k <= least""",

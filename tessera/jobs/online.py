@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words_len
+from tessera.jobs import search
 from tessera.shared import shared_folder
 from tessera.streaming import online as O
 
@@ -77,5 +78,7 @@ ORACLE_SQL = {
     "t1_stream_train": f"SELECT feature, category, count(*) AS n FROM (SELECT lang AS category, unnest({_W}) AS feature FROM documents) GROUP BY 1, 2",
     # the postings of each page, whose html is the same under one url
     "t3_stream_index": r"SELECT url, count(*) AS n FROM (SELECT url, unnest(list_transform(list_filter(regexp_split_to_array(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\W+'), lambda w: w <> ''), lambda w: lower(w))) AS word FROM (SELECT url, any_value(html) AS html FROM pages GROUP BY 1)) WHERE word NOT IN ('the', 'of', 'to', 'and', 'a', 'in', 'is', 'it') GROUP BY 1",
+    # one micro-batch of all clicks trains as the batch form does
+    "t4_stream_clicks": search.ORACLE_SQL["m18_click_net_train"],
     "t5_first_titles": "SELECT DISTINCT split_part(text, chr(10), 1) AS title FROM documents",
 }

@@ -180,6 +180,9 @@ ORACLE_SQL = {
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, url DESC)::INT AS k FROM t) WHERE k <= 10""",
     "a41_outbound_relevant": f"WITH {LINKS_SQL}, {_J}, {_DL}, t AS (SELECT to_id AS target, count(*) AS n FROM dl WHERE from_id IN (SELECT doc_id FROM m) GROUP BY 1) SELECT target, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, target DESC) AS k FROM t) WHERE k <= (SELECT count(*) // 50 FROM t)",
     "m16_click_net_nodes": f"WITH {_CL} SELECT 'w' || (word::VARCHAR) AS a, hidden AS b, round(w, 6) AS w FROM wh UNION ALL SELECT hidden, 'u' || (url::VARCHAR), w FROM hu",
+    "m18_click_net_train": f"""WITH {_CL}, od AS (SELECT o.query, o.url, ((o.url = c.selected)::INT - score) * (1 - score * score) AS d FROM o JOIN c USING (query)),
+up AS (SELECT hidden, url, sum(0.001 * d * ah) AS d FROM ah JOIN od USING (query) GROUP BY 1, 2)
+SELECT hidden, url, round(coalesce(hu.w, 0) + coalesce(up.d, 0), 6) AS w FROM up FULL JOIN hu USING (hidden, url)""",
     "m17_click_net_score": f"WITH {_CL} SELECT query, url, round(score, 6) AS score FROM o",
 }
 

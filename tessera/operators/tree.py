@@ -341,7 +341,8 @@ def multiway_best(cells: DataFrame, cuts: int = 3, scoref: str = "entropy", most
     thresholds or words of each column and node. A row goes to the largest threshold at or under its value, or to its
     word; below all, with another word or with null it goes to `else`.
 
-    Counts by value are made first. Thresholds are found by dynamic programming over the distinct values. A column with more than most_values distinct values in a node is refused."""
+    Counts by value are made first. Thresholds are found by dynamic programming over the distinct values. A column with
+    more than most_values distinct values in a node is refused."""
     per = cells.where("num is not null or word is not null").groupBy("node", "col", "num", "word", F.col("label").cast("string").alias("label")).agg(F.count("*").alias("c"))
     labels = cells.groupBy(F.col("node").alias("at"), F.col("col").alias("of"), F.col("label").cast("string").alias("label")).agg(F.count("*").alias("t"), F.count(F.when(F.col("num").isNull() & F.col("word").isNull(), 1)).alias("nulls"))
     cost = _label_cost(scoref)
