@@ -120,6 +120,16 @@ def unseen(candidates: DataFrame, ratings: DataFrame, zero_is_unseen: bool) -> D
     return candidates.join(seen.select("user", "item"), ["user", "item"], "left_anti")
 
 
+def unseen_totals(persons: DataFrame, ratings: DataFrame, zero_is_unseen: bool) -> DataFrame:
+    """(user, n, items): how many items each person has not rated, and the sum of their numbers, from the totals of
+    all items less what was seen; so no person meets all items. Persons who have seen all have no row."""
+    seen = (ratings.where("rating <> 0") if zero_is_unseen else ratings).select("user", "item").distinct()
+    whole = ratings.select("item").distinct().agg(F.count("*").alias("all_n"), F.sum("item").alias("all_items"))
+    per = seen.join(persons.select("user").distinct(), "user", "right").groupBy("user").agg(F.count("item").alias("n"), F.coalesce(F.sum("item"), F.lit(0)).alias("items"))
+    left = per.join(F.broadcast(whole)).select("user", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_items") - F.col("items")).alias("items"))
+    return left.where("n > 0")
+
+
 def user_recommendations(ratings: DataFrame, persons: DataFrame, similarity: str = "pearson") -> DataFrame:
     """A4: (user, item, score): mean of others' ratings weighted by similarity above 0, for unseen items."""
     sims = sims_of(ratings, persons, similarity).where("sim > 0")
