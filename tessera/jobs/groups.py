@@ -60,7 +60,7 @@ def m7_tree_classify(spark, d):
 
 
 def m5_gini(spark, d):
-    return T.grow_tree(_rows(spark, d), NUMBERS, WORDS, "label", 0.0001, 2, "gini").select("node", "col", "num", "word", F.round("gain", 7).alias("gain"), F.to_json("counts").alias("counts"))
+    return T.grow_tree(_rows(spark, d), NUMBERS, WORDS, "label", 0.0, 2, "gini").select("node", "col", "num", "word", F.round("gain", 7).alias("gain"), F.to_json("counts").alias("counts"))
 
 
 def _priced(spark, d):
@@ -322,7 +322,7 @@ def _multiway_sql(depth: int) -> str:
 
 _SIZES = "sizes AS (SELECT node, label, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY node) AS n FROM (SELECT id, node FROM leaf) JOIN r USING (id) GROUP BY 1, 2)"
 _T3, _T2 = _tree_sql(3, "entropy", 0.0001, _R, _LONG, "r"), _tree_sql(2, "entropy", 0.0001, _R, _LONG, "r")
-_TG, _TV = _tree_sql(2, "gini", 0.0001, _R, _LONG, "r"), _tree_sql(2, "variance", 0.0, _PRICED, _LONG_PRICED, "v0")
+_TG, _TV = _tree_sql(2, "gini", 0.0, _R, _LONG, "r"), _tree_sql(2, "variance", 0.0, _PRICED, _LONG_PRICED, "v0")
 
 ORACLE_SQL = {
     "m5_grow_tree": f"WITH {_T3} {_tree_nodes_sql(3, True, 'r', 7)}",
