@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,14 +73,21 @@ def _label(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
+#: Part of a block's worth below which containers further out get none: 72 steps out.
+LEAST_SHARE = 1e-9
+
+
 class Page:
     """Blocks of text of a page, each with the containers it stands in."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, int]] = []  # text, innermost container, characters in links
-        self.containers: list[tuple[str, int]] = [("", -1)]  # path, container around it
-        # open elements: tag, container, whether its text is dropped, container paths so far, inside main text
-        stack: list[tuple[str, int, bool, str, bool]] = [("", 0, False, "", False)]
+        self.containers: list[tuple[int, int]] = [(0, -1)]  # number of its path, container around it
+        self.steps: list[tuple[int, str]] = [(-1, "")]  # paths as a trie: number of the path before, last step
+        numbers: dict[tuple[int, str], int] = {}
+        # open elements: tag, container, whether its text is dropped, inside main text; and how many of each tag
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        opened: Counter = Counter()
         text: list[str] = []
         linked, links = 0, 0
 
@@ -91,6 +99,10 @@ class Page:
             text.clear()
             linked = 0
 
+        def close_from(k: int) -> None:
+            opened.subtract(s[0] for s in stack[k:])
+            del stack[k:]
+
         at = 0
         while True:
             m = TAG.search(source, at)
@@ -107,14 +119,15 @@ class Page:
             if m[1]:  # an end tag
                 if tag == "a":
                     links = max(0, links - 1)
-                if tag == "p" and all(s[0] != "p" for s in stack):
-                    close_block()
+                if not opened[tag]:
+                    if tag == "p":
+                        close_block()
                     continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         if any(s[0] in BLOCK for s in stack[k:]):
                             close_block()
-                        del stack[k:]
+                        close_from(k)
                         break
                     if stack[k][0] in SCOPE and tag not in BLOCK:
                         break
@@ -130,18 +143,18 @@ class Page:
                 continue
             if tag in BLOCK:
                 close_block()
-                if tag != "hr":  # a block ends an open paragraph, with what was left open in it
+                if tag != "hr" and opened["p"]:  # a block ends an open paragraph, with what was left open in it
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == "p":
-                            del stack[k:]
+                            close_from(k)
                             break
                         if stack[k][0] in BLOCK:
                             break
-            if tag in ENDS:
+            if tag in ENDS and any(opened[x] for x in ENDS[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in ENDS[tag]:
                         close_block()
-                        del stack[k:]
+                        close_from(k)
                         break
                     if stack[k][0] in SCOPE:
                         break
@@ -149,40 +162,57 @@ class Page:
                 continue
             if tag == "a":
                 links += 1
-            _, box, dropped, path, main = stack[-1]
+            _, box, dropped, main = stack[-1]
             dropped = dropped or _is_junk(tag, attrs, main)
             if tag in CONTAINER and not dropped:
-                path = f"{path}>{_label(tag, attrs)}"
-                self.containers.append((path, box))
+                step = (self.containers[box][0], _label(tag, attrs))
+                if step not in numbers:
+                    numbers[step] = len(self.steps)
+                    self.steps.append(step)
+                self.containers.append((numbers[step], box))
                 box = len(self.containers) - 1
-            stack.append((tag, box, dropped, path, main or tag in ("article", "main")))
+            stack.append((tag, box, dropped, main or tag in ("article", "main")))
+            opened[tag] += 1
         close_block()
 
-    def scores(self) -> dict[str, float]:
-        """Score of each container path: characters outside links of its blocks, the full amount where they
-        stand directly in it and a part further out, more for the elements that name the main text."""
-        out: dict[str, float] = {}
+    def path(self, number: int) -> str:
+        """A path as text, from its number."""
+        steps = []
+        while number > 0:
+            number, label = self.steps[number]
+            steps.append(label)
+        return "".join(f">{s}" for s in reversed(steps))
+
+    def scores(self) -> dict[int, float]:
+        """Score of each container path, by its number: characters outside links of its blocks, the full amount where they
+        stand directly in it and a part further out (none beyond LEAST_SHARE), more for the elements that name the main
+        text."""
+        out: dict[int, float] = {}
         for t, box, linked in self.blocks:
             worth = len(t) - 2 * min(linked, len(t))
             share = 1.0
-            while box > 0:
+            while box > 0 and share > LEAST_SHARE:
                 path, outer = self.containers[box]
                 out[path] = out.get(path, 0.0) + worth * share
                 share *= 0.75
                 box = outer
-        return {p: s * (2.0 if re.search(r"(?:article|main)[^>]*$", p.rpartition(">")[2]) else 1.0) for p, s in out.items() if s > 0}
+        return {p: s * (2.0 if re.search(r"(?:article|main)[^>]*$", self.steps[p][1].rpartition(">")[2]) else 1.0) for p, s in out.items() if s > 0}
 
     def text_at(self, path: str) -> str:
         """Blocks inside any container of a path, in page order."""
+        ends = [0] * len(self.steps)  # how far a path agrees with the one asked for, -1 if it doesn't
+        for i, (before, label) in enumerate(self.steps[1:], 1):
+            ends[i] = ends[before] + 1 + len(label) if ends[before] >= 0 and path.startswith(f">{label}", ends[before]) else -1
         inside = [False] * len(self.containers)
         for i, (p, outer) in enumerate(self.containers[1:], 1):
-            inside[i] = p == path or (outer >= 0 and inside[outer])
+            inside[i] = ends[p] == len(path) or (outer >= 0 and inside[outer])
         return "\n\n".join(t for t, box, _ in self.blocks if inside[box])
 
     def best(self) -> str | None:
         """Path of the page's own best container; ties go to the smaller path."""
         s = self.scores()
-        return min(s, key=lambda p: (-s[p], p)) if s else None
+        top = max(s.values(), default=0.0)
+        return min(self.path(p) for p, v in s.items() if v == top) if s else None
 
 
 def host_of(url):
@@ -198,10 +228,12 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for b in batches:
             told: dict = {}
             for host, source in zip(b["host"], b["html"]):
-                scores = Page(source).scores()
+                page = Page(source)
+                scores = page.scores()
                 top = max(scores.values(), default=0)
                 for p, s in scores.items():
                     if s >= 0.1 * top:
+                        p = page.path(p)
                         told[host, p] = told.get((host, p), 0) + round(1000 * s / top)
             hosts, names = (pd.Series([k[i] for k in told], dtype=object) for i in (0, 1))
             yield pd.DataFrame({"host": hosts, "path": names, "votes": pd.Series(list(told.values()), dtype="int64")})

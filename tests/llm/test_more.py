@@ -61,3 +61,27 @@ def test_registered_queries_hold_rows_out(spark, sf_dir):
         rows = QUERIES[name](spark, sf_dir).collect()
         assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % n == r) and 0 <= x["score"] <= 1 for x in rows)
     assert all(x["over_limit"] == (x["n_tokens"] > 4096) for x in QUERIES["op8_token_counts"](spark, sf_dir).collect())
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    from tessera.llm.html import Page
+
+    deep = "<div>" * 30_000 + "text of the page" + "</div>" * 30_000
+    tracemalloc.start()
+    page = Page(deep)
+    assert page.text_at(page.best()) == "text of the page"
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    page = Page("<i>" * 8_000 + "<p>word" * 8_000 + "</p>" * 8_000)
+    assert len(page.blocks) == 8_000
+
+
+def test_paths_that_are_written_alike():
+    from tessera.llm.html import Page
+
+    page = Page("<article class='a&gt;b'><div class='c'><p>one</p></div></article><div class='d>e'><p>two</p></div>")
+    for number in page.scores():
+        assert page.text_at(page.path(number))
+    assert page.text_at("") == "" and page.text_at(">nowhere") == ""
