@@ -294,6 +294,20 @@ def _leaves_sql(depth: int) -> str:
     return " UNION ALL ".join(f"SELECT at{k}.* FROM at{k}" + (f" ANTI JOIN b{k} USING (node)" if k < depth else "") for k in range(depth + 1))
 
 
+def _pruned_sql(depth: int, min_gain: float) -> str:
+    """A grown tree without pairs of leaves that tell little more than both together, from the bottom up."""
+    h = "SELECT node, -sum(c / n * log2(c / n)) AS h FROM (SELECT *, sum(c) OVER (PARTITION BY node) AS n FROM {0}) GROUP BY 1"
+    inner = " UNION ALL ".join(f"SELECT node, col FROM b{k}" for k in range(depth))
+    sql = f"f0 AS (SELECT node, label, count(*)::DOUBLE AS c FROM ({_leaves_sql(depth)}) JOIN r USING (id) GROUP BY 1, 2), i0 AS ({inner})"
+    for k in range(depth):
+        sql += f", u{k} AS (SELECT node // 2 AS node, label, sum(c) AS c FROM f{k} WHERE node // 2 IN (SELECT node // 2 FROM f{k} WHERE node > 1 GROUP BY 1 HAVING count(DISTINCT node) = 2) GROUP BY 1, 2)"
+        sql += f", e{k} AS (SELECT u.node FROM ({h.format(f'u{k}')}) u JOIN ({h.format(f'f{k}')}) f ON f.node // 2 = u.node GROUP BY 1 HAVING any_value(u.h) - sum(f.h) / 2 < {min_gain})"
+        sql += f", f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} WHERE node // 2 NOT IN (SELECT node FROM e{k}) UNION ALL SELECT * FROM u{k} WHERE node IN (SELECT node FROM e{k})), i{k + 1} AS MATERIALIZED (SELECT * FROM i{k} WHERE node NOT IN (SELECT node FROM e{k}))"
+    inside = " UNION ALL ".join(f"SELECT node, label, count(*) AS c FROM at{k} JOIN r USING (id) GROUP BY 1, 2" for k in range(depth))
+    counts = """'{' || string_agg('"' || label || '":' || c::BIGINT, ',' ORDER BY label) || '}' AS counts"""
+    return f"{sql} SELECT node, NULL::VARCHAR AS col, {counts} FROM f{depth} GROUP BY 1 UNION ALL SELECT i.node, any_value(col), {counts} FROM i{depth} i JOIN ({inside}) x USING (node) GROUP BY 1"
+
+
 def _ranges_sql() -> str:
     """Observations of a range, through two levels: to both branches that it touches, by the rows of these."""
     sql = "nodes AS (SELECT node, count(*)::DOUBLE AS n FROM (SELECT node FROM at0 UNION ALL SELECT node FROM at1 UNION ALL SELECT node FROM at2) GROUP BY 1), q0 AS (SELECT id, (id % 13)::DOUBLE AS low, (id % 13 + id % 4)::DOUBLE AS high, month, priority, 1::BIGINT AS node, 1.0::DOUBLE AS w FROM r)"
@@ -329,6 +343,7 @@ ORACLE_SQL = {
     "m5_gini": f"WITH {_TG} {_tree_nodes_sql(2, True, 'r', 7)}",
     "m5_regression": f"WITH {_TV} {_tree_nodes_sql(2, False, 'v0', 6)}",
     "m5_multiway": _multiway_sql(2),
+    "m6_prune_tree": f"WITH {_T3}, {_pruned_sql(3, 0.002)}",
     "m7_tree_classify": f"WITH {_T3}, leaf AS ({_leaves_sql(3)}), {_SIZES} SELECT leaf.id, label, round(sum(w * c / n), 6) AS share FROM leaf JOIN sizes USING (node) GROUP BY 1, 2",
     "m7_estimate": f"WITH {_TV}, leaf AS ({_leaves_sql(2)}), e AS (SELECT node, avg(label) AS mean FROM leaf JOIN v0 USING (id) GROUP BY 1) SELECT leaf.id, round(sum(w * mean), 6) AS guess FROM leaf JOIN e USING (node) GROUP BY 1",
     "m7_ranges": f"WITH {_T2}, leaf AS ({_leaves_sql(2)}), {_SIZES}, {_ranges_sql()} SELECT done.id, label, round(sum(w * c / n), 6) AS share FROM done JOIN sizes USING (node) GROUP BY 1, 2",
