@@ -8,6 +8,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -143,8 +144,9 @@ def pack(lengths: np.ndarray, size: int, rounds: int = 40) -> list[list[int]]:
 
     The search takes one underfull bin after another, the emptiest first, and tries to place its pieces in
     other underfull bins: a move where a gap is wide enough, an exchange of one piece for a shorter one, or of
-    one for two shorter ones, whichever raises the sum of squared fills. A bin that empties is saved. It ends where no
-    packing can do with fewer bins, so that pieces which can't share bins are not searched at all.
+    one for two shorter ones, whichever raises the sum of squared fills most. A bin that empties is saved. It ends
+    where no packing can do with fewer bins. `Rests` finds the best place without a walk over the bins, so that a
+    round takes time in proportion to the pieces times `size`, however many bins are underfull.
     """
     order = np.argsort(-lengths, kind="stable")
     bins: list[list[int]] = []
@@ -168,56 +170,100 @@ def pack(lengths: np.ndarray, size: int, rounds: int = 40) -> list[list[int]]:
     return [b for b in bins if b]
 
 
+class Rests:
+    """Underfull bins by what stays in them when no, one or two pieces leave: `least[rest]` is the smallest fill of a bin
+    that has such a rest. A piece of n that goes from a bin of `fill` to a rest raises the sum of squared fills by twice
+    (rest + n - fill there) * (rest + n - fill), so for each rest the bin of the smallest fill is the best."""
+
+    def __init__(self, size: int):
+        self.size, self.numbers = size, np.arange(size + 1)
+        self.least = np.full(size + 1, 1 << 30, np.int64)
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]  # (fill, bin, its version), old ones too
+        self.rests: dict[int, set[int]] = {}
+        self.version: dict[int, int] = {}
+
+    def add(self, b: int, fill: int, pieces: list[int]) -> None:
+        parts = sorted(set(pieces))
+        rests = {fill} | {fill - m for m in parts} | {fill - m - k for i, m in enumerate(parts) for k in parts[i + 1 :]}
+        rests |= {fill - 2 * m for m in parts if 2 * m <= fill and pieces.count(m) > 1}
+        self.rests[b] = rests
+        entry = (fill, b, self.version.setdefault(b, 0))
+        for r in rests:
+            heappush(self.heaps[r], entry)
+            self.least[r] = self.heaps[r][0][0] if self._top(r) else fill
+
+    def remove(self, b: int) -> None:
+        self.version[b] += 1
+        for r in self.rests.pop(b):
+            self.least[r] = self.heaps[r][0][0] if self._top(r) else 1 << 30
+
+    def _top(self, r: int) -> bool:
+        heap = self.heaps[r]
+        while heap and self.version[heap[0][1]] != heap[0][2]:
+            heappop(heap)
+        return bool(heap)
+
+    def best(self, n: int, fill: int) -> tuple[int, int] | None:
+        """(bin, rest) where a piece of n from a bin of `fill` gains most; none if it gains nowhere."""
+        low = max(0, fill - n + 1)
+        at = self.numbers[low : self.size - n + 1] + n
+        if not len(at):
+            return None
+        gains = (at - self.least[low : self.size - n + 1]) * (at - fill)
+        k = int(gains.argmax())
+        return (self.heaps[low + k][0][1], low + k) if gains[k] > 0 else None
+
+
+def _leaving(pieces: list[int], lengths: np.ndarray, total: int) -> list[int]:
+    """None, one or two of the pieces whose lengths make up a total."""
+    if total == 0:
+        return []
+    seen: dict[int, int] = {}
+    pair: list[int] = []
+    for j in pieces:
+        m = int(lengths[j])
+        if m == total:
+            return [j]
+        if not pair and total - m in seen:
+            pair = [seen[total - m], j]
+        seen.setdefault(m, j)
+    return pair
+
+
 def _improve(bins: list[list[int]], under: dict[int, int], lengths: np.ndarray, size: int) -> bool:
     """One pass of the local search over underfull bins (bin -> fill); whether anything got better."""
     better = False
+    rests = Rests(size)
+    for b, fill in under.items():
+        rests.add(b, fill, [int(lengths[i]) for i in bins[b]])
     for b in sorted(under, key=lambda b: (under[b], b)):
-        if b not in under or len(under) < 2:
+        if b not in under:
             continue
+        rests.remove(b)
+        fill = under.pop(b)
         for i in sorted(bins[b], key=lambda i: -lengths[i]):
-            fill = under.get(b, 0)
             n = int(lengths[i])
-            best = None  # (gain, bin, pieces that come back)
-            for c, full in under.items():
-                if c == b:
-                    continue
-                room = size - full
-                if n <= room:  # move
-                    gain = (full + n) ** 2 + (fill - n) ** 2 - full**2 - fill**2
-                    if gain > 0 and (best is None or gain > best[0]):
-                        best = (gain, c, ())
-                    continue
-                mine = sorted((int(lengths[j]), j) for j in bins[c])
-                for x, (m, j) in enumerate(mine):  # exchange one for one, or one for two
-                    d = n - m
-                    if 0 < d <= room:
-                        gain = (full + d) ** 2 + (fill - d) ** 2 - full**2 - fill**2
-                        if gain > 0 and (best is None or gain > best[0]):
-                            best = (gain, c, (j,))
-                    for m2, j2 in mine[x + 1 :]:
-                        d = n - m - m2
-                        if d <= 0:
-                            break
-                        if d <= room:
-                            gain = (full + d) ** 2 + (fill - d) ** 2 - full**2 - fill**2
-                            if gain > 0 and (best is None or gain > best[0]):
-                                best = (gain, c, (j, j2))
-            if best is None:
+            place = rests.best(n, fill)
+            if place is None:
                 continue
-            _, c, back = best
+            c, rest = place
+            back = _leaving(bins[c], lengths, under[c] - rest)
             better = True
+            rests.remove(c)
             bins[b].remove(i)
             for j in back:
                 bins[c].remove(j)
                 bins[b].append(j)
             bins[c].append(i)
-            moved = n - sum(int(lengths[j]) for j in back)
-            for k, d in ((b, -moved), (c, moved)):
-                under[k] += d
-                if under[k] in (0, size):
-                    del under[k]
-            if b not in under:
-                break
+            fill -= rest + n - under[c]
+            under[c] = rest + n
+            if under[c] == size:
+                del under[c]
+            else:
+                rests.add(c, under[c], [int(lengths[j]) for j in bins[c]])
+        if fill:
+            under[b] = fill
+            rests.add(b, fill, [int(lengths[j]) for j in bins[b]])
     return better
 
 
