@@ -208,3 +208,13 @@ u2 AS MATERIALIZED (SELECT hidden, category, 0.1 + sum(0.001 * d * ah) AS w FROM
 ORACLE_SQL["m19_doc_net_train"] = f"WITH {_NET} SELECT word AS a, hidden AS b, round(w, 6) AS w FROM w2 UNION ALL SELECT hidden, category, round(w, 6) FROM u2"
 ORACLE_SQL["m19_doc_net_scores"] = f"""WITH {_NET}, h2 AS (SELECT query, hidden, tanh(sum(w)) AS ah FROM x JOIN w2 USING (word) GROUP BY 1, 2), o2 AS (SELECT query, category, tanh(sum(ah * w)) AS after FROM h2 JOIN u2 USING (hidden) GROUP BY 1, 2)
 SELECT query, category, round(score, 6) AS score, round(after, 6) AS after FROM o JOIN o2 USING (query, category)"""
+
+_A = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
+#: Paths without dot segments, as the pages have them.
+ORACLE_SQL["p24_links"] = rf"""
+WITH a AS (SELECT url, unnest(regexp_extract_all(html, '{_A}', 1)) AS href, unnest(regexp_extract_all(html, '{_A}', 2)) AS text FROM pages),
+t AS (SELECT url, regexp_replace(text, '<[^>]+>', '', 'g') AS text, split_part(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
+  WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^:]*:') || href
+  WHEN starts_with(href, '/') THEN regexp_extract(url, '^[^:]*://[^/?#]*') || href
+  ELSE regexp_extract(url, '^[^?#]*/') || href END, '#', 1) AS target FROM a)
+SELECT url, target, text FROM t WHERE target NOT LIKE '%''%' AND target <> url"""

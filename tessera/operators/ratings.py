@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shared import numbered
+
 
 def read_ratings(titles: DataFrame, scores: DataFrame) -> DataFrame:
     """(user, title, rating) of titles(id, title) and scores(user, id, rating, ts). Ids that share a title
@@ -84,15 +86,13 @@ def top_matches(ratings: DataFrame, persons: DataFrame, n: int = 5, similarity:
     """The n users most like each person, by similarity, ties to the larger name. Users without a common
     item have similarity 0 and rank above negative ones: each person's n largest of those are enough."""
     told = sims_of(ratings, persons, similarity).select("user", "other", F.round("sim", 6).alias("sim"))
-    # users by falling name; a person takes the first n places that neither it nor anyone met holds, found in its own row
-    met = told.groupBy("user").agg(F.count("*").alias("met"))
-    most = met.agg(F.max("met")).first()[0] or 0
-    users = ratings.select(F.col("user").alias("other")).distinct()
-    places = users.orderBy(F.desc("other")).limit(int(most) + n + 1).withColumn("place", F.row_number().over(Window.orderBy(F.desc("other"))))
-    taken = told.select("user", "other").unionByName(persons.distinct().select("user", F.col("user").alias("other"))).join(places, "other", "left")
-    taken = taken.groupBy("user").agg(F.count("*").cast("int").alias("met"), F.collect_set("place").alias("held"))
-    free = F.slice(F.array_except(F.sequence(F.lit(1), F.col("met") + n), "held"), 1, n)
-    zero = taken.select("user", F.explode(free).alias("place")).join(places, "place").select("user", "other", F.lit(0.0).alias("sim"))
+    # all users have a place by falling name; a person takes the first n places that neither it nor anyone met holds: the
+    # f-th free one lies behind f places and all those held that have fewer than f free ones before them
+    places = numbered(ratings.select(F.col("user").alias("other")).distinct(), [F.desc("other")], "place")
+    held = told.select("user", "other").unionByName(persons.distinct().select("user", F.col("user").alias("other"))).join(places, "other", "left")
+    held = held.withColumn("free", F.col("place") - F.row_number().over(Window.partitionBy("user").orderBy("place")))
+    free = held.groupBy("user").agg(F.array(*[F.lit(f) + F.count_if(F.col("free") < f) for f in range(1, n + 1)]).alias("places"))
+    zero = free.select("user", F.explode("places").alias("place")).join(places, "place").select("user", "other", F.lit(0.0).alias("sim"))
     rank = Window.partitionBy("user").orderBy(F.desc("sim"), F.desc("other"))
     return told.unionByName(zero).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
 

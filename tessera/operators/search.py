@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import words_all
-from tessera.shared import Scratch
+from tessera.shared import Scratch, numbered
 
 #: Words that the index leaves out.
 STOP_WORDS = ["the", "of", "to", "and", "a", "in", "is", "it"]
@@ -186,5 +186,5 @@ def ranked_search(scores: DataFrame, names: DataFrame, key: str = "doc_id", weig
 def outbound_relevant(links: DataFrame, results: DataFrame, key: str, per: int = 250) -> DataFrame:
     """(target, n): link targets of the result pages by count, the first floor(targets / per) of them."""
     counts = links.join(results.select(F.col(key).alias("from_id")).distinct(), "from_id", "left_semi").groupBy(F.col("to_id").alias("target")).agg(F.count("*").alias("n"))
-    keep = counts.count() // per
-    return counts.orderBy(F.desc("n"), F.desc("target")).limit(keep)
+    ranked = numbered(counts, [F.desc("n"), F.desc("target")], "k")
+    return ranked.join(F.broadcast(counts.agg(F.floor(F.count("*") / per).alias("keep")))).where("k <= keep").select("target", "n")

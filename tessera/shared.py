@@ -6,7 +6,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -61,3 +62,15 @@ class Scratch:
 def save(df: DataFrame) -> DataFrame:
     """Write a table and read it back, for loops that keep no names."""
     return Scratch(df.sparkSession).save("table", df)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place from 1 in a total order, no task holding more than a range of it: rows are dealt by range and
+    saved, numbered inside their range, and moved by the counts of the ranges before, of which there are as many as
+    shuffle partitions."""
+    dealt = save(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_start")
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, place).drop("_range", "_start")

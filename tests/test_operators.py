@@ -153,3 +153,27 @@ def test_guesses_use_what_was_learned_before(spark, sf_dir):
     for i, of in scores.items():
         assert got[i] == "unknown" if not of else of[got[i]] == pytest.approx(max(of.values()), abs=1e-6)
     assert sum(g == "unknown" for g in got.values()) == len(batches[min(batches)])
+
+
+def test_places_and_top_matches_without_common_items(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.ratings import top_matches
+    from tessera.shared import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), (F.col("id") % 3).alias("g"))
+    got = numbered(rows, [F.desc("g"), F.col("x")], "k").collect()
+    assert [(r["g"], r["x"]) for r in sorted(got, key=lambda r: r["k"])] == sorted(((r["g"], r["x"]) for r in got), key=lambda t: (-t[0], t[1]))
+    assert sorted(r["k"] for r in got) == list(range(1, 1001))
+    assert numbered(rows.limit(0), [F.col("x")], "k").count() == 0
+
+    # user 0 met the users from 30 down in steps of 3, user 1 nobody, user 40 has no rating at all
+    rated = [(0, 0, 1.0)] + [(u, u % 3 if u > 1 else 9, 2.0) for u in range(1, 31)]
+    ratings = spark.createDataFrame(rated, "user int, item int, rating double")
+    persons = spark.createDataFrame([(0,), (1,), (40,)], "user int")
+    got = {}
+    for r in top_matches(ratings, persons, 14).orderBy("user", "rank").collect():
+        got.setdefault(r["user"], []).append(r["other"])
+    met = [u for u in range(30, 1, -1) if u % 3 == 0]
+    assert got[0] == met + [u for u in range(30, 0, -1) if u not in met][:4]
+    assert got[1] == list(range(30, 16, -1)) and got[40] == list(range(30, 16, -1))
