@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import dot, sq_length
-from tessera.shared import save
+from tessera.shared import save, shared_folder
 
 
 def interest_counts(pairs: DataFrame) -> DataFrame:
@@ -90,8 +91,10 @@ def _svm_map(rows: DataFrame, kernel: str, gamma: float, features: int, seed: in
 def svm(rows: DataFrame, kernel: str = "linear", gamma: float = 1.0, features: int = 64, seed: int = 1, rounds: int = 30, penalty: float = 0.0001):
     """A support-vector classifier of rows(features, match): linear, polynomial of degree 2, or rbf by random
     Fourier features. Returns a function from rows(id, features) to (id, guess). The mapped rows are written to the
-    shared folder, and the fit reads them there, round by round. Rows of one class alone are told to be of that class."""
-    from pyspark.ml.classification import LinearSVC
+    shared folder, and the fit reads them there, round by round. So is the model, as what fit() returns holds a summary
+    of the training and with it the session, which no task can take once a query of the session has been observed or
+    tagged; a model that is read has none. Rows of one class alone are told to be of that class."""
+    from pyspark.ml.classification import LinearSVC, LinearSVCModel
 
     mapped = _svm_map(rows, kernel, gamma, features, seed)
     ready = save(mapped(rows.select("features", F.col("match").cast("double").alias("label"))).select("v", "label"))
@@ -100,7 +103,9 @@ def svm(rows: DataFrame, kernel: str = "linear", gamma: float = 1.0, features: i
         raise ValueError("no rows to learn from")
     if least == most:
         return lambda points: points.select("id", F.lit(int(least)).alias("guess"))
-    model = LinearSVC(featuresCol="v", labelCol="label", maxIter=rounds, regParam=penalty).fit(ready)
+    path = f"{shared_folder(rows.sparkSession)}/tessera-{uuid.uuid4().hex}/svm"
+    LinearSVC(featuresCol="v", labelCol="label", maxIter=rounds, regParam=penalty).fit(ready).save(path)
+    model = LinearSVCModel.load(path)
     return lambda points: model.transform(mapped(points)).select("id", F.col("prediction").cast("int").alias("guess"))
 
 

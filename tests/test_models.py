@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.jobs import models
@@ -32,6 +33,19 @@ def test_classifier_of_one_class_and_of_none(spark):
         kernel.svm(rows, "cubic")
 
 
+@pytest.mark.parametrize("kind", ["linear", "polynomial", "rbf"])
+def test_classifiers_in_a_session_with_an_observed_and_a_tagged_query(spark, kind):
+    """Tasks must not need the session, which neither can be sent any more."""
+    seen = Observation()
+    spark.addTag("tagged")
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    spark.removeTag("tagged")
+    assert seen.get == {"n": 3}
+    rows = spark.createDataFrame([(i, [i / 40], int(i >= 20)) for i in range(40)], "id long, features array<double>, match int")
+    told = kernel.svm(rows, kind, 4.0, rounds=5)(rows).join(rows, "id").where("abs(id - 19.5) > 3").collect()
+    assert len(told) == 34 and all(r["guess"] == r["match"] for r in told)
+
+
 @pytest.mark.parametrize("chunks", [1, 3, 50])
 def test_numbers_of_flights(spark, chunks):
     """Chunks give the numbers that one sort gives: with ties and a null in the first column, and one large route."""
