@@ -49,7 +49,7 @@ def t2_guess_then_train(spark, d):
 
 
 def t3_stream_index(spark, d):
-    pages = _stream(spark, d, "pages").select("url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    pages = _stream(spark, d, "pages").select("url", F.col("page_id").alias("place"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
     folder = _scratch(spark)
     O.stream_index(pages, folder, f"{folder}/log")
     return spark.read.parquet(f"{folder}/postings").groupBy("url").agg(F.count("*").alias("n"))

@@ -110,7 +110,8 @@ def _last_version(spark: SparkSession, folder: str) -> int | None:
 
 
 def stream_index(pages: DataFrame, folder: str, checkpoint: str) -> None:
-    """Append postings of pages(url, text) whose url was not indexed before; repeated and late pages are left out."""
+    """Append postings of pages(url, text) whose url was not indexed before; repeated and late pages are left out. Of
+    pages of one url in a batch the first by a column `place` counts that has a text, or any where there is no such column."""
     spark = pages.sparkSession
     is_new = _once_per_batch(spark, folder)
 
@@ -118,6 +119,8 @@ def stream_index(pages: DataFrame, folder: str, checkpoint: str) -> None:
         if not is_new(number):
             return
         fresh = batch.dropDuplicates(["url"])
+        if "place" in batch.columns:
+            fresh = batch.groupBy("url").agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.col("place"))).alias("text"))
         if _last_version(spark, folder) is not None:
             fresh = matrix.except_seen(fresh, spark.read.parquet(f"{folder}/urls"), ["url"])
         fresh = fresh.persist()
