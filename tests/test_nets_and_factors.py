@@ -152,3 +152,15 @@ def test_heights_and_depths(spark):
     assert {i: g[0] for i, g in got.items()} == {i: height(i) for i in rows} and got[-8][0] == 9
     assert {i: g[1] for i, g in got.items()} == pytest.approx({i: depth(i) for i in rows})
     assert cluster.heights(merges.limit(0)).count() == 0
+
+
+def test_heights_of_long_chains_and_beyond_a_million_ways(spark):
+    n = 1_500  # a chain has 1,125,750 ways down
+    chain = spark.range(1, n + 1).select((-F.col("id")).alias("id"), F.when(F.col("id") < n, -F.col("id") - 1).otherwise(0).alias("left"), F.col("id").alias("right"), F.lit(0.5).alias("distance"))
+    got = cluster.heights(chain).toPandas().set_index("id")
+    assert len(got) == n
+    for k in (1, 2, 700, 1_499, 1_500):
+        assert tuple(got.loc[-k]) == (n - k + 2, 0.5 * (n - k + 1))
+    loop = chain.limit(0).union(spark.createDataFrame([(-1, -2, 3, 0.5), (-2, -1, 4, 0.5)], chain.schema))
+    with pytest.raises(ValueError):
+        cluster.heights(loop)
