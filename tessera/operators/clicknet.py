@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shared import save
+
 
 def hidden_nodes(clicks: DataFrame, most_words: int | None = 3) -> tuple[DataFrame, DataFrame]:
     """Edges (word, hidden, w) and (hidden, url, w) of one hidden node for each new set of query words: 1 by the
@@ -16,9 +18,12 @@ def hidden_nodes(clicks: DataFrame, most_words: int | None = 3) -> tuple[DataFra
     return words, urls
 
 
-def net_scores(queries: DataFrame, words: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query, hidden, ah) and (query, url, score) of queries(query, words, urls): tanh of sums over edges, -0.2
-    for a word and 0 for a url without an edge; nodes are those linked to a query word or a url shown."""
+def _alike(queries: DataFrame, *columns: str) -> DataFrame:
+    """(columns, n, query): what queries ask, once, with how many ask it and a number."""
+    return save(queries.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("query", F.monotonically_increasing_id()))
+
+
+def _scores(queries: DataFrame, words: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = queries.select("query", F.explode("words").alias("word"))
     shown = queries.select("query", F.explode("urls").alias("url"))
     nodes = asked.join(words, "word").select("query", "hidden").union(shown.join(urls, "url").select("query", "hidden")).distinct()
@@ -30,15 +35,28 @@ def net_scores(queries: DataFrame, words: DataFrame, urls: DataFrame) -> tuple[D
     return hidden, rest
 
 
+def net_scores(queries: DataFrame, words: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, hidden, ah) and (query, url, score) of queries(query, words, urls), a row a query: tanh of sums over
+    edges, -0.2 for a word and 0 for a url without an edge; nodes are those linked to a query word or a url shown. Queries
+    that ask the same meet the net once."""
+    alike = _alike(queries, "words", "urls")
+    asks = alike.select(F.col("words").alias("_words"), F.col("urls").alias("_urls"), F.col("query").alias("_alike"))
+    of = queries.join(asks, F.col("words").eqNullSafe(F.col("_words")) & F.col("urls").eqNullSafe(F.col("_urls"))).select("query", "_alike")
+    hidden, scores = _scores(alike, words, urls)
+    return tuple(of.join(t.withColumnRenamed("query", "_alike"), "_alike").drop("_alike") for t in (hidden, scores))
+
+
 def net_train(clicks: DataFrame, words: DataFrame, urls: DataFrame, rate: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """The edges after a batch of clicks(query, words, urls, selected): the target is 1 for the selected url, 0 for
-    the rest; changes of all clicks of the batch are added. A batch of one click is training click by click."""
-    hidden, scores = net_scores(clicks, words, urls)
+    """The edges after a batch of clicks(query, words, urls, selected), a row a click: the target is 1 for the selected
+    url, 0 for the rest; changes of all clicks of the batch are added, equal clicks by their number. A batch of one click is
+    training click by click."""
+    clicks = _alike(clicks, "words", "urls", "selected")
+    hidden, scores = _scores(clicks, words, urls)
     target = F.when(F.col("url") == F.col("selected"), 1.0).otherwise(0.0)
-    out = scores.join(clicks.select("query", "selected"), "query").select("query", "url", ((target - F.col("score")) * (1 - F.col("score") * F.col("score"))).alias("od"))
+    out = scores.join(clicks.select("query", "selected", "n"), "query").select("query", "n", "url", ((target - F.col("score")) * (1 - F.col("score") * F.col("score"))).alias("od"))
     pairs = hidden.join(out, "query").join(urls, ["hidden", "url"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    hd = pairs.groupBy("query", "hidden", "ah").agg(F.sum(F.col("od") * F.col("w")).alias("e")).select("query", "hidden", ((1 - F.col("ah") * F.col("ah")) * F.col("e")).alias("hd"))
-    up = pairs.groupBy("hidden", "url").agg(F.sum(rate * F.col("od") * F.col("ah")).alias("d"))
+    hd = pairs.groupBy("query", "n", "hidden", "ah").agg(F.sum(F.col("od") * F.col("w")).alias("e")).select("query", "hidden", (F.col("n") * (1 - F.col("ah") * F.col("ah")) * F.col("e")).alias("hd"))
+    up = pairs.groupBy("hidden", "url").agg(F.sum(rate * F.col("n") * F.col("od") * F.col("ah")).alias("d"))
     new_urls = up.join(urls, ["hidden", "url"], "full").select("hidden", "url", (F.coalesce("w", F.lit(0.0)) + F.coalesce("d", F.lit(0.0))).alias("w"))
     asked = clicks.select("query", F.explode("words").alias("word"))
     wp = hd.join(asked, "query").groupBy("word", "hidden").agg(F.sum(rate * F.col("hd")).alias("d"))

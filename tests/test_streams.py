@@ -53,3 +53,42 @@ def test_counts_are_written_in_proportion_to_a_batch(spark, tmp_path):
     assert rows(online.state(spark, f"{tmp_path}/state", "fc", ["feature", "category"], "n")) == rows(fc.select("feature", "category", "n"))
     assert rows(online.state(spark, f"{tmp_path}/state", "cc", ["category"], "n")) == rows(cc.select("category", "n"))
     assert online.state(spark, f"{tmp_path}/nothing", "fc", ["feature"], "n") is None
+
+
+def test_of_pages_of_one_url_the_first_is_indexed(spark, tmp_path):
+    rows = [(7, "a", "x y z v"), (3, "a", "x"), (5, "a", "x y"), (1, "a", None), (2, "b", None), (9, "c", "u v")]
+    spark.createDataFrame(rows, "place long, url string, text string").repartition(3, "place").write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(0, "a", "late")], "place long, url string, text string").write.parquet(f"{tmp_path}/late")
+    for part in ("in", "late"):
+        pages = spark.readStream.schema("place long, url string, text string").parquet(f"{tmp_path}/{part}")
+        online.stream_index(pages, f"{tmp_path}/index", f"{tmp_path}/log-{part}")
+    got = {(r["url"], r["word"]) for r in spark.read.parquet(f"{tmp_path}/index/postings").collect()}
+    assert got == {("a", "x"), ("c", "u"), ("c", "v")}
+
+
+def test_equal_queries_meet_the_net_once(spark):
+    rows = [(k, [1, 2], [7, 8], 7) for k in range(5)] + [(10, [2, 1], [8], 8), (11, [3], [7, 9], None), (12, None, [7], 7), (13, [3], None, 7), (14, [3], [7, 9], None)]
+    asked = spark.createDataFrame(rows, "query long, words array<long>, urls array<long>, selected long")
+    assert sorted(r["n"] for r in clicknet._alike(asked, "words", "urls").collect()) == [1, 1, 1, 2, 5]
+    words, urls = clicknet.hidden_nodes(asked)
+    hidden, scores = (t.toPandas() for t in clicknet.net_scores(asked, words, urls))
+    assert sorted(scores["query"]) == sorted(q for q, _, shown, _ in rows for _ in shown or [])
+    for q, *_ in rows:
+        one = asked.where(f"query = {q}") if q in (0, 11, 12, 13) else None
+        if one is not None:
+            h, s = (t.toPandas() for t in clicknet.net_scores(one, words, urls))
+            assert dict(zip(h["hidden"], h["ah"])) == pytest.approx({r.hidden: r.ah for r in hidden[hidden["query"] == q].itertuples()})
+            assert dict(zip(s["url"], s["score"])) == pytest.approx({r.url: r.score for r in scores[scores["query"] == q].itertuples()})
+
+
+def test_equal_clicks_change_edges_by_their_number(spark):
+    rows = [(k, [1, 2], [7, 8], 7) for k in range(5)] + [(9, [2, 3], [8], 8)]
+    asked = spark.createDataFrame(rows, "query long, words array<long>, urls array<long>, selected long")
+    net = clicknet.hidden_nodes(asked)
+    edges = lambda t: {tuple(r)[:2]: r["w"] for r in t.collect()}
+    start, whole = [edges(t) for t in net], [edges(t) for t in clicknet.net_train(asked, *net, 0.1)]
+    parts = [[edges(t) for t in clicknet.net_train(asked.where(f"query = {q}"), *net, 0.1)] for q in (0, 9)]
+    for side in (0, 1):
+        first = {k: -0.2 if side == 0 else 0.0 for p in parts for k in p[side]} | start[side]
+        told = {k: v + 5 * (parts[0][side].get(k, v) - v) + (parts[1][side].get(k, v) - v) for k, v in first.items()}
+        assert whole[side] == pytest.approx(told)
