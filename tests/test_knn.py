@@ -89,3 +89,30 @@ def test_trials_and_scales(spark):
     candidates = spark.createDataFrame([(1, [1, 1]), (2, [0, 3])], "cand_id long, genes array<int>")
     got = {r["cand_id"]: r["cost"] for r in knn.tune_scales(data, candidates, knn.random_split(6, 0.1)).collect()}
     assert got == pytest.approx({c: np.concatenate([error(w, t, held) for t, held in tests.items()]).mean() for c, w in ((1, [1, 1]), (2, [0, 3]))})
+
+
+def test_of_equal_vectors_few_are_needed(spark, monkeypatch):
+    """Whatever number is held, the k nearest are those of all rows; equal vectors that are held out together are one test."""
+    monkeypatch.setattr(knn, "EQUAL_VALUES", 300)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.integers(0, 4, 2)], sorted({int(g) for g in rng.choice(30, rng.integers(0, 6))}), float(rng.integers(0, 50))) for i in rng.permutation(900)]
+    rows += [(1_000, None, [], 1.0), (1_001, [float("nan"), 1.0], [], 1.0), (1_002, [9.0, 9.0], None, None)]
+    data = spark.createDataFrame(rows, "id long, features array<double>, held array<int>, result double")
+    few = {r["id"]: r for r in knn.needed(data, 3).collect()}
+    assert len(few) < 250
+    good = [r for r in rows if r[1] is not None and r[1] == r[1] and r[1][0] == r[1][0]]
+    for g in range(-1, 30):
+        for x in {tuple(r[1]) for r in good}:
+            near = sorted((r[0] for r in good if tuple(r[1]) == x and g not in (r[2] or [])))[:3]
+            assert set(near) <= set(few)
+    tests = knn._tests(data).collect()
+    assert len(tests) == len({(tuple(r[1]), g) for r in rows if r[1] is not None for g in r[2] or []})
+    alone = lambda rows: rows.withColumn("held", F.array((F.col("id") % 4).cast("int")))
+    got = {r["fold"]: r["mse"] for r in knn.cross_validate(data.drop("held").where("id < 900"), alone, 3).collect()}
+    for fold in range(4):
+        off = []
+        for i, x, _, y in good[:900]:
+            if i % 4 == fold:
+                near = sorted((round(float(np.hypot(x[0] - r[1][0], x[1] - r[1][1])), 9), r[0], r[3]) for r in good[:900] if r[0] % 4 != fold)[:3]
+                off.append((np.mean([n[2] for n in near]) - y) ** 2)
+        assert got[fold] == pytest.approx(np.mean(off))
